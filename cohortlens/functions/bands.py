@@ -28,4 +28,4 @@ def decision_label(probability: Column, event: str = "Có", no_event: str = "Kh
 
 def effect_label(delta: Column) -> Column:
     """Reading of a change in percentage points after a what-if."""
-    return F.when(delta < -0.5, "lowers risk").when(delta > 0.5, "raises risk").otherwise("unchanged")
+    return F.when(delta < -0.5, "Giảm rủi ro").when(delta > 0.5, "Tăng rủi ro").otherwise("Hầu như không đổi")

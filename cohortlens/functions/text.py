@@ -25,10 +25,15 @@ ACCENTED, PLAIN = _accent_map()
 
 def normalize_key(text: Column) -> Column:
     """Name without case, accents, blanks and ``_ - . / ( ) [ ] { }``."""
-    folded = F.translate(F.lower(F.trim(text)), ACCENTED, PLAIN)
+    folded = F.translate(F.lower(strip_blanks(text)), ACCENTED, PLAIN)
     return F.regexp_replace(folded, r"[ _\-./()\[\]{}\p{Mn}]", "")
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Round ties to the even digit; Java formats alone would round them up."""
+    return F.bround(value.cast("double"), digits)
+
+
 def strip_blanks(text: Column) -> Column:
     """Drop leading and trailing whitespace of any kind, not just spaces."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -47,17 +52,17 @@ def ellipsize(text: Column, width: int = 40) -> Column:
 
 
 def format_pct(value: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", value.cast("double")), F.lit("N/A"))
+    return F.coalesce(F.format_string(f"%.{digits}f%%", half_even(value, digits)), F.lit("N/A"))
 
 
 def format_money(value: Column, unit: str = "USD") -> Column:
     """Whole amount with dots between thousands, such as ``1.234.567 USD``."""
-    grouped = F.replace(F.format_number(F.bround(value.cast("double")), 0), F.lit(","), F.lit("."))
+    grouped = F.replace(F.format_number(half_even(value, 0), 0), F.lit(","), F.lit("."))
     return F.coalesce(F.concat(grouped, F.lit(f" {unit}")), F.lit("N/A"))
 
 
 def signed_diff(value: Column, unit: str = "pp") -> Column:
-    return F.format_string(f"%+.2f {unit}".rstrip(), value.cast("double"))
+    return F.format_string(f"%+.2f {unit}".rstrip(), half_even(value, 2))
 
 
 def format_metric(value: Column) -> Column:
@@ -65,9 +70,9 @@ def format_metric(value: Column) -> Column:
     number = value.cast("double")
     return (
         F.when(number.isNull(), F.lit("—"))
-        .when(F.abs(number) >= 1000, F.format_string("%,.0f", number))
-        .when(number < 1, F.format_string("%,.4f", number))
-        .otherwise(F.format_string("%,.2f", number))
+        .when(F.abs(number) >= 1000, F.format_string("%,.0f", half_even(number, 0)))
+        .when(number < 1, F.format_string("%,.4f", half_even(number, 4)))
+        .otherwise(F.format_string("%,.2f", half_even(number, 2)))
     )
 
 
@@ -77,7 +82,7 @@ def file_size_text(n_bytes: Column) -> Column:
     return (
         F.when(size.isNull(), F.lit("—"))
         .when(size < 1024, F.format_string("%d B", n_bytes.cast("bigint")))
-        .when(size < 1024**2, F.format_string("%.1f KB", size / 1024))
-        .when(size < 1024**3, F.format_string("%.1f MB", size / 1024**2))
-        .otherwise(F.format_string("%.1f GB", size / 1024**3))
+        .when(size < 1024**2, F.format_string("%.1f KB", half_even(size / 1024, 1)))
+        .when(size < 1024**3, F.format_string("%.1f MB", half_even(size / 1024**2, 1)))
+        .otherwise(F.format_string("%.1f GB", half_even(size / 1024**3, 1)))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.numbers import is_text
+from cohortlens.operators.profile import unpivot_cells
 from cohortlens.operators.ranking import with_position
 
 ALL_VALUES = ["All", "Tất cả"]
@@ -58,16 +59,9 @@ def apply_filters(df: DataFrame, filters: dict[str, object]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
-def unpivot_text(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value) with every cell as text."""
-    return df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value"
-    )
-
-
 def filter_domain(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct non-null values per filter column."""
-    return unpivot_text(df, columns).where(F.col("value").isNotNull()).distinct().orderBy("column", "value")
+    return unpivot_cells(df, columns).where(F.col("value").isNotNull()).distinct().orderBy("column", "value")
 
 
 def search_any(df: DataFrame, query: str, literal: bool = False) -> DataFrame:

@@ -45,30 +45,29 @@ def _cell_text(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def unpivot_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value) with every cell as text."""
+    return df.select(*[_cell_text(df, c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, n): one record per distinct cell value, NULL included."""
     columns = columns or df.columns
-    cells = df.select(*[_cell_text(df, c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return unpivot_cells(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _hashed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """As ``value_counts`` with long texts replaced by a digest of the whole text.
+def _digest_cell(df: DataFrame, name: str) -> Column:
+    """Cell text; a long one becomes a digest of the whole text and three test results.
 
-    Number and date tests of long texts are made before the digest.
+    The three digits say whether the text is a number, holds a date, and parses as one.
     """
-    cells = df.select(*[_cell_text(df, c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    long = F.length("value") > LONG_TEXT
-    keyed = cells.select(
-        "column",
-        F.when(long, F.sha2("value", 256)).otherwise(F.col("value")).alias("value"),
-        F.coalesce(long, F.lit(False)).alias("long"),
-        (long & looks_numeric(F.col("value"))).alias("long_number"),
-        (long & F.col("value").rlike(DATE_TEXT)).alias("long_date"),
-        (long & F.col("value").rlike(DATE_TEXT) & parses_as_date(F.col("value"))).alias("long_parsed"),
-    )
-    keys = ["column", "value", "long", "long_number", "long_date", "long_parsed"]
-    return keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    text = _cell_text(df, name)
+    if not is_text(df, name):
+        return text
+    dated = text.rlike(DATE_TEXT)
+    digits = [looks_numeric(text), dated, dated & parses_as_date(text)]
+    marks = [F.when(d, "1").otherwise("0") for d in digits]
+    return F.when(F.length(text) > LONG_TEXT, F.concat(F.sha2(text, 256), *marks)).otherwise(text)
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -79,24 +78,25 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool
     shuffle of values altogether.
     """
     columns = columns or df.columns
-    long, text = F.col("long"), F.col("value")
-    number = F.when(long, F.col("long_number")).otherwise(looks_numeric(text))
-    dated = F.when(long, F.col("long_date")).otherwise(text.rlike(DATE_TEXT))
-    parsed = F.when(long, F.col("long_parsed")).otherwise(text.rlike(DATE_TEXT) & parses_as_date(text))
+    text = F.col("value")
+    long = F.length(text) > LONG_TEXT
+
+    def mark(place: int) -> Column:
+        return F.substring(text, LONG_TEXT + place, 1) == "1"
+
+    number = F.when(long, mark(1)).otherwise(looks_numeric(text))
+    dated = F.when(long, mark(2)).otherwise(text.rlike(DATE_TEXT))
+    parsed = F.when(long, mark(3)).otherwise(text.rlike(DATE_TEXT) & parses_as_date(text))
     textual = F.col("column").isin([c for c in columns if is_text(df, c)])
 
     def tally(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("value").isNotNull() & condition, F.col("n"))), F.lit(0))
 
+    cells = df.select(*[_digest_cell(df, c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
     if approx:
-        cells = df.select(*[_cell_text(df, c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
-        counts = cells.select("column", "value", F.lit(False).alias("long"), F.lit(False).alias("long_number"),
-                              F.lit(False).alias("long_date"), F.lit(False).alias("long_parsed"),
-                              F.lit(1).cast("bigint").alias("n"))
-        unique = F.approx_count_distinct("value")
+        counts, unique = cells.withColumn("n", F.lit(1).cast("bigint")), F.approx_count_distinct("value")
     else:
-        counts = _hashed_counts(df, columns)
-        unique = F.count("value")
+        counts, unique = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), F.count("value")
     facts = counts.groupBy("column").agg(
         F.sum("n").alias("n_rows"),
         tally(F.lit(True)).alias("non_null"),
