@@ -19,6 +19,7 @@ QUESTION_ROLES = {
     "rq2": "department", "rq3": "overtime", "rq4": "job_satisfaction", "rq5": "income", "rq6": "tenure",
     "rq7": "distance", "rq8_performance": "performance", "rq8_training": "training",
 }
+MEASURE_QUESTIONS = ["rq5", "rq6", "rq7"]
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -97,23 +98,33 @@ def label_distribution(df: DataFrame, target: str) -> DataFrame:
     return counts.select("label", "n", percent(F.col("n"), whole).alias("pct")).orderBy(F.desc("n"), "label")
 
 
-def measure_by_label(df: DataFrame, target: str, measure: str, std: bool = False) -> DataFrame:
-    """(label, n, mean, median[, std]) of a measure per raw label.
+def measures_by_label(df: DataFrame, target: str, measures: list[str]) -> DataFrame:
+    """(measure, label, n, mean, median, std) of measures per raw label.
 
-    Sums come from one aggregate; the medians come from ``exact_quantiles``, and
-    the two tables (a row per label) meet in a join.
+    Sums come from one aggregate and medians from one ``exact_quantiles``, whatever
+    the number of measures; the two tables (a row per label and measure) are joined.
     """
-    value = to_number(df, measure)
+    values = {m: to_number(df, m) for m in measures}
     rows = df.where(F.col(target).isNotNull())
-    aggs = [F.count(value).alias("n"), F.avg(value).alias("mean")]
-    if std:
-        aggs.append(F.stddev_samp(value).alias("std"))
-    sums = rows.groupBy(F.col(target).alias("label")).agg(*aggs)
-    medians = exact_quantiles(rows, {measure: value}, [0.5], by=target).select(
-        F.col("grp").alias("label"), F.col("q")[0].alias("median")
+    aggs = [
+        a for i, v in enumerate(values.values())
+        for a in (F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"))
+    ]
+    cells = F.array(*[
+        F.struct(F.lit(m).alias("measure"), *[F.col(f"{f}{i}").alias(f) for f in ("n", "mean", "std")])
+        for i, m in enumerate(measures)
+    ])
+    sums = rows.groupBy(F.col(target).alias("label")).agg(*aggs).select("label", F.inline(cells))
+    medians = exact_quantiles(rows, values, [0.5], by=target).select(
+        F.col("grp").alias("label"), "measure", F.col("q")[0].alias("median")
     )
-    columns = ["label", "n", "mean", "median", *(["std"] if std else [])]
-    return sums.join(medians, "label", "left").select(*columns)
+    return sums.join(medians, ["label", "measure"], "left").select("measure", "label", "n", "mean", "median", "std")
+
+
+def measure_by_label(df: DataFrame, target: str, measure: str, std: bool = False) -> DataFrame:
+    """(label, n, mean, median[, std]) of one measure per raw label."""
+    table = measures_by_label(df, target, [measure]).drop("measure")
+    return table if std else table.drop("std")
 
 
 def event_mean_compare(df: DataFrame, measures: list[str], medians: bool = False) -> DataFrame:
@@ -148,22 +159,35 @@ def level_rates(df: DataFrame, level: str) -> DataFrame:
     ).orderBy(level)
 
 
+def role_level_rates(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(role, level, total, leaving, rate) of several category columns in one pass."""
+    cells = df.select("event", *[F.col(c).cast("string").alias(r) for r, c in columns.items()]).unpivot(
+        ["event"], list(columns), "role", "level"
+    )
+    counts = cells.groupBy("role", "level").agg(F.count(F.lit(1)).alias("total"), F.sum("event").alias("leaving"))
+    return counts.select("role", "level", "total", "leaving", percent(F.col("leaving"), F.col("total")).alias("rate"))
+
+
 def run_questions(df: DataFrame, roles: dict[str, str], target: str) -> DataFrame:
-    """(rq, grp, metric, value) for all questions whose role is present."""
-    def tidy(table: DataFrame, rq: str, group: str, metrics: list[str]) -> DataFrame:
+    """(rq, grp, metric, value) for all questions whose role is present.
+
+    All category questions share one grouped count, all measures one aggregate.
+    """
+    def tidy(table: DataFrame, rq: Column, group: str, metrics: list[str]) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-        return table.select(F.lit(rq).alias("rq"), F.col(group).cast("string").alias("grp"), F.inline(cells))
-
-    parts = [tidy(label_distribution(df, target), "rq1", "label", ["n", "pct"])]
-    for rq, role in QUESTION_ROLES.items():
-        column = roles.get(role)
-        if column not in df.columns:
-            continue
-        if rq in ("rq5", "rq6", "rq7"):
-            metrics = ["n", "mean", "median", *(["std"] if rq == "rq5" else [])]
-            parts.append(tidy(measure_by_label(df, target, column, std=rq == "rq5"), rq, "label", metrics))
-        else:
-            parts.append(tidy(_rates(df, column), rq, column, ["total", "leaving", "rate"]))
+        return table.select(rq.alias("rq"), F.col(group).cast("string").alias("grp"), F.inline(cells))
+
+    found = {q: roles[r] for q, r in QUESTION_ROLES.items() if roles.get(r) in df.columns}
+    measured = {q: c for q, c in found.items() if q in MEASURE_QUESTIONS}
+    grouped = {q: c for q, c in found.items() if q not in measured}
+    parts = [tidy(label_distribution(df, target), F.lit("rq1"), "label", ["n", "pct"])]
+    if grouped:
+        parts.append(tidy(role_level_rates(df, grouped), F.col("role"), "level", ["total", "leaving", "rate"]))
+    if measured:
+        names = {c: q for q, c in measured.items()}
+        rq = F.create_map(*[F.lit(x) for item in names.items() for x in item])[F.col("measure")]
+        long = tidy(measures_by_label(df, target, list(names)), rq, "label", ["n", "mean", "median", "std"])
+        parts.append(long.where((F.col("metric") != "std") | (F.col("rq") == "rq5")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -32,12 +32,20 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
     )
 
 
-def _pearson(x: Column, y: Column) -> tuple[Column, Column]:
-    """Pairwise-complete correlation, NULL for a constant or infinite side; and n."""
-    both = x.isNotNull() & y.isNotNull()
-    xx, yy = F.when(both, x), F.when(both, y)
-    r = F.try_divide(F.covar_pop(xx, yy), F.stddev_pop(xx) * F.stddev_pop(yy))
-    return F.nullif(r, F.lit(float("nan"))), F.count_if(both)
+def _chosen(df: DataFrame, columns: list[str] | None, event: str | None) -> list[str]:
+    return [c for c in (columns or numeric_columns(df)) if c != event] + ([event] if event else [])
+
+
+def _scales(df: DataFrame, values: dict[str, Column]) -> dict[str, dict]:
+    """Rows, mean and whether constant, per column; one row reaches the driver."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, v in enumerate(values.values()):
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    return {
+        c: {"full": row[f"n{i}"] == row["rows"], "mean": row[f"m{i}"] or 0.0, "constant": row[f"lo{i}"] == row[f"hi{i}"]}
+        for i, c in enumerate(values)
+    }
 
 
 def correlation_pairs(
@@ -45,36 +53,61 @@ def correlation_pairs(
 ) -> DataFrame:
     """(a, b, r, n) for each pair of number columns, in table order.
 
-    ``event`` adds a 0/1 column.  All pairs of a pass share one scan; very wide
-    tables are cut into several passes so that one aggregate stays compilable.
+    Pearson over rows where both sides are present; NULL for a constant or infinite
+    side.  ``event`` adds a 0/1 column.  A first pass finds means and NULLs.  The
+    second one sums products of centred values: one sum per pair, and sums per
+    column that all pairs of columns without NULLs share.  Very wide tables are cut
+    into several passes, so that one aggregate stays compilable.
     """
-    columns = [c for c in (columns or numeric_columns(df)) if c != event] + ([event] if event else [])
-    values = {c: to_number(df, c) for c in columns}
-    pairs = list(combinations(columns, 2))
+    values = {c: to_number(df, c) for c in _chosen(df, columns, event)}
+    scale = _scales(df, values)
+    place = {c: i for i, c in enumerate(values)}
+    centred = df.select(*[(v - F.lit(float(scale[c]["mean"]))).alias(f"x{place[c]}") for c, v in values.items()])
+    pairs = list(combinations(values, 2))
     tables = []
     for start in range(0, len(pairs), pairs_per_pass):
-        chunk = pairs[start:start + pairs_per_pass]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            r, n = _pearson(values[a], values[b])
-            aggs += [r.alias(f"r{i}"), n.alias(f"n{i}")]
-        rows = F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-            for i, (a, b) in enumerate(chunk)
-        ])
-        tables.append(df.agg(*aggs).select(F.inline(rows)))
-    return reduce(DataFrame.unionByName, tables)
+        aggs: dict[str, str] = {}
+        rows = []
+        for a, b in pairs[start:start + pairs_per_pass]:
+            i, j = place[a], place[b]
+
+            def total(side: int, other: str, what: str) -> str:
+                """Sum over rows where the other column is present too; shared where it always is."""
+                full = scale[other]["full"]
+                name = f"{what}{side}" + ("" if full else f"_{place[other]}")
+                value = {"n": "1", "s": f"x{side}", "q": f"x{side} * x{side}"}[what]
+                present = f"x{side} IS NOT NULL" + ("" if full else f" AND x{place[other]} IS NOT NULL")
+                aggs[name] = f"sum(CASE WHEN {present} THEN {value} END)"
+                return name
+
+            aggs[f"p{i}_{j}"] = f"sum(x{i} * x{j})"
+            usable = str(not (scale[a]["constant"] or scale[b]["constant"])).lower()
+            cells = {"n": total(i, b, "n"), "sx": total(i, b, "s"), "sy": total(j, a, "s"), "xx": total(i, b, "q"),
+                     "yy": total(j, a, "q"), "xy": f"p{i}_{j}", "usable": usable}
+            rows.append(f"named_struct('i', {i}, 'j', {j}, " + ", ".join(f"'{k}', {v}" for k, v in cells.items()) + ")")
+        sums = centred.agg(*[F.expr(f"{e} AS {name}") for name, e in aggs.items()])
+        tables.append(sums.select(F.expr(f"inline(array({', '.join(rows)}))")))
+    names = F.array(*[F.lit(c) for c in values])
+    spread = "{q} - {s} * try_divide({s}, n)"
+    moments = reduce(DataFrame.unionByName, tables).select(
+        names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "n", "usable", "xx", "yy",
+        F.expr(spread.format(q="xx", s="sx")).alias("vx"), F.expr(spread.format(q="yy", s="sy")).alias("vy"),
+        F.expr("xy - sx * try_divide(sy, n)").alias("cxy"),
+    )
+    # A side that is constant over the shared rows leaves nothing but rounding noise.
+    spread_out = F.expr("usable AND vx > xx * 1e-12 AND vy > yy * 1e-12")
+    r = F.nullif(F.expr("try_divide(cxy, sqrt(vx) * sqrt(vy))"), F.lit(float("nan")))
+    return moments.select("a", "b", F.when(spread_out, r).alias("r"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, event: str | None = None) -> DataFrame:
     """(a, b, r): both triangles and the diagonal (NULL for a constant column)."""
     pairs = correlation_pairs(df, columns, event).select("a", "b", "r")
-    columns = [c for c in (columns or numeric_columns(df)) if c != event] + ([event] if event else [])
-    values = {c: to_number(df, c) for c in columns}
-    spread = df.agg(*[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(values.values())])
-    diagonal = spread.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(f"s{i}") > 0, 1.0).alias("r"))
-        for i, c in enumerate(columns)
+    values = {c: to_number(df, c) for c in _chosen(df, columns, event)}
+    ends = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values.values()) for n, f in (("lo", F.min), ("hi", F.max))])
+    diagonal = ends.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(f"hi{i}") > F.col(f"lo{i}"), 1.0).alias("r"))
+        for i, c in enumerate(values)
     ])))
     both = pairs.select(F.inline(F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))))
     return both.unionByName(diagonal)

@@ -50,6 +50,8 @@ def compare(spark, sf_dir: str, run, sql: str | None, con) -> str | None:
     if len(rows) != len(wanted):
         return f"{len(rows)} rows != {len(wanted)}"
     differing = [(a, b) for a, b in zip(rows, wanted) if a != b]
+    if not rows:
+        return "no rows on either side"
     return None if not differing else f"{len(differing)} rows differ, such as\n   {differing[0][0]}\n   {differing[0][1]}"
 
 
