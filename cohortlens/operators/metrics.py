@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from cohortlens.functions.numbers import safe_div
 from cohortlens.operators.ranking import running_totals
+from cohortlens.session import checkpointed
 
 CLASS_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
@@ -24,24 +25,31 @@ def confusion(pred: DataFrame, by: list[str] | None = None, y: str = "y", score:
     )
 
 
-def score_counts(pred: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
-    """(by.., score, pos, neg) per distinct score."""
-    return pred.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+def score_counts(pred: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "score") -> DataFrame:
+    """(by.., score, pos, neg) per distinct score, written once.
+
+    Everything below reads these counts, so the predictions behind them (and the
+    models behind those) are evaluated a single time.
+    """
+    counts = pred.groupBy(*(by or []), F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
+    return checkpointed(counts)
+
+
+def _auc(counts: DataFrame, by: list[str]) -> DataFrame:
+    below = running_totals(counts, by, "score", {"cum_neg": "neg"})
+    won = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    return below.groupBy(*by).agg(F.nullif(F.try_divide(won, pairs), F.lit(float("nan"))).alias("roc_auc"))
 
 
 def auc(pred: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "score") -> DataFrame:
     """(by.., roc_auc): area under the ROC curve, ties counted half.
 
-    Rows fold into counts per distinct score, and the running totals are summed
-    range by range.
+    The running totals over the scores are summed range by range.
     """
-    by = by or []
-    below = running_totals(score_counts(pred, by, y, score), by, "score", {"cum_neg": "neg"})
-    won = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
-    pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return below.groupBy(*by).agg(F.nullif(F.try_divide(won, pairs), F.lit(float("nan"))).alias("roc_auc"))
+    return _auc(score_counts(pred, by, y, score), by or [])
 
 
 def roc_points(pred: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "score") -> DataFrame:
@@ -60,11 +68,17 @@ def roc_points(pred: DataFrame, by: list[str] | None = None, y: str = "y", score
                       safe_div(F.col("fp"), n).alias("fpr"))
 
 
-def class_metrics(pred: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "score") -> DataFrame:
+def class_metrics(pred: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "score",
+                  threshold: float = 0.5) -> DataFrame:
     """(by.., tn, fp, fn, tp, accuracy, precision, recall, f1, roc_auc); 0/0 is 0."""
     by = by or []
-    cells = confusion(pred, by, y, score)
-    area = auc(pred, by, y, score)
+    counts = score_counts(pred, by, y, score)
+    hit = F.col("score") >= threshold
+    cells = counts.groupBy(*by).agg(*[
+        F.coalesce(F.sum(F.when(side, F.col(kind))), F.lit(0)).alias(name)
+        for name, side, kind in (("tn", ~hit, "neg"), ("fp", hit, "neg"), ("fn", ~hit, "pos"), ("tp", hit, "pos"))
+    ])
+    area = _auc(counts, by)
     joined = cells.join(area, by, "left") if by else cells.withColumn("roc_auc", area.scalar())
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     return joined.select(

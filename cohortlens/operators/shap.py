@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +45,13 @@ def _label(names: list[str], values: Column) -> Column:
 
 
 def _shap_logistic(encoded: DataFrame, model: LogisticRegressionModel, names: list[str], id_col: str) -> DataFrame:
-    from pyspark.ml.stat import Summarizer
-
-    means = vector_to_array(encoded.agg(Summarizer.mean(F.col("scaled")).alias("m")).scalar())
-    weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
-    parts = F.zip_with(F.zip_with(vector_to_array("scaled"), means, lambda x, m: x - m), weights, lambda d, w: d * w)
-    base = F.aggregate(F.zip_with(means, weights, lambda m, w: m * w), F.lit(float(model.intercept)), lambda a, v: a + v)
-    return encoded.select(id_col, base.alias("base_value"), F.lit("log-odds").alias("unit"),
+    # As many numbers as the model has features.
+    means = encoded.agg(Summarizer.mean(F.col("scaled"))).first()[0].toArray()
+    weights = model.coefficients.toArray()
+    base = float(model.intercept + weights @ means)
+    middle, slope = (F.array(*[F.lit(float(v)) for v in values]) for values in (means, weights))
+    parts = F.zip_with(F.zip_with(vector_to_array("scaled"), middle, lambda x, m: x - m), slope, lambda d, w: d * w)
+    return encoded.select(id_col, F.lit(base).alias("base_value"), F.lit("log-odds").alias("unit"),
                           _label(names, parts).alias("contributions"))
 
 

@@ -1,14 +1,16 @@
 """Reproducible train/test splits and folds by hash order.
 
 Rows of a class are ordered by ``md5(seed:id)``; a split or fold is a range of
-that order.  The range ends are found exactly from a histogram of hash prefixes
-plus a ranking inside the few prefixes that hold an end.  The tables then only
-compare each row's hash with its class's cut points: nothing is shuffled, and no
-task ranks a whole class.
+that order.  The range ends are found exactly, from a histogram of hash prefixes
+and a ranking inside the few prefixes that hold an end.  After that a table only
+compares each row's hash with the ends of its class, which are literals by then:
+no join, no shuffle, and no task ranks a whole class.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,11 +22,11 @@ def row_hash(id_col: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def hash_cuts(df: DataFrame, stratum: Column, id_col: str, ranks: list[Column], seed: int = 42) -> DataFrame:
-    """(stratum, cuts): for each rank expression over ``n`` the hash at that rank.
+def hash_cuts(df: DataFrame, stratum: Column, id_col: str, ranks: list[Column], seed: int = 42) -> dict[object, list[str]]:
+    """Class -> the hash at each rank; ranks are expressions over the class size ``n``.
 
-    ``ranks`` must rise; a rank below 1 gives the empty text, which no hash reaches.
-    The result has one row per class.
+    A rank below 1 gives the empty text, which every hash lies beyond.  A class and
+    a rank give one hash, so a handful of rows reach the driver.
     """
     hashed = df.select(stratum.alias("stratum"), row_hash(id_col, seed).alias("h")).where(
         F.col("stratum").isNotNull()
@@ -32,6 +34,7 @@ def hash_cuts(df: DataFrame, stratum: Column, id_col: str, ranks: list[Column],
     per_prefix = hashed.groupBy("stratum", "prefix").agg(F.count(F.lit(1)).alias("c"))
     whole = Window.partitionBy("stratum")
     upto = whole.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    # At most 16 ** PREFIX rows per class, whatever the table size.
     cumulated = per_prefix.select(
         "stratum", "prefix", "c", F.sum("c").over(upto).alias("cum"), F.sum("c").over(whole).alias("n")
     )
@@ -40,44 +43,45 @@ def hash_cuts(df: DataFrame, stratum: Column, id_col: str, ranks: list[Column],
     ])
     ends = cumulated.select("*", F.inline(wanted)).where(
         "(rank > cum - c AND rank <= cum) OR (rank < 1 AND cum = c)"
-    ).select("stratum", "slot", "prefix", (F.col("rank") - (F.col("cum") - F.col("c"))).alias("need"))
-    # One end per class and cut at most: a handful of rows, whatever the data size.
-    near = hashed.join(F.broadcast(ends.select("stratum", "prefix").distinct()), ["stratum", "prefix"])
+    ).select("stratum", "slot", "prefix", (F.col("rank") - (F.col("cum") - F.col("c"))).alias("need")).collect()
+    cuts: dict[object, list[str]] = {e["stratum"]: [""] * len(ranks) for e in ends}
+    needed = {(e["stratum"], e["prefix"]) for e in ends if e["need"] >= 1}
+    if not needed:
+        return cuts
+    near = reduce(lambda a, b: a | b, [(F.col("stratum") == s) & (F.col("prefix") == p) for s, p in sorted(needed)])
     inside = Window.partitionBy("stratum", "prefix").orderBy("h")
-    ranked = near.select("stratum", "prefix", "h", F.row_number().over(inside).alias("rn"))
-    found = ranked.join(F.broadcast(ends), ["stratum", "prefix"]).where("rn = greatest(need, 1)").select(
-        "stratum", "slot", F.when(F.col("need") < 1, F.lit("")).otherwise(F.col("h")).alias("cut")
-    )
-    return found.groupBy("stratum").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "cut"))), lambda s: s["cut"]).alias("cuts")
-    )
+    ranked = hashed.where(near).select("stratum", "prefix", "h", F.row_number().over(inside).alias("rn"))
+    at = reduce(lambda a, b: a | b, [
+        (F.col("stratum") == e["stratum"]) & (F.col("prefix") == e["prefix"]) & (F.col("rn") == e["need"])
+        for e in ends if e["need"] >= 1
+    ])
+    hashes = {(r["stratum"], r["prefix"], r["rn"]): r["h"] for r in ranked.where(at).collect()}
+    for e in ends:
+        if e["need"] >= 1:
+            cuts[e["stratum"]][e["slot"]] = hashes[(e["stratum"], e["prefix"], e["need"])]
+    return cuts
 
 
-def _compare(df: DataFrame, stratum: Column, id_col: str, cuts: DataFrame, seed: int) -> DataFrame:
-    """Add ``part``: how many of its class's cut points a row's hash lies beyond."""
-    marked = df.withColumn("_stratum", stratum)
-    joined = marked.join(F.broadcast(cuts), marked["_stratum"] == cuts["stratum"])
+def _part(stratum: Column, id_col: str, cuts: dict[object, list[str]], seed: int) -> Column:
+    """How many of its class's ends a row's hash lies beyond."""
     digest = row_hash(id_col, seed)
-    part = F.aggregate("cuts", F.lit(0), lambda acc, cut: acc + (digest > cut).cast("int"))
-    return joined.select(*df.columns, part.alias("part"))
+    part = F.lit(None).cast("int")
+    for value, ends in cuts.items():
+        beyond = reduce(lambda a, b: a + b, [(digest > end).cast("int") for end in ends])
+        part = F.when(stratum == value, beyond).otherwise(part)
+    return part
 
 
 def stratified_split(df: DataFrame, y: str, id_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add boolean ``is_test``: exactly ``round(share * n)`` rows of each class."""
-    ranks = [F.round(F.col("n") * F.lit(test_share))]
-    cuts = hash_cuts(df, F.col(y), id_col, ranks, seed)
-    return _compare(df, F.col(y), id_col, cuts, seed).select(
-        *df.columns, (F.col("part") == 0).alias("is_test")
-    )
+    cuts = hash_cuts(df, F.col(y), id_col, [F.round(F.col("n") * F.lit(test_share))], seed)
+    return df.withColumn("is_test", _part(F.col(y), id_col, cuts, seed) == 0).where("is_test IS NOT NULL")
 
 
 def random_split(df: DataFrame, id_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add boolean ``is_test``: exactly ``ceil(share * n)`` rows, no classes."""
-    ranks = [F.ceil(F.col("n") * F.lit(test_share))]
-    cuts = hash_cuts(df, F.lit(0), id_col, ranks, seed)
-    return _compare(df, F.lit(0), id_col, cuts, seed).select(
-        *df.columns, (F.col("part") == 0).alias("is_test")
-    )
+    cuts = hash_cuts(df, F.lit(0), id_col, [F.ceil(F.col("n") * F.lit(test_share))], seed)
+    return df.withColumn("is_test", _part(F.lit(0), id_col, cuts, seed) == 0)
 
 
 def stratified_folds(df: DataFrame, y: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -85,4 +89,4 @@ def stratified_folds(df: DataFrame, y: str, id_col: str, k: int = 5, seed: int =
     share, extra = F.floor(F.col("n") / k), F.col("n") % k
     ranks = [share * i + F.least(extra, F.lit(i)) for i in range(1, k)]
     cuts = hash_cuts(df, F.col(y), id_col, ranks, seed)
-    return _compare(df, F.col(y), id_col, cuts, seed).withColumnRenamed("part", "fold")
+    return df.withColumn("fold", _part(F.col(y), id_col, cuts, seed)).where("fold IS NOT NULL")

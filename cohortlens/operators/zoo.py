@@ -78,23 +78,19 @@ def classifiers(balance: Balance, sizes: ZooSizes) -> dict[str, object]:
     The logistic penalty equals an inverse strength of 1 on the summed loss.
     Boosting here has no leaf penalty and samples columns per node, not per tree.
     """
-    def outputs(i: int) -> dict[str, str]:
-        return {"labelCol": "y", "predictionCol": f"pred{i}", "rawPredictionCol": f"raw{i}", "probabilityCol": f"prob{i}"}
-
-    deep = {"maxMemoryInMB": 512, "checkpointInterval": 10}
-    return {
-        LOGISTIC: LogisticRegression(featuresCol="scaled", weightCol="w_balanced", maxIter=sizes.logistic_iterations,
-                                     regParam=1.0 / max(balance.total, 1), elasticNetParam=0.0, standardization=False,
-                                     **outputs(0)),
-        FOREST: RandomForestClassifier(featuresCol="features", weightCol="w_balanced", numTrees=sizes.forest_trees,
-                                       maxDepth=sizes.forest_depth, minInstancesPerNode=2, seed=sizes.seed,
-                                       **deep, **outputs(1)),
-        BOOSTED: GBTClassifier(featuresCol="features", maxIter=sizes.boosted_rounds, stepSize=sizes.rate,
-                               maxDepth=sizes.boosted_depth, seed=sizes.seed, **deep, **outputs(2)),
-        REGULARISED: GBTClassifier(featuresCol="features", weightCol="w_positive", maxIter=sizes.regularised_rounds,
-                                   stepSize=sizes.rate, maxDepth=sizes.regularised_depth, subsamplingRate=0.9,
-                                   featureSubsetStrategy="0.9", seed=sizes.seed, **deep, **outputs(3)),
+    deep = {"labelCol": "y", "featuresCol": "features", "maxMemoryInMB": 512, "checkpointInterval": 10, "seed": sizes.seed}
+    built = {
+        LOGISTIC: LogisticRegression(labelCol="y", featuresCol="scaled", weightCol="w_balanced", maxIter=sizes.logistic_iterations,
+                                     regParam=1.0 / max(balance.total, 1), elasticNetParam=0.0, standardization=False),
+        FOREST: RandomForestClassifier(weightCol="w_balanced", numTrees=sizes.forest_trees, maxDepth=sizes.forest_depth,
+                                       minInstancesPerNode=2, **deep),
+        BOOSTED: GBTClassifier(maxIter=sizes.boosted_rounds, stepSize=sizes.rate, maxDepth=sizes.boosted_depth, **deep),
+        REGULARISED: GBTClassifier(weightCol="w_positive", maxIter=sizes.regularised_rounds, stepSize=sizes.rate,
+                                   maxDepth=sizes.regularised_depth, subsamplingRate=0.9, featureSubsetStrategy="0.9", **deep),
     }
+    for i, (name, estimator) in enumerate(built.items()):
+        built[name] = estimator.setPredictionCol(f"pred{i}").setRawPredictionCol(f"raw{i}").setProbabilityCol(f"prob{i}")
+    return built
 
 
 def class_balance(labelled: DataFrame, y: str = "y") -> Balance:
@@ -166,10 +162,9 @@ def cross_validate(df: DataFrame, spec: FeatureSpec, id_col: str, k: int = 5, si
     try:
         for fold in range(k):
             models, _, _ = fit_zoo(folded.where(F.col("fold") != fold), spec, sizes, only, parallelism)
-            scored = predictions(models, folded.where(F.col("fold") == fold), ["y"]).persist(StorageLevel.MEMORY_AND_DISK)
+            scored = predictions(models, folded.where(F.col("fold") == fold), ["y"])
             rows += [(fold, *r) for r in class_metrics(scored, ["model"]).select(
                 "model", "accuracy", "precision", "recall", "f1", "roc_auc").collect()]
-            scored.unpersist()
     finally:
         folded.unpersist()
     table = df.sparkSession.createDataFrame(
@@ -195,16 +190,19 @@ def train_classifiers(
 
     A failing cross-validation leaves ``cv`` empty and its message in ``extra``.
     """
-    table = model_input(df, spec, target, id_col, positive, rule)
-    split = stratified_split(table, "y", id_col, test_share)
-    train, test = split.where(~F.col("is_test")), split.where("is_test")
-    models, names, balance = fit_zoo(train, spec, sizes, only, parallelism)
-    result = TrainedZoo(models, spec, names, balance, test=test, train=train)
-    if cv_folds:
-        try:
-            result.cv = cross_validate(table, spec, id_col, cv_folds, sizes, only, parallelism)
-        except Exception as exc:  # noqa: BLE001
-            result.extra["cv_error"] = str(exc)
+    table = model_input(df, spec, target, id_col, positive, rule).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        split = stratified_split(table, "y", id_col, test_share)
+        train, test = split.where(~F.col("is_test")), split.where("is_test")
+        models, names, balance = fit_zoo(train, spec, sizes, only, parallelism)
+        result = TrainedZoo(models, spec, names, balance, test=test, train=train)
+        if cv_folds:
+            try:
+                result.cv = cross_validate(table, spec, id_col, cv_folds, sizes, only, parallelism)
+            except Exception as exc:  # noqa: BLE001
+                result.extra["cv_error"] = str(exc)
+    finally:
+        table.unpersist()
     return result
 
 
@@ -227,12 +225,13 @@ def train_regression(df: DataFrame, measure: str, id_col: str, spec: FeatureSpec
     if measure in spec.columns or id_col in spec.columns:
         raise ValueError("the measure and the id cannot be features")
     table = df.select(id_col, *spec.columns, to_number(df, measure).alias("y")).where("y IS NOT NULL")
-    split = random_split(table, id_col, test_share, seed)
-    train, test = split.where(~F.col("is_test")), split.where("is_test")
-    prepared = encoder(spec).fit(train)
-    encoded = prepared.transform(train).select("y", "scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        split = random_split(table, id_col, test_share, seed)
+        train, test = split.where(~F.col("is_test")), split.where("is_test")
+        prepared = encoder(spec).fit(train)
+        encoded = prepared.transform(train).select("y", "scaled")
         fitted = LinearRegression(featuresCol="scaled", labelCol="y", solver="auto", regParam=0.0).fit(encoded)
     finally:
-        encoded.unpersist()
+        table.unpersist()
     return PipelineModel([*prepared.stages, fitted]), test

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load():
     """(queries, oracle SQL) of all sections."""
-    from cohortlens.plans import analysis, tables  # noqa: F401
+    from cohortlens.plans import analysis, modelling, tables  # noqa: F401
     from cohortlens.plans.registry import ORACLES, QUERIES
 
     return dict(QUERIES), dict(ORACLES)
