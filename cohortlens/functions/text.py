@@ -21,6 +21,7 @@ def _accent_map() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accent_map()
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def normalize_key(text: Column) -> Column:
@@ -36,7 +37,7 @@ def half_even(value: Column, digits: int) -> Column:
 
 def strip_blanks(text: Column) -> Column:
     """Drop leading and trailing whitespace of any kind, not just spaces."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def sanitize_text(text: Column) -> Column:

@@ -11,14 +11,15 @@ The counts prove the bracket right, so the result is exact.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cohortlens.session import broadcast_if_small, checkpointed
 
-MAP_LIMIT = 200_000
+MAP_LIMIT = 1_000_000
 INSIDE_LIMIT = 2_000_000
 GRID = 500
 SKETCH_ACCURACY = 10_000
@@ -36,11 +37,11 @@ def _long(df: DataFrame, measures: dict[str, Column], by: str | None) -> DataFra
 
 
 def distinct_bound(df: DataFrame, measures: dict[str, Column], by: str | None = None) -> int:
-    """Largest approximate number of distinct values of any group and measure."""
+    """About how many distinct values all measures of the widest group have together."""
     sketch = [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(measures.values())]
     grouped = df.groupBy(by).agg(*sketch) if by else df.agg(*sketch)
-    top = F.greatest(*[F.col(f"d{i}") for i in range(len(measures))]) if len(measures) > 1 else F.col("d0")
-    return grouped.agg(F.max(top)).first()[0] or 0
+    together = reduce(lambda a, b: a + b, [F.col(f"d{i}") for i in range(len(measures))])
+    return grouped.agg(F.max(together)).first()[0] or 0
 
 
 def exact_quantiles(

@@ -48,12 +48,12 @@ def hash_cuts(df: DataFrame, stratum: Column, id_col: str, ranks: list[Column],
     needed = {(e["stratum"], e["prefix"]) for e in ends if e["need"] >= 1}
     if not needed:
         return cuts
-    near = reduce(lambda a, b: a | b, [(F.col("stratum") == s) & (F.col("prefix") == p) for s, p in sorted(needed)])
+    cell = F.struct(F.col("stratum"), F.col("prefix"))
+    near = cell.isin([F.struct(F.lit(s), F.lit(p)) for s, p in sorted(needed)])
     inside = Window.partitionBy("stratum", "prefix").orderBy("h")
     ranked = hashed.where(near).select("stratum", "prefix", "h", F.row_number().over(inside).alias("rn"))
-    at = reduce(lambda a, b: a | b, [
-        (F.col("stratum") == e["stratum"]) & (F.col("prefix") == e["prefix"]) & (F.col("rn") == e["need"])
-        for e in ends if e["need"] >= 1
+    at = F.struct("stratum", "prefix", "rn").isin([
+        F.struct(F.lit(e["stratum"]), F.lit(e["prefix"]), F.lit(e["need"]).cast("int")) for e in ends if e["need"] >= 1
     ])
     hashes = {(r["stratum"], r["prefix"], r["rn"]): r["h"] for r in ranked.where(at).collect()}
     for e in ends:
@@ -63,19 +63,26 @@ def hash_cuts(df: DataFrame, stratum: Column, id_col: str, ranks: list[Column],
 
 
 def _part(stratum: Column, id_col: str, cuts: dict[object, list[str]], seed: int) -> Column:
-    """How many of its class's ends a row's hash lies beyond."""
+    """How many of its class's ends a row's hash lies beyond; NULL without a class."""
     digest = row_hash(id_col, seed)
-    part = F.lit(None).cast("int")
-    for value, ends in cuts.items():
-        beyond = reduce(lambda a, b: a + b, [(digest > end).cast("int") for end in ends])
-        part = F.when(stratum == value, beyond).otherwise(part)
-    return part
+    if not cuts:
+        return F.lit(None).cast("int")
+    slots = range(max(len(ends) for ends in cuts.values()))
+
+    def end(slot: int) -> Column:
+        found = F.lit(None).cast("string")
+        for value, ends in cuts.items():
+            found = F.when(stratum == value, F.lit(ends[slot])).otherwise(found)
+        return found
+
+    # Every term has the digest in plain sight, so it is computed once per row.
+    return reduce(lambda a, b: a + b, [(digest > end(slot)).cast("int") for slot in slots])
 
 
 def stratified_split(df: DataFrame, y: str, id_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add boolean ``is_test``: exactly ``round(share * n)`` rows of each class."""
+    """Add boolean ``is_test``: exactly ``round(share * n)`` rows of each class; NULL without one."""
     cuts = hash_cuts(df, F.col(y), id_col, [F.round(F.col("n") * F.lit(test_share))], seed)
-    return df.withColumn("is_test", _part(F.col(y), id_col, cuts, seed) == 0).where("is_test IS NOT NULL")
+    return df.withColumn("is_test", _part(F.col(y), id_col, cuts, seed) == 0)
 
 
 def random_split(df: DataFrame, id_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -85,8 +92,8 @@ def random_split(df: DataFrame, id_col: str, test_share: float = 0.2, seed: int
 
 
 def stratified_folds(df: DataFrame, y: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold`` 0..k-1: folds of each class differ by one row at most."""
+    """Add ``fold`` 0..k-1: folds of each class differ by one row at most; NULL without one."""
     share, extra = F.floor(F.col("n") / k), F.col("n") % k
     ranks = [share * i + F.least(extra, F.lit(i)) for i in range(1, k)]
     cuts = hash_cuts(df, F.col(y), id_col, ranks, seed)
-    return df.withColumn("fold", _part(F.col(y), id_col, cuts, seed)).where("fold IS NOT NULL")
+    return df.withColumn("fold", _part(F.col(y), id_col, cuts, seed))

@@ -16,9 +16,7 @@ def known_label(df: DataFrame, target: str) -> Column:
         number = F.col(target).cast("double")
         return F.when(number == 1, 1).when(number == 0, 0).cast("int")
     label = F.lower(strip_blanks(F.col(target).cast("string")))
-    return (
-        F.when(label.isin(POSITIVE_LABELS), 1).when(label.isin(NEGATIVE_LABELS), 0).cast("int")
-    )
+    return F.when(label.isin(POSITIVE_LABELS), 1).when(label.isin(NEGATIVE_LABELS), 0)
 
 
 def label_counts(df: DataFrame, target: str) -> DataFrame:
@@ -57,9 +55,8 @@ def event_value(
     known = known_label(df, target)
     label = F.col(target).cast("string")
     failure = F.raise_error(F.concat(F.lit("label cannot be mapped to 0/1: "), label)).cast("int")
-    strict = F.when(F.col(target).isNull(), F.lit(None).cast("int")).when(known.isNotNull(), known)
     if rule == "vocabulary":
-        return strict.otherwise(failure)
+        return F.coalesce(known, F.when(F.col(target).isNotNull(), failure))
     facts = (
         label_counts(df, target)
         .agg(
