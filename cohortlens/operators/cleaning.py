@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from cohortlens.functions.text import strip_blanks
 from cohortlens.operators.profile import value_counts
 from cohortlens.operators.quality import duplicate_summary, iqr_outliers
 from cohortlens.operators.quantiles import exact_quantiles
+from cohortlens.session import checkpointed
 
 
 def _floating_columns(df: DataFrame) -> list[str]:
@@ -58,38 +60,42 @@ def clean_report(df: DataFrame, drop_duplicates: bool = True) -> DataFrame:
     """One row: sizes before and after cleaning, and what was done.
 
     Outliers and infinities are looked at after the copies are gone and before
-    infinities become NULL.
+    infinities become NULL.  The rows without copies are kept while the report is
+    made, so they are found once.
     """
     trimmed = trim_strings(df)
-    kept = drop_duplicate_rows(trimmed) if drop_duplicates else trimmed
+    kept = (drop_duplicate_rows(trimmed) if drop_duplicates else trimmed).persist(StorageLevel.MEMORY_AND_DISK)
     floats = _floating_columns(df)
     before = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), _missing_cells(df).alias("missing"))).scalar()
     copies = duplicate_summary(df).select("duplicate_count").scalar()
-    copies_trimmed = duplicate_summary(trimmed).select("duplicate_count").scalar()
     infinite = reduce(lambda a, b: a + b, [F.count_if(is_infinite(F.col(c))) for c in floats] or [F.lit(0)])
     after = kept.agg(
         F.count(F.lit(1)).alias("rows_after"), _missing_cells(kept).alias("_missing"), infinite.cast("bigint").alias("inf_replaced"),
     )
-    cleaned = inf_to_null(kept)
     outliers = iqr_outliers(kept).agg(F.coalesce(F.sum("outlier_count"), F.lit(0)).alias("n")).scalar()
-    # Trimmed rows without copies can only fall together again where an infinity became NULL.
-    again = duplicate_summary(cleaned).select("duplicate_count").scalar()
+    # Rows without copies can fall together again where an infinity became NULL.
+    again = duplicate_summary(inf_to_null(kept)).select("duplicate_count").scalar()
+    dropped = before["rows"] - F.col("rows_after") if drop_duplicates else duplicate_summary(kept).select("duplicate_count").scalar()
     actions = F.array_compact(F.array(
         F.lit(f"trimmed {len(text_columns(df))} text columns"),
         F.when(F.col("_missing") > 0, F.concat(F.lit("kept "), F.col("_missing").cast("string"), F.lit(" missing values")))
         .otherwise("no missing values"),
-        F.when(copies_trimmed == 0, "no duplicate rows")
-        .otherwise(F.concat(F.lit("removed " if drop_duplicates else "kept "), copies_trimmed.cast("string"), F.lit(" duplicate rows"))),
+        F.when(dropped == 0, "no duplicate rows")
+        .otherwise(F.concat(F.lit("removed " if drop_duplicates else "kept "), dropped.cast("string"), F.lit(" duplicate rows"))),
         F.concat(F.lit("kept "), outliers.cast("string"), F.lit(" IQR outliers")),
         F.when(F.col("inf_replaced") > 0, F.concat(F.lit("set "), F.col("inf_replaced").cast("string"), F.lit(" infinities to NULL"))),
     ))
     n_cols = F.lit(len(df.columns))
-    return after.select(
+    report = after.select(
         before["rows"].alias("rows_before"), n_cols.alias("cols_before"), before["missing"].alias("missing_before"),
         copies.alias("duplicates_before"), "rows_after", n_cols.alias("cols_after"),
         (F.col("_missing") + F.col("inf_replaced")).alias("missing_after"), again.alias("duplicates_after"),
         "inf_replaced", F.array_join(actions, "; ").alias("actions"),
     )
+    try:
+        return checkpointed(report)
+    finally:
+        kept.unpersist()
 
 
 def column_defaults(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

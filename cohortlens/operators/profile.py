@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.numbers import is_text, looks_numeric, numeric_columns
 from cohortlens.functions.text import normalize_key
-from cohortlens.functions.vocabulary import FILTER_ROLES, NEGATIVE_LABELS, POSITIVE_LABELS
+from cohortlens.functions.vocabulary import FILTER_ROLES, NEGATIVE_LABELS, POSITIVE_LABELS, ROLE_ALIASES
 
 LONG_TEXT = 64
 
@@ -72,7 +72,7 @@ def _digest_cell(df: DataFrame, name: str) -> Column:
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, position, kind, dtype, n_rows, non_null, missing, missing_pct, n_unique,
-    numeric_share, date_like, date_parsed), one row per column in table order.
+    numeric_share, date_like, date_parsed), one row per column; ``position`` is the table order.
 
     ``approx=True`` swaps the exact distinct count for a sketch and drops the
     shuffle of values altogether.
@@ -140,7 +140,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool
         "numeric_share",
         "date_like",
         "date_parsed",
-    ).orderBy("position")
+    )
 
 
 def infer_kind(df: DataFrame) -> DataFrame:
@@ -154,24 +154,31 @@ def datetime_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def constant_rule() -> Column:
+    return F.col("n_unique") <= 1
+
+
+def high_cardinality_rule(share: float = 0.9) -> Column:
+    return (F.col("kind") == "categorical") & (F.col("n_unique") >= F.col("n_rows") * share)
+
+
+def id_like_rule() -> Column:
+    """Named like an identifier and nearly unique."""
+    name = F.replace(F.lower("column"), F.lit(" "), F.lit(""))
+    named = reduce(lambda a, b: a | b, [name.contains(w) for w in ("id", "employee", "manhanvien", "empid")])
+    return named & (F.col("n_unique") >= F.greatest(F.col("n_rows") * 0.9, F.lit(1)))
+
+
 def constant_columns(profile: DataFrame) -> DataFrame:
-    return profile.where("n_unique <= 1").select("column", "n_unique")
+    return profile.where(constant_rule()).select("column", "n_unique")
 
 
 def high_cardinality(profile: DataFrame, share: float = 0.9) -> DataFrame:
-    return profile.where((F.col("kind") == "categorical") & (F.col("n_unique") >= F.col("n_rows") * share)).select(
-        "column", "n_unique"
-    )
+    return profile.where(high_cardinality_rule(share)).select("column", "n_unique")
 
 
 def id_like(profile: DataFrame) -> DataFrame:
-    """Named like an identifier and nearly unique."""
-    name = F.replace(F.lower("column"), F.lit(" "), F.lit(""))
-    named = reduce(lambda a, b: a | b,
-                   [name.contains(w) for w in ("id", "employee", "manhanvien", "empid")])
-    return profile.where(named & (F.col("n_unique") >= F.greatest(F.col("n_rows") * 0.9, F.lit(1)))).select(
-        "column", "n_unique"
-    )
+    return profile.where(id_like_rule()).select("column", "n_unique")
 
 
 def identifier_rule(df: DataFrame) -> Column:
@@ -188,6 +195,17 @@ def identifier_columns(df: DataFrame, profile: DataFrame | None = None) -> DataF
     return profile.where((F.col("n_unique") > 1) & identifier_rule(df)).select("column", "n_unique")
 
 
+def feature_rule(df: DataFrame, target: str | None, id_col: str | None, junk: list[str] | None) -> Column:
+    """Neither target, id nor junk, not constant and not identifier-looking."""
+    dropped = [c for c in [target, id_col, *(junk or [])] if c]
+    usable = ~constant_rule() & ~identifier_rule(df)
+    return usable & ~F.col("column").isin(dropped) if dropped else usable
+
+
+def number_type_rule(df: DataFrame) -> Column:
+    return F.col("column").isin(numeric_columns(df) or [""])
+
+
 def feature_projection(
     df: DataFrame,
     target: str | None = None,
@@ -195,19 +213,10 @@ def feature_projection(
     junk: list[str] | None = None,
     profile: DataFrame | None = None,
 ) -> DataFrame:
-    """(column, role) of usable features: ``numeric`` by type, else ``categorical``.
-
-    Target, id, junk, constant and identifier-looking columns are left out.
-    """
+    """(column, role) of usable features: ``numeric`` by type, else ``categorical``."""
     profile = column_profile(df) if profile is None else profile
-    dropped = [c for c in [target, id_col, *(junk or [])] if c]
-    usable = (F.col("n_unique") > 1) & ~identifier_rule(df)
-    if dropped:
-        usable = usable & ~F.col("column").isin(dropped)
-    numbers = numeric_columns(df) or [""]
-    return profile.where(usable).select(
-        "column",
-        F.when(F.col("column").isin(numbers), "numeric").otherwise("categorical").alias("role"),
+    return profile.where(feature_rule(df, target, id_col, junk)).select(
+        "column", F.when(number_type_rule(df), "numeric").otherwise("categorical").alias("role")
     )
 
 
@@ -247,16 +256,23 @@ def categorical_uniques(df: DataFrame, max_unique: int = 50, numeric_max: int =
 
 def target_candidates(df: DataFrame) -> DataFrame:
     """(column, by_alias, by_labels): two-valued columns that read as an outcome."""
-    from cohortlens.functions.vocabulary import ROLE_ALIASES
-
-    counts = value_counts(df).where("value IS NOT NULL")
-    pairs = counts.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
-    ).where("n = 2")
+    columns = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    ends = df.agg(*[F.expr(f"{fn}(`{c}`) AS {fn}{i}") for i, c in enumerate(columns) for fn in ("min", "max")])
+    # A third value differs from both ends; one more pass counts such rows.
+    packed = ends.select(F.struct("*")).scalar()
+    third = df.agg(*[
+        F.count_if((F.col(c) != packed[f"min{i}"]) & (F.col(c) != packed[f"max{i}"])).alias(f"t{i}")
+        for i, c in enumerate(columns)
+    ])
+    rows = third.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), packed[f"min{i}"].cast("string").alias("low"),
+                 packed[f"max{i}"].cast("string").alias("high"), F.col(f"t{i}").alias("third"))
+        for i, c in enumerate(columns)
+    ])))
     labels = F.transform(F.array("low", "high"), lambda v: F.lower(F.trim(v)))
     vocabulary = F.array(*[F.lit(v) for v in [*POSITIVE_LABELS, *NEGATIVE_LABELS]])
     names = [normalize_key(F.lit(a)) for a in ROLE_ALIASES["target"]]
-    judged = pairs.select(
+    judged = rows.where("third = 0 AND low <> high").select(
         "column",
         F.array_contains(F.array(*names), normalize_key(F.col("column"))).alias("by_alias"),
         F.arrays_overlap(labels, vocabulary).alias("by_labels"),

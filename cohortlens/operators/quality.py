@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 from cohortlens.functions.numbers import (
     is_infinite, is_text, looks_numeric, numeric_columns, text_columns, to_number,
 )
-from cohortlens.operators.profile import categorical_uniques, column_profile
+from cohortlens.operators.profile import (
+    categorical_uniques, column_profile, constant_rule, feature_rule, high_cardinality_rule, id_like_rule, number_type_rule,
+    target_candidates,
+)
 from cohortlens.operators.quantiles import exact_quantiles
 
 
@@ -274,46 +277,43 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_dataset(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """One row: counts per kind, missing cells, duplicates, lists of special columns."""
-    from cohortlens.operators.profile import constant_columns, high_cardinality, id_like, target_candidates
+def _listed(condition: Column) -> Column:
+    """Names of the profile rows that meet a condition, in one text."""
+    return F.array_join(F.array_sort(F.collect_list(F.when(condition, F.col("column")))), ",")
 
-    profile = column_profile(df) if profile is None else profile
 
-    def names(table: DataFrame) -> Column:
-        return table.agg(F.array_sort(F.collect_list("column"))).scalar()
+def _candidates(df: DataFrame) -> Column:
+    return target_candidates(df).agg(F.array_join(F.array_sort(F.collect_list("column")), ",")).scalar()
+
 
+def profile_dataset(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """One row: counts per kind, missing cells, duplicates, lists of special columns."""
+    profile = column_profile(df) if profile is None else profile
     kinds = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("numeric", "categorical", "datetime", "boolean")]
     return profile.agg(
         F.max("n_rows").alias("row_count"), F.count(F.lit(1)).alias("column_count"), *kinds,
-        F.sum("missing").alias("missing_cells"),
+        F.sum("missing").alias("missing_cells"), _listed(constant_rule()).alias("constant_columns"),
+        _listed(high_cardinality_rule()).alias("high_cardinality_columns"), _listed(id_like_rule()).alias("id_columns"),
     ).select(
-        "*",
-        duplicate_summary(df).select("duplicate_count").scalar().alias("duplicate_rows"),
-        F.array_join(names(constant_columns(profile)), ",").alias("constant_columns"),
-        F.array_join(names(high_cardinality(profile)), ",").alias("high_cardinality_columns"),
-        F.array_join(names(id_like(profile)), ",").alias("id_columns"),
-        F.array_join(names(target_candidates(df)), ",").alias("target_candidates"),
+        "*", duplicate_summary(df).select("duplicate_count").scalar().alias("duplicate_rows"),
+        _candidates(df).alias("target_candidates"),
     )
 
 
 def schema_summary(df: DataFrame, roles: dict[str, str], junk: list[str] | None = None,
                    profile: DataFrame | None = None) -> DataFrame:
     """One row describing the table as the analysis sees it."""
-    from cohortlens.operators.profile import feature_projection, target_candidates
-
     profile = column_profile(df) if profile is None else profile
-    features = feature_projection(df, roles.get("target"), roles.get("id"), junk, profile)
-    count = lambda kind: features.where(F.col("role") == kind).agg(F.count(F.lit(1))).scalar()
-    constants = profile.where("n_unique <= 1").agg(F.array_sort(F.collect_list("column"))).scalar()
+    usable, number = feature_rule(df, roles.get("target"), roles.get("id"), junk), number_type_rule(df)
+    named = [j for j in [roles.get("id"), *(junk or [])] if j]
+    unused = constant_rule() | F.col("column").isin(named) if named else constant_rule()
     filters = [roles[r] for r in ("department", "location", "gender", "overtime") if roles.get(r)]
     return profile.agg(
-        F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_cols"), F.sum("missing").alias("missing_total")
+        F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_cols"),
+        F.count_if(usable & number).alias("n_numeric"), F.count_if(usable & ~number).alias("n_categorical"),
+        F.sum("missing").alias("missing_total"), _listed(unused).alias("junk_columns"),
     ).select(
-        "n_rows", "n_cols", count("numeric").alias("n_numeric"), count("categorical").alias("n_categorical"),
-        "missing_total", duplicate_summary(df).select("duplicate_count").scalar().alias("duplicate_total"),
-        F.array_join(F.array_union(constants, F.array(*[F.lit(j) for j in [roles.get("id"), *(junk or [])] if j]).cast("array<string>")), ",").alias("junk_columns"),
-        F.array_join(target_candidates(df).agg(F.array_sort(F.collect_list("column"))).scalar(), ",").alias("target_candidates"),
-        F.lit(roles.get("target")).alias("target"),
+        "*", duplicate_summary(df).select("duplicate_count").scalar().alias("duplicate_total"),
+        _candidates(df).alias("target_candidates"), F.lit(roles.get("target")).alias("target"),
         F.lit(",".join(filters)).alias("filter_columns"),
     )
