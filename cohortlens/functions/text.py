@@ -53,7 +53,7 @@ def ellipsize(text: Column, width: int = 40) -> Column:
 
 
 def format_pct(value: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", half_even(value, digits)), F.lit("N/A"))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f%%", half_even(value, digits))).otherwise("N/A")
 
 
 def format_money(value: Column, unit: str = "USD") -> Column:
@@ -63,7 +63,7 @@ def format_money(value: Column, unit: str = "USD") -> Column:
 
 
 def signed_diff(value: Column, unit: str = "pp") -> Column:
-    return F.format_string(f"%+.2f {unit}".rstrip(), half_even(value, 2))
+    return F.when(value.isNotNull(), F.format_string(f"%+.2f {unit}".rstrip(), half_even(value, 2)))
 
 
 def format_metric(value: Column) -> Column:
