@@ -20,6 +20,7 @@ from cohortlens.operators.splits import random_split, stratified_folds, stratifi
 from cohortlens.operators.target import event_value
 from cohortlens.session import enable_checkpoints
 
+SMALL_PARTITION_ROWS = 50_000
 LOGISTIC, FOREST, BOOSTED, REGULARISED = (
     "Logistic Regression", "Random Forest", "Gradient Boosting", "Regularised Boosting",
 )
@@ -106,6 +107,12 @@ def model_input(df: DataFrame, spec: FeatureSpec, target: str, id_col: str, posi
     return df.select(*kept, event_value(df, target, positive, rule).alias("y")).where("y IS NOT NULL")
 
 
+def _spread(rows: DataFrame, count: int) -> DataFrame:
+    """Let a small table, often one file, use all cores; a large one keeps its partitions."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if count <= cores * SMALL_PARTITION_ROWS else rows
+
+
 def fit_zoo(train: DataFrame, spec: FeatureSpec, sizes: ZooSizes | None = None, only: list[str] | None = None,
             parallelism: int = 4) -> tuple[dict[str, PipelineModel], list[str], Balance]:
     """Fit the encoder once, keep the encoded table, and fit all models on it.
@@ -118,7 +125,7 @@ def fit_zoo(train: DataFrame, spec: FeatureSpec, sizes: ZooSizes | None = None,
     if min(balance.events, balance.others) == 0:
         raise ValueError("training needs rows of both classes")
     prepared = encoder(spec).fit(train)
-    encoded = prepared.transform(train).select(
+    encoded = prepared.transform(_spread(train, balance.total)).select(
         "y", "features", "scaled", balance.balanced().alias("w_balanced"), balance.positive().alias("w_positive")
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -15,7 +15,7 @@ from cohortlens.sources import reports
 
 SPEC = features.FeatureSpec(MEASURES, ["department", "job_role", "overtime"])
 # Small models keep the checks short; the defaults of ``ZooSizes`` are the full ones.
-SIZES = zoo.ZooSizes(logistic_iterations=50, forest_trees=10, forest_depth=6, boosted_rounds=6, boosted_depth=3,
+SIZES = zoo.ZooSizes(logistic_iterations=20, forest_trees=10, forest_depth=6, boosted_rounds=6, boosted_depth=3,
                      regularised_rounds=6, regularised_depth=4)
 
 

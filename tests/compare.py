@@ -37,6 +37,16 @@ def _table(names: list[str], rows) -> tuple[list[str], list[str]]:
     return [names[i] for i in order], sorted(repr([_plain(r[i]) for i in order]) for r in rows)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+
+
+def type_gaps(df, description) -> list[str]:
+    """Columns whose Spark and SQL types differ."""
+    wanted = {d[0]: str(d[1]) for d in description}
+    return [f"{f.name}: {f.dataType.simpleString()} / {wanted[f.name]}" for f in df.schema
+            if TYPES.get(f.dataType.simpleString()) != wanted[f.name]]
+
+
 def compare(spark, sf_dir: str, run, sql: str | None, con) -> str | None:
     """None when equal, else what differs."""
     df = run(spark, sf_dir)
@@ -47,6 +57,9 @@ def compare(spark, sf_dir: str, run, sql: str | None, con) -> str | None:
     wanted_names, wanted = _table([d[0] for d in found.description], found.fetchall())
     if names != wanted_names:
         return f"columns {names} != {wanted_names}"
+    gaps = type_gaps(df, found.description)
+    if gaps:
+        return f"types {gaps}"
     if len(rows) != len(wanted):
         return f"{len(rows)} rows != {len(wanted)}"
     differing = [(a, b) for a, b in zip(rows, wanted) if a != b]
