@@ -37,7 +37,8 @@ def _table(names: list[str], rows) -> tuple[list[str], list[str]]:
     return [names[i] for i in order], sorted(repr([_plain(r[i]) for i in order]) for r in rows)
 
 
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP",
+         "timestamp_ntz": "TIMESTAMP"}
 
 
 def type_gaps(df, description) -> list[str]:
