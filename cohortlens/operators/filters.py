@@ -85,7 +85,8 @@ def page(df: DataFrame, key: str, number: int, size: int = 25, top_limit: int =
     """Page ``number`` (from 0) of ``size`` rows by a unique key.
 
     Early pages are a top-k.  Deep ones would make a top-k carry everything before
-    them, so they go by exact positions, counted range by range.
+    them, so with a number or time key they go by exact positions, counted range by
+    range.  A text key has no such ranges and stays with the top-k.
     """
     first = number * size
     if first + size <= top_limit or is_text(df, key):

@@ -241,15 +241,19 @@ def suggest_filters(
 def categorical_uniques(df: DataFrame, max_unique: int = 50, numeric_max: int = 20) -> DataFrame:
     """(column, n_categories, categories) for columns of few values.
 
-    Only the first ``max_unique + 1`` values per column are ever gathered, which
-    is enough to know that a column has too many.
+    A sketch per column first rules out columns far above the limit, so ids and long
+    texts are not shuffled; the rest is counted exactly.
     """
-    counts = value_counts(df).where("value IS NOT NULL")
+    numbers = numeric_columns(df)
+    limits = {c: min(numeric_max, max_unique) if c in numbers else max_unique for c in df.columns}
+    sketch = df.agg(*[F.approx_count_distinct(_cell_text(df, c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
+    near = [c for i, c in enumerate(df.columns) if 0 < sketch[f"d{i}"] <= 4 * limits[c]]
+    if not near:
+        return df.sparkSession.createDataFrame([], "column string, n_categories bigint, categories array<string>")
+    counts = value_counts(df, near).where("value IS NOT NULL")
     sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_categories"))
-    numbers = numeric_columns(df) or [""]
-    limit = F.when(F.col("column").isin(numbers), min(numeric_max, max_unique)).otherwise(max_unique)
-    few = sizes.where(F.col("n_categories") <= limit)
-    # One row per table column at most.
+    few = sizes.where(F.col("n_categories") <= by_name({c: limits[c] for c in near}))
+    # One row per table column at most, and at most ``max_unique`` values per list.
     kept = counts.join(F.broadcast(few), "column")
     return kept.groupBy("column", "n_categories").agg(F.array_sort(F.collect_list("value")).alias("categories"))
 
