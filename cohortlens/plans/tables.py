@@ -186,9 +186,9 @@ def _(spark, sf_dir):
     return filters.page(risk(spark, sf_dir), "emp_id", 3, 25)
 
 
-@query("page_deep", sql(None, "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 7500"))
+@query("page_deep", sql(None, "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 1000"))
 def _(spark, sf_dir):
-    return filters.page(table(spark, sf_dir, "orders"), "o_orderkey", 300, 25, top_limit=1000)
+    return filters.page(table(spark, sf_dir, "orders"), "o_orderkey", 40, 25, top_limit=500)
 
 
 @query("band_filter", sql("scored", "SELECT emp_id, score, 'High' AS risk_band FROM scored WHERE score * 100 >= 60"))
