@@ -146,10 +146,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def bit_sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Set bits per position and run of ``hashes``; run i is first[i]:first[i + 1]."""
     counts = np.zeros((len(first) - 1, 64), np.int64)
-    full = np.flatnonzero(np.diff(first) > 0)
-    if len(full):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts[full] = np.add.reduceat(bits, first[full], axis=0, dtype=np.int32)
+    for low in range(0, len(hashes), 1 << 17):
+        own = np.clip(first - low, 0, min(1 << 17, len(hashes) - low))
+        full = np.flatnonzero(np.diff(own) > 0)
+        bits = np.unpackbits(hashes[low:low + (1 << 17)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts[full] += np.add.reduceat(bits, own[full], axis=0, dtype=np.int32)
     return counts
 
 

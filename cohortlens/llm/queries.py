@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import simhash
+from cohortlens.llm import decontaminate, pii, simhash, toxicity, urlrules
 from cohortlens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,51 @@ def query(name: str, sql: str | None = None):
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
+
+
+#: (host, path, verdict) of the fixed rules of op7.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+             ("com", "/de/", "block")]
+
+
+def _url_sql() -> str:
+    longest_first = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = {h + p: f"(ends_with('.' || host, '.{h}') AND starts_with(path, '{p}'))" for h, p, _ in URL_RULES}
+    rule = " ".join(f"WHEN {fits[h + p]} THEN '{h}{p}'" for h, p, _ in longest_first)
+    verdict = " ".join(f"WHEN {fits[h + p]} THEN '{v}'" for h, p, v in longest_first)
+    return f"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id,
+  translate(regexp_extract(r, '^[^/?#]*', 0), '{urlrules.UPPER}', '{urlrules.LOWER}') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM parts"""
+
+
+@query("op7_url_rules", _url_sql())
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = urlrules.judge_urls(read_table(spark, sf_dir, "pages"), rules)
+    return judged.withColumnRenamed("id", "page_id")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("id").alias("doc_id"), *[number(k) for k in pii.KINDS],
+                        F.sha2(pii.spans_text(F.col("spans"), len(pii.PATTERNS)), 256).alias("base_sha256"),
+                        pii.spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
