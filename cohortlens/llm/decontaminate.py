@@ -35,10 +35,11 @@ SHINGLE = 5
 WORDS_AT_ONCE = 1 << 17
 
 
-def size_row(n: int) -> int:
-    """The largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... that is at most ``n``."""
+def size_row(n: int, step: int) -> int:
+    """The largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... times ``step`` that is at most ``n``."""
+    n //= step
     power = 1 << (max(n, 1).bit_length() - 1)
-    return power + power // 2 if power >= 2 and n >= power + power // 2 else power
+    return step * (power + power // 2 if power >= 2 and n >= power + power // 2 else power)
 
 
 def _shingle_set(words: np.ndarray) -> np.ndarray:
@@ -66,7 +67,7 @@ class Items:
         for k, words in enumerate(self.words):
             if len(words):
                 step = stride if len(words) >= 2 * stride else 1
-                size = size_row(len(words) - step + 1)
+                size = size_row(len(words) - step + 1, step)
                 for at in range(len(words) - size + 1):
                     bits = common.bit_sums(words[at:at + size], np.array([0, size]))
                     by_size.setdefault((size, step), []).append((int(common.majority_bits(bits, np.array([size]))[0]), k, at))
@@ -118,17 +119,18 @@ class Items:
         return both / whole if whole else 0.0
 
 
-def _running_votes(words: np.ndarray) -> np.ndarray:
-    """Set bits per position among the first i words."""
-    sums = np.zeros((len(words) + 1, 64), np.int32)
+def _running_votes(words: np.ndarray, groups: np.ndarray, dtype) -> np.ndarray:
+    """Set bits per position among the words before each group; differences of counts are right modulo 2^16."""
+    sums = np.zeros((len(groups) + 1, 64), dtype)
     bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
+    np.cumsum(bits if len(groups) == len(words) else np.add.reduceat(bits, groups, axis=0, dtype=np.uint8), axis=0, dtype=dtype, out=sums[1:])
     return sums
 
 
-def _fingerprints_at(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    votes = sums[starts + size] - sums[starts]
-    return np.packbits(2 * votes > size, axis=1, bitorder="little").view(np.uint64).ravel()
+def _fingerprints(sums: np.ndarray, first: np.ndarray, count: int, size: int) -> np.ndarray:
+    """Majority bits of the ``size`` words in ``count`` groups from each ``first`` one."""
+    votes = sums[first + count] - sums[first]
+    return np.packbits(votes > size // 2, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _scan(items_of, min_similarity: float):
@@ -149,10 +151,17 @@ def _scan(items_of, min_similarity: float):
                 text = np.arange(len(n_words)).repeat(n_words)
                 for low in range(0, len(words), WORDS_AT_ONCE):
                     high = min(low + WORDS_AT_ONCE, len(words))
-                    sums = _running_votes(words[low:high + items.longest])
+                    part, sums = words[low:high + items.longest], {}
+                    spot_of = place[low:high + items.longest]
                     for (size, step), (_, owner, offset, _) in items.tables.items():
-                        windows = low + np.flatnonzero((place[low:high] % step == 0) & (left[low:high] >= size))
-                        hit, entry = items.candidates((size, step), _fingerprints_at(sums, windows - low, size))
+                        if step not in sums:  # a group is ``step`` words from a place that a window may start at
+                            groups = np.flatnonzero(spot_of % step == 0)
+                            groups = groups if len(groups) and groups[0] == 0 else np.concatenate([[0], groups])
+                            sums[step] = groups, _running_votes(part, groups, np.uint16 if items.longest < 1 << 15 else np.int32)
+                        groups, votes = sums[step]
+                        begins = np.flatnonzero((groups < high - low) & (spot_of[groups] % step == 0) & (left[low + groups] >= size))
+                        windows = low + groups[begins]
+                        hit, entry = items.candidates((size, step), _fingerprints(votes, begins, size // step, size))
                         for w, e in zip(windows[hit].tolist(), entry.tolist(), strict=True):
                             k, doc = int(owner[e]), int(text[w])
                             begin = max(w - int(offset[e]), int(first[doc]))
