@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is the sum of a word embedding (hashed lower-cased word) and the mean of character
-embeddings (hashed runs of 3 and 4 bytes of the word with its boundaries), so that unseen words count by
-their parts.  Overlapping windows of ``WINDOW`` words, one every ``HOP`` words, cover each whole text; two
+A word's input is the sum of a word embedding (hashed lower-cased word) and of character embeddings
+(hashed runs of 4 and 6 bytes of the word with its boundaries, divided by the root of their number), so
+that unseen words count by their parts.  Two columns of the embeddings start from how much more often
+the word or run occurs in toxic training rows; all are then trained with the rest.  Overlapping windows of ``WINDOW`` words, one every ``HOP`` words, cover each whole text; two
 gated recurrent layers read a window in both directions, attention pools their states, and the text's
 score is that of its most toxic window.
 
@@ -28,8 +29,11 @@ from cohortlens.llm import common
 
 WINDOW, HOP = 32, 24
 HIDDEN, WIDTH, ATTEND = 12, 16, 12
-WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
+WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 16
+GRAMS = (4, 6)
 CUT = 0.7
+#: Training texts that must hold a word or run before it has an embedding, and before its log odds count half.
+LEAST, SHRINK = 3, 6
 WINDOWS_AT_ONCE = 4096
 
 
@@ -53,7 +57,7 @@ class Words:
         sums = common.prefix_sums(common.byte_codes(flat))
         word_of = np.arange(len(sizes)).repeat(sizes)
         rows, owners = [], []
-        for k in (3, 4):
+        for k in GRAMS:
             at = np.flatnonzero(np.arange(len(flat)) + k <= begin[1:][word_of])
             rows.append((common.span_hash(sums, at, at + k) % np.uint64(CHAR_ROWS)).astype(np.int64))
             owners.append(word_of[at])
@@ -82,7 +86,7 @@ def new_model(seed: int = 7) -> dict[str, np.ndarray]:
     g = np.random.Generator(np.random.PCG64(seed))
     shape = {"word": (WORD_ROWS, WIDTH), "char": (CHAR_ROWS, WIDTH), "in_f": (WIDTH, 3 * HIDDEN), "in_b": (WIDTH, 3 * HIDDEN),
              "re_f": (HIDDEN, 3 * HIDDEN), "re_b": (HIDDEN, 3 * HIDDEN), "att": (2 * HIDDEN, ATTEND), "pick": (ATTEND,), "out": (2 * HIDDEN,)}
-    scale = {"word": 0.1, "char": 0.1}
+    scale = {"word": 0.02, "char": 0.02}
     model = {k: (g.standard_normal(s) * scale.get(k, 1 / np.sqrt(s[0]))).astype(np.float32) for k, s in shape.items()}
     model |= {"bias_f": np.zeros(3 * HIDDEN, np.float32), "bias_b": np.zeros(3 * HIDDEN, np.float32), "bias": np.zeros(1, np.float32)}
     return model
@@ -97,7 +101,7 @@ def word_inputs(model: dict, words: Words) -> np.ndarray:
             part = full[low:low + (1 << 15)]
             a, b = words.char_first[part[0]], words.char_first[part[-1] + 1]
             sums = np.add.reduceat(model["char"][words.char_row[a:b]], words.char_first[part] - a, axis=0)
-            out[part] += sums / count[part][:, None].astype(np.float32)
+            out[part] += sums / np.sqrt(count[part])[:, None].astype(np.float32)
     return out
 
 
@@ -143,7 +147,7 @@ def forward(model: dict, inputs: np.ndarray, numbers: np.ndarray, keep: bool = F
 def _direction_back(kept, d_states, recurrent, numbers, n_words):
     h = HIDDEN
     d_rec_w = np.zeros_like(recurrent)
-    d_proj = np.zeros((n_words + 1, 3 * h), np.float32)
+    d_gates = np.zeros((WINDOW, len(numbers), 3 * h), np.float32)
     d_state = np.zeros_like(kept[0][1])
     for t, before, rec_n, update, reset, new, inside in reversed(kept):
         d_after = d_state + d_states[t]
@@ -152,12 +156,17 @@ def _direction_back(kept, d_states, recurrent, numbers, n_words):
         d_new = d_out * (1 - update) * (1 - new * new)
         d_update = d_out * (before - new) * update * (1 - update)
         d_reset = d_new * rec_n * reset * (1 - reset)
-        d_gates = np.concatenate([d_update, d_reset, d_new], axis=1)
+        d_gates[t] = np.concatenate([d_update, d_reset, d_new], axis=1)
         d_rec = np.concatenate([d_update, d_reset, d_new * reset], axis=1)
-        np.add.at(d_proj, numbers[:, t], d_gates)
         d_rec_w += before.T @ d_rec
         d_state = d_out * update + d_rec @ recurrent.T + d_after * (1 - live)
-    return d_proj[:-1], d_rec_w
+    d_proj = np.zeros((n_words, 3 * h), np.float32)
+    flat = numbers.T.ravel()
+    order = np.argsort(flat, kind="stable")[(flat < 0).sum():]
+    if len(order):
+        first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+        d_proj[flat[order][first]] = np.add.reduceat(d_gates.reshape(-1, 3 * h)[order], first, axis=0)
+    return d_proj, d_rec_w
 
 
 def gradients(model: dict, words: Words, inputs: np.ndarray, numbers: np.ndarray, d_logit_of) -> dict:
@@ -181,7 +190,7 @@ def gradients(model: dict, words: Words, inputs: np.ndarray, numbers: np.ndarray
     used = np.unique(numbers[numbers >= 0])
     grad["word"] = (words.word_row[used], d_inputs[used])
     count = np.diff(words.char_first)
-    share = d_inputs / np.maximum(count, 1)[:, None].astype(np.float32)
+    share = d_inputs / np.sqrt(np.maximum(count, 1))[:, None].astype(np.float32)
     chars = np.concatenate([np.arange(words.char_first[u], words.char_first[u + 1]) for u in used]) if len(used) else np.zeros(0, np.int64)
     grad["char"] = (words.char_row[chars], share[used].repeat(count[used], axis=0))
     return grad
@@ -199,17 +208,49 @@ class Steps:
         self.n += 1
         for k, g in grad.items():
             if isinstance(g, tuple):
+                if not len(g[0]):
+                    continue
                 rows, where = np.unique(g[0], return_inverse=True)
                 total = np.zeros((len(rows), g[1].shape[1]), np.float32)
                 np.add.at(total, where, g[1])
                 self.v[k][rows] += total * total
-                self.model[k][rows] -= 5 * self.rate * total / (np.sqrt(self.v[k][rows]) + 1e-6)
+                self.model[k][rows] -= self.rate * total / (np.sqrt(self.v[k][rows]) + 1e-6)
             else:
                 self.m[k] += 0.1 * (g - self.m[k])
                 self.v[k] += 0.01 * (g * g - self.v[k])
                 self.model[k] -= self.rate * (self.m[k] / (1 - 0.9 ** self.n)) / (np.sqrt(self.v[k] / (1 - 0.99 ** self.n)) + 1e-7)
 
 
+def start_embeddings(model: dict, batches: list, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Set one column of each embedding to the log odds of its row in toxic against clean texts, shrunk where few texts have it.
+
+    Rows that fewer than ``LEAST`` texts have stay zero, so that a rare word tells nothing; returns the rows that may learn.
+    """
+    seen = {"word": np.zeros((WORD_ROWS, 2), np.float32), "char": np.zeros((CHAR_ROWS, 2), np.float32)}
+    for own, words, numbers, text in batches:
+        if not len(numbers):
+            continue
+        used = numbers >= 0
+        pairs = np.unique(text[:, None].repeat(WINDOW, axis=1)[used] * len(words.word_row) + numbers[used])
+        texts, which = pairs // len(words.word_row), pairs % len(words.word_row)
+        label = y[own].astype(np.int64)
+        size = np.diff(words.char_first)[which]
+        at = np.arange(size.sum()) - (np.cumsum(size) - size).repeat(size) + words.char_first[which].repeat(size)
+        for table, row, of in (("word", words.word_row[which], texts), ("char", words.char_row[at], texts.repeat(size))):
+            rows = len(seen[table])
+            once = np.unique(of * rows + row)
+            np.add.at(seen[table], (once % rows, label[once // rows]), 1)
+    n = np.array([(y == 0).sum(), (y == 1).sum()], np.float32)
+    known = {}
+    for column, (table, counts) in enumerate(seen.items()):
+        rate = np.log((counts + 0.5) / (n + 1))
+        total = counts.sum(axis=1)
+        known[table] = total >= LEAST
+        model[table][~known[table]] = 0
+        model[table][:, column] = np.where(known[table], (rate[:, 1] - rate[:, 0]) * total / (total + SHRINK), 0) / 2
+    return known
+
+
 def text_logits(model: dict, words: Words, n_texts: int) -> np.ndarray:
     """Largest window logit of each text; minus infinity without words."""
     out = np.full(n_texts, -np.inf, np.float32)
@@ -220,41 +261,45 @@ def text_logits(model: dict, words: Words, n_texts: int) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> dict:
+def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 7) -> dict:
     """Fit on whole texts: a text's logit is the largest of its windows'.
 
-    In the first passes the gradient is spread over the windows in proportion to the exponential of
-    their logits, later it goes to the highest window.
+    The gradient is shared by the windows in proportion to a power of the exponential of their logits,
+    a higher one in each pass, so that it comes to rest on the highest window.
     """
     model = new_model(seed)
     g = np.random.Generator(np.random.PCG64(seed))
     y = np.array(labels, np.float32)
+    order = g.permutation(len(texts))
+    batches = []
+    for low in range(0, len(order), batch):
+        own = order[low:low + batch]
+        words = _words_of([texts[i] for i in own])
+        batches.append((own, words, *words.windows()))
+    known = start_embeddings(model, batches, y)
     steps = Steps(model, rate)
     share = max(float(y.mean()), 1e-3)
     model["bias"][0] = -1.0
     heavy = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     for epoch in range(epochs):
-        order = g.permutation(len(texts))
-        for low in range(0, len(order), batch):
-            own = order[low:low + batch]
-            words = _words_of([texts[i] for i in own])
-            numbers, text = words.windows()
+        for k in g.permutation(len(batches)):
+            own, words, numbers, text = batches[k]
             if not len(numbers):
                 continue
             inputs = word_inputs(model, words)
-            logit = np.concatenate([forward(model, inputs, numbers[k:k + WINDOWS_AT_ONCE]) for k in range(0, len(numbers), WINDOWS_AT_ONCE)])
+            logit = np.concatenate([forward(model, inputs, numbers[i:i + WINDOWS_AT_ONCE]) for i in range(0, len(numbers), WINDOWS_AT_ONCE)])
             top = np.full(len(own), -np.inf, np.float32)
             np.maximum.at(top, text, logit)
             part = np.exp((logit - top[text]) * np.float32(1 + 2 * epoch))
-            total = np.bincount(text, part, len(own)).astype(np.float32)
-            part /= total[text]
-            chosen = np.flatnonzero(part >= (0.01 if epoch < 2 else 0.1))
+            part /= np.bincount(text, part, len(own)).astype(np.float32)[text]
+            chosen = np.flatnonzero(part >= 0.05)
             target, weight = y[own][text[chosen]], (heavy[own] / len(own))[text[chosen]] * part[chosen]
-            if epoch < 2:  # every window of a clean text is clean
-                weight = np.where(target > 0, weight, weight + np.float32(0.2 / len(own)))
             grad = gradients(model, words, inputs, numbers[chosen], lambda z, t=target, w=weight: (_sigmoid(z) - t) * w)
+            for table, may in known.items():
+                rows, values = grad[table]
+                grad[table] = rows[may[rows]], values[may[rows]]
             steps.apply(grad)
-            steps.rate = rate * (1 - 0.8 * (epoch + low / len(order)) / epochs)
+            steps.rate = rate * (1 - 0.8 * epoch / epochs)
     found = np.concatenate([text_logits(model, _words_of(texts[k:k + 256]), len(texts[k:k + 256])) for k in range(0, len(texts), 256)])
     model["bias"][0] += np.float32(np.log(CUT / (1 - CUT)) - best_cut(found, y))
     return model
@@ -319,12 +364,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negati
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", epochs: int | None = None) -> dict | float:
     """A trained model, or the constant 0.0 / 1.0 where the sample holds one label only.
 
-    Without ``epochs``, small samples get more passes: about as many text visits as 8 passes over 4,000.
+    Without ``epochs``, small samples get more passes: about as many text visits as 4 passes over 4,000.
     """
     texts, y = training_rows(docs, labels, max_positive, max_negative, max_train_words, id_col, text_col, label_col)
     if len(set(y)) < 2:
         return float(y[0]) if y else 0.0
-    return train(texts, y, epochs or int(np.clip(32_000 / len(texts), 6, 30)))
+    return train(texts, y, epochs or int(np.clip(16_000 / len(texts), 4, 12)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
