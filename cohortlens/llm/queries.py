@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, pii, simhash, toxicity, urlrules
+from cohortlens.llm import decontaminate, mixing, pii, secrets, simhash, toxicity, urlrules
 from cohortlens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,8 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow'
 
 @query("op7_url_rules", _url_sql())
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES])))
     judged = urlrules.judge_urls(read_table(spark, sf_dir, "pages"), rules)
     return judged.withColumnRenamed("id", "page_id")
 
@@ -75,3 +76,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: Wanted token shares of op1 and the pipeline.
+MIX_WEIGHTS = {"q1t0": 0.8, "q0t0": 0.15, "q1t1": 0.05}
+
+
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.domain_of(read_table(spark, sf_dir, "labels"))
+    found = mixing.mixed(read_table(spark, sf_dir, "documents"), labelled, MIX_WEIGHTS)
+    return found.select("doc_id", "n_tokens", "domain", "posterior", "rate", "copies")
+
+
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
