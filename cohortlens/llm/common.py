@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.session import checkpointed, scratch_path
 
@@ -40,7 +41,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def arrow(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with this package shipped to the Python workers of all executors."""
     context = df.sparkSession.sparkContext
     if getattr(context, "_cohortlens_shipped", None) is None:

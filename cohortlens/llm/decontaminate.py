@@ -133,13 +133,13 @@ def _fingerprints(sums: np.ndarray, first: np.ndarray, count: int, size: int) ->
     return np.packbits(votes > size // 2, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _scan(items_of, min_similarity: float):
+def _scan(items_of, min_similarity: float, text_place: int, only_clean: bool):
+    """Arrow function over rows with an id first: the places found, or (``only_clean``) the rows without any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = items_of()
         for batch in batches:
             found: dict[tuple[int, int], tuple] = {}
-            ids = batch.column(0).to_pylist()
-            for row, _, data, offsets in common.text_pieces(batch.column(1), 1 << 20):
+            for row, _, data, offsets in common.text_pieces(batch.column(text_place), 1 << 20):
                 data = common.LOWER[data]
                 starts, ends, first = common.word_spans(data, offsets)
                 if not len(starts):
@@ -166,16 +166,20 @@ def _scan(items_of, min_similarity: float):
                             k, doc = int(owner[e]), int(text[w])
                             begin = max(w - int(offset[e]), int(first[doc]))
                             stop = min(w - int(offset[e]) + len(items.words[k]), int(first[doc + 1]))
-                            key, spot = (ids[row + doc], items.ids[k]), begin - int(first[doc])
+                            key, spot = (row + doc, items.ids[k]), begin - int(first[doc])
                             best = found.get(key)
                             if best and best[0] == 1.0 and best[1] <= spot:
                                 continue
                             score = items.similarity(k, words[begin:stop])
                             if score >= min_similarity - 1e-9 and (not best or (-score, spot) < (-best[0], best[1])):
                                 found[key] = (score, spot, stop - begin)
-            if found:
+            if only_clean:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[k[0] for k in found]] = False
+                yield batch.filter(pa.array(clean))
+            elif found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()),
+                    [batch.column(0).take(pa.array([k[0] for k in found])), pa.array([k[1] for k in found], pa.int64()),
                      pa.array([v[0] for v in found.values()], pa.float64()), pa.array([v[1] for v in found.values()], pa.int64()),
                      pa.array([v[2] for v in found.values()], pa.int64())],
                     ["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -203,29 +207,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 7, min_sim
                  text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", stride: int = STRIDE,
                  item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best place of each item in each document."""
-    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for items_of in _slices(benchmark, item_id_col, item_text_col, radius, stride, item_bytes):
+        found = common.arrow(texts, _scan(items_of, min_similarity, 1, False),
+                             "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _slices(benchmark: DataFrame, item_id_col: str, item_text_col: str, radius: int, stride: int, item_bytes: int) -> Iterator:
+    """For each slice of the items, a function that gives them to a task."""
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(
         "item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-size // item_bytes))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    out = None
     for part in range(slices):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == part)
-        rows = [tuple(r) for r in mine.collect()]
-        weights = item_weights(items, mine)
-        sent = spark.sparkContext.broadcast((rows, weights))
+        sent = benchmark.sparkSession.sparkContext.broadcast(([tuple(r) for r in mine.collect()], item_weights(items, mine)))
 
         def items_of(sent=sent):
             rows, weights = sent.value
             return Items(rows, radius, weights, stride)
 
-        found = common.arrow(texts, _scan(items_of, min_similarity), "doc_id long, item_id long, similarity double, first_word long, n_words long")
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield items_of
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents without a benchmark item; rows with a null id stay."""
-    found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(common.broadcast_within(common.materialised(found, "leaks")), id_col, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 7, min_similarity: float = 0.8, text_col: str = "text",
+                      item_id_col: str = "item_id", item_text_col: str = "text", stride: int = STRIDE, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows that hold no benchmark item, each judged by itself."""
+    out = docs
+    for items_of in _slices(benchmark, item_id_col, item_text_col, radius, stride, item_bytes):
+        out = common.arrow(out, _scan(items_of, min_similarity, docs.columns.index(text_col), True), docs.schema)
+    return out

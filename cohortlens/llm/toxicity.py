@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.llm import common
 
@@ -340,24 +341,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_neg
     return [r["text"] for r in rows], [int(r["label"]) for r in rows]
 
 
-def score_texts(docs: DataFrame, model: dict | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; ``model`` is a trained one or the constant score of all texts with words."""
+def with_score(docs: DataFrame, model: dict | float, text_col: str = "text") -> DataFrame:
+    """Every row with its ``score``; ``model`` is a trained one or the constant score of all texts with words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            for a, b, data, offsets in common.text_pieces(batch.column(1), 1 << 20):
+            for a, b, data, offsets in common.text_pieces(batch.column(place), 1 << 20):
                 words = Words(data, offsets)
                 if isinstance(known, float):
                     score = np.where(np.diff(words.first) > 0, known, 0.0)
                 else:
                     logit = text_logits(known, words, b - a).astype(np.float64)
                     score = np.where(np.isfinite(logit), 1 / (1 + np.exp(-np.clip(logit, -40, 40))), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score)], ["id", "score"])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
 
-    return common.arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run,
-                        "id long, score double")
+    schema = T.StructType([*[f for f in docs.schema], T.StructField("score", T.DoubleType())])
+    return common.arrow(docs, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negative: int = 2500, max_train_words: int = 1000,
@@ -374,7 +377,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negati
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(id, held_out, score, predicted) of every document; ``held_out`` rows never train."""
-    columns = {k: options[k] for k in ("id_col", "text_col") if k in options}
-    scored = score_texts(docs, fit(docs, labels, **options), **columns)
-    return scored.select("id", (F.crc32(F.col("id").cast("string")) % 3 == 1).alias("held_out"), "score",
-                         (F.col("score") >= CUT).cast("int").alias("predicted"))
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return with_score(texts, fit(docs, labels, **options)).select(
+        "id", (F.crc32(F.col("id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows with a score below ``CUT``; a column of docs named score is no obstacle."""
+    text_col = options.get("text_col", "text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    kept = with_score(plain, fit(docs, labels, **options), names[docs.columns.index(text_col)]).where(F.col("score") < CUT)
+    return kept.drop("score").toDF(*docs.columns)
