@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from cohortlens.llm import common
 
 STEPS = 60
+#: Steps without a clearly smaller miss (2 %) after which a target counts as out of reach.
+PATIENCE = 8
 TOLERANCE = 1e-3
 BINS = 12
 
@@ -99,6 +101,7 @@ def fit_rates(vectors: DataFrame, k: int, targets: list[float], steps: int = STE
     taken: list[float] = []
     share: np.ndarray | None = None
     best: tuple[float, list[float]] = (math.inf, [])
+    stale = 0
     for _ in range(steps + 1):
         row = vectors.withColumn("y", leading_rate_of(taken, k)).withColumn("x", rate_of(taken, k)).agg(
             F.sum("n"), *[F.sum(n * F.col(c) * p[i]) for c in ("x", "y") for i in range(k)]).first()
@@ -109,8 +112,11 @@ def fit_rates(vectors: DataFrame, k: int, targets: list[float], steps: int = STE
         share = np.maximum(totals, 1e-9) if share is None else share
         miss = float(np.abs(totals - targets).max())
         if miss < best[0]:
+            stale = 0 if miss < 0.98 * best[0] else stale + 1
             best = miss, list(taken)
-        if miss <= tolerance or len(taken) >= steps * k:
+        else:
+            stale += 1
+        if miss <= tolerance or len(taken) >= steps * k or stale >= PATIENCE:
             break
         taken += ((leading - targets) / share).tolist()
     return best[1], best[0]
