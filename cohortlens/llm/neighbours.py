@@ -194,7 +194,7 @@ def descent_round(graph: DataFrame, vectors: DataFrame, k: int, seed: int) -> Da
     return common.arrow(rows.repartition("centre").sortWithinPartitions("centre"), run, LINKS)
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 24, trees: int = TREES, leaf: int = LEAF, settled: float = 0.02, max_rounds: int = 8, seed: int = 3) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = 32, trees: int = TREES, leaf: int = LEAF, settled: float = 0.02, max_rounds: int = 8, seed: int = 3) -> DataFrame:
     """(node, other, score, new): ``k`` near neighbours of each node.  Rounds end when at most ``settled`` of the links are new."""
     graph = common.materialised(merged(start_links(vectors, k, trees, leaf, seed), None, k), "graph")
     for number in range(max_rounds):
@@ -211,7 +211,7 @@ def _settle(query: int, vector: bytes, ids: np.ndarray, scores: np.ndarray, visi
     return [query, vector, ids[order].tolist(), scores[order].tolist(), visited.tolist(), frontier]
 
 
-def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, pool: int = 96, wide: int = 16) -> DataFrame:
+def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, pool: int = 192, wide: int = 48) -> DataFrame:
     """(query, ids, scores): the pool of each query node, best first, without the node itself."""
     lists = common.materialised(graph.groupBy("node").agg(F.collect_list("other").alias("others")), "graph-lists")
     kind = pa.schema([("query", pa.int64()), ("vector", pa.binary()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64())),
@@ -247,7 +247,7 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, pool
     return state.select("query", "ids", "scores")
 
 
-def nearest(table: DataFrame, wanted, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 24, pool: int = 96, **options) -> DataFrame:
+def nearest(table: DataFrame, wanted, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, pool: int = 192, **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of every row for which column ``wanted`` of ``id`` holds, its own row left out."""
     rows = common.materialised(clean_vectors(table, id_col, vector_col), "vectors")
     same = Window.partitionBy("vector").orderBy("id")

@@ -175,17 +175,18 @@ def removed_windows(docs: DataFrame, units: Units, compare: Callable, block: int
         raise ValueError("the seed must be at most the window, and at most 254 units shorter")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     found = common.arrow(texts, _found(units), "seed long, context long, doc long, place long")
-    twice = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # small sides are written first: a join of two plain exchanges is one whose hot seeds Spark can split
+    twice = common.materialised(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "repeat-seeds")
     repeated = common.materialised(found.join(twice, "seed"), "repeats")
     classes = repeated.groupBy("seed", "context").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
     classes = common.materialised(classes.select("seed", "context", "n", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place")), "repeat-classes")
-    several = classes.groupBy("seed").agg(F.count("*").alias("n_classes")).where("n_classes > 1")
+    several = common.materialised(classes.groupBy("seed").agg(F.count("*").alias("n_classes")).where("n_classes > 1"), "repeat-several")
     reps = classes.join(several, "seed")
     wanted = reps.groupBy(F.col("first_doc").alias("doc")).agg(F.collect_list(F.struct(
-        "seed", "context", F.col("first_place").alias("place"))).alias("wanted"), F.count("*").alias("n_wanted"))
+        "seed", "context", F.col("first_place").alias("place"))).alias("wanted"))
     wanted = common.materialised(wanted, "repeat-wanted")
     contents = common.arrow(
-        texts.join(common.broadcast_within(wanted, 32 + 24 * F.col("n_wanted")), "doc").select("doc", "text", "wanted"), _contents(units),
+        texts.join(wanted, "doc").select("doc", "text", "wanted"), _contents(units),
         "seed long, context long, doc long, place long, content binary").dropDuplicates(["seed", "context"])
     contents = common.materialised(contents, "repeat-contents")
     hot = several.where(F.col("n_classes") > HOT_CLASSES).select("seed")
@@ -198,7 +199,7 @@ def removed_windows(docs: DataFrame, units: Units, compare: Callable, block: int
     settled = common.arrow(rows.repartition("grp").sortWithinPartitions("grp"), run, kind).unionByName(
         common.arrow(split.repartition("grp").sortWithinPartitions("grp"), run, kind))
     partly = settled.groupBy("seed", "context").agg(F.collect_list(F.struct("off", "len")).alias("part"))
-    known = classes.join(partly, ["seed", "context"], "left").where("n > 1 or part is not null")
+    known = common.materialised(classes.join(partly, ["seed", "context"], "left").where("n > 1 or part is not null"), "repeat-known")
     at, number = F.shiftright("place", 16), F.col("place").bitwiseAND(255)
     later = F.col("doc") > F.col("first_doc")
     if units.within_document:
@@ -206,7 +207,7 @@ def removed_windows(docs: DataFrame, units: Units, compare: Callable, block: int
     whole = F.array(F.struct(F.lit(0).cast("long").alias("off"), number.alias("len")))
     gone = repeated.join(known, ["seed", "context"]).select(
         "doc", F.explode(F.transform(F.when(later, whole).otherwise(F.col("part")), lambda w: F.struct((at + w["off"]).alias("at"), w["len"].alias("len")))).alias("w"))
-    return common.materialised(gone.groupBy("doc").agg(F.collect_list("w").alias("windows"), F.count("*").alias("n_windows")), "repeat-windows")
+    return common.materialised(gone.groupBy("doc").agg(F.collect_list("w").alias("windows")), "repeat-windows")
 
 
 def covered(windows: list[dict], length: int, size: int) -> np.ndarray:
@@ -221,4 +222,4 @@ def covered(windows: list[dict], length: int, size: int) -> np.ndarray:
 def with_windows(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, windows) of every row."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("doc", F.coalesce("id", F.lit(LAST)))
-    return keyed.join(common.broadcast_within(windows, 32 + 16 * F.col("n_windows")), "doc", "left").select("id", "text", "windows")
+    return keyed.join(windows, "doc", "left").select("id", "text", "windows")
