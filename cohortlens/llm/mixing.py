@@ -179,9 +179,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_co
     added = ["n_tokens", "domain", "posterior", "rate", "copies"]
     kept = [c for c in docs.columns if c not in added]
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 20)) / (1 << 20)
-    marked = docs.select(*kept, tokens.alias("n_tokens"), bins.alias("bins"))
-    rated = vectors.select("bins", F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias("domain"),
+    marked = docs.select(*kept, tokens.alias("n_tokens"), bins.alias("_bins"))
+    rated = vectors.select(F.col("bins").alias("_bins"), F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias("domain"),
                            F.array_max(p).alias("posterior"), rate_of(taken, k).alias("rate"))
-    return marked.join(common.broadcast_within(rated, F.lit(128)), "bins").select(
+    return marked.join(common.broadcast_within(rated, F.lit(128)), "_bins").select(
         *kept, "n_tokens", "domain", "posterior", "rate",
         (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies"))

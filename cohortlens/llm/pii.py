@@ -146,7 +146,7 @@ def spans_text(spans: Column, kinds: int = len(KINDS)) -> Column:
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """All rows with every span replaced by its kind in angle brackets; spans that overlap give one replacement."""
     found = find_personal_data(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
-    spans = common.materialised(found.groupBy(F.col("id").alias("own"), "text_hash").agg(F.first("spans").alias("spans")), "pii-spans")
+    spans = common.materialised(found.groupBy(F.col("id").alias("_own"), F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans")), "pii-spans")
     text = F.col(text_col)
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -159,10 +159,10 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     def done(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
 
-    joined = docs.join(common.broadcast_within(spans, F.lit(32) + 12 * F.size("spans")),
-                       F.col(id_col).eqNullSafe(F.col("own")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash")), "left")
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", begin, cut, done)).otherwise(text)
+    joined = docs.join(common.broadcast_within(spans, F.lit(32) + 12 * F.size("_spans")),
+                       F.col(id_col).eqNullSafe(F.col("_own")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")), "left")
+    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", begin, cut, done)).otherwise(text)
     changed = joined.withColumn(text_col, clean)
     if length_col and length_col in docs.columns:
-        changed = changed.withColumn(length_col, F.when(F.size("spans") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+        changed = changed.withColumn(length_col, F.when(F.size("_spans") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return changed.select(*docs.columns)

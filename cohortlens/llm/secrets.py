@@ -4,7 +4,7 @@ Two first-order character models, of random strings and of ordinary identifiers,
 corpus.  The labelled samples are the corpus's own: the values that the fixed patterns catch are random
 strings, all other runs of token characters are identifiers.  A run of at least ``MIN_RUN`` characters is
 reported as ``random`` when its log-likelihood ratio, in sum and per step, exceeds the thresholds.  With
-add-one smoothing, a corpus without a caught value leaves the first model flat.
+smoothing, a corpus without a caught value leaves the first model flat.
 
 The patterns work on UTF-8 bytes, so letter case folds only in A-Z; places are turned into code points.
 Texts are scanned in place; only transition counts (at most 66 x 66 rows for each task) are shuffled.
@@ -32,7 +32,7 @@ KINDS = ["assign", "access", "hex", "random"]
 #: Every keyword of ASSIGN holds one of these, in lower case.
 HINTS = [re.compile(re.escape(w)) for w in (b"passw", b"secret", b"token", b"apikey", b"api_key")]
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_RUN = 8, 16, 32, 16
-MIN_RATIO, MIN_RATIO_PER_STEP = 20.0, 1.0
+MIN_RATIO, MIN_RATIO_PER_STEP = 4.0, 0.1
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 CODE = np.full(256, -1, np.int16)
@@ -88,7 +88,7 @@ def _free_runs(data: np.ndarray, offsets: np.ndarray, base: list[tuple], least:
     touched = np.zeros(len(data) + 2, bool)  # a run cut by a base span is a part of it
     for _, a, _, b, _, _ in base:
         touched[a:b + 1] = True
-    keep = ~touched[starts] & ~touched[ends + 1]
+    keep = ~touched[starts] & ~touched[ends]
     return starts[keep], ends[keep]
 
 
@@ -118,10 +118,15 @@ def transition_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[int
 
 
 def log_ratios(counts: dict[tuple[int, int], int]) -> np.ndarray:
-    """log P(next | char) under random strings minus the same under identifiers, with add-one smoothing."""
-    table = np.ones((2, N, N))
+    """log P(next | char) under random strings minus the same under identifiers.
+
+    A row is smoothed with as many counts as the alphabet has characters, shared out like the model's characters.
+    """
+    table = np.zeros((2, N, N))
     for (model, pair), n in counts.items():
         table[model, pair // N, pair % N] += n
+    single = table.sum(axis=1, keepdims=True) + 1
+    table += N * single / single.sum(axis=2, keepdims=True)
     logs = np.log(table / table.sum(axis=2, keepdims=True))
     return logs[1] - logs[0]
 
