@@ -87,3 +87,8 @@ def file_size_text(n_bytes: Column) -> Column:
         .when(size < 1024**3, F.format_string("%.1f MB", half_even(size / 1024**2, 1)))
         .otherwise(F.format_string("%.1f GB", half_even(size / 1024**3, 1)))
     )
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark reads it whole, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.numbers import is_text
+from cohortlens.functions.text import quoted
 from cohortlens.operators.profile import unpivot_cells
-from cohortlens.operators.ranking import with_position
 
 ALL_VALUES = ["All", "Tất cả"]
-TOP_LIMIT = 100_000
+#: Rows of one key range of ``page``.
+RANGE_ROWS = 1_000_000
 
 
 def _typed(df: DataFrame, name: str, value: object) -> Column | None:
@@ -23,12 +24,16 @@ def _typed(df: DataFrame, name: str, value: object) -> Column | None:
     try:
         if isinstance(kind, T.BooleanType):
             return F.lit({"true": True, "false": False}[text.strip().lower()])
-        if isinstance(kind, T.IntegralType):
-            number = float(text)
-            return F.lit(int(number)) if number == int(number) else None
+        if isinstance(kind, (T.IntegralType, T.DecimalType)):
+            number = Decimal(text.strip())
+            if not number.is_finite() or isinstance(kind, T.IntegralType) and number != int(number):
+                return None
+            if isinstance(kind, T.IntegralType):
+                return F.lit(int(number)) if abs(number) < 1 << 63 else None
+            return F.lit(number) if len(number.as_tuple().digits) <= 38 else None
         if isinstance(kind, T.NumericType):
             return F.lit(float(text))
-    except (ValueError, KeyError, OverflowError):
+    except (ValueError, KeyError, OverflowError, InvalidOperation):
         return None
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return F.lit(text).try_cast(kind)
@@ -42,11 +47,11 @@ def _condition(df: DataFrame, name: str, selected: object) -> Column | None:
         if not selected:
             return None
         values = [v for v in (_typed(df, name, s) for s in sorted(selected, key=str)) if v is not None]
-        return F.col(name).isin(values) if values else F.lit(False)
+        return F.col(quoted(name)).isin(values) if values else F.lit(False)
     if not str(selected).strip() or str(selected) in ALL_VALUES:
         return None
     value = _typed(df, name, selected)
-    return F.lit(False) if value is None else F.col(name) == value
+    return F.lit(False) if value is None else F.col(quoted(name)) == value
 
 
 def apply_filters(df: DataFrame, filters: dict[str, object]) -> DataFrame:
@@ -69,7 +74,7 @@ def search_any(df: DataFrame, query: str, literal: bool = False) -> DataFrame:
     needle = query.strip().lower()
     if not needle:
         return df
-    texts = [F.lower(F.col(c).cast("string")) for c in df.columns]
+    texts = [F.lower(F.col(quoted(c)).cast("string")) for c in df.columns]
     hits = [t.contains(needle) if literal else t.rlike(needle) for t in texts]
     return df.where(F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits]),
                                F.lit(False)))
@@ -81,18 +86,31 @@ def preview(df: DataFrame, order: str | list[str], n: int = 15) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def page(df: DataFrame, key: str, number: int, size: int = 25, top_limit: int = TOP_LIMIT) -> DataFrame:
-    """Page ``number`` (from 0) of ``size`` rows by a unique key.
+def page(df: DataFrame, key: str, number: int, size: int = 25, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Page ``number`` (from 0) of ``size`` rows by a unique key of any orderable type, NULL keys first.
 
-    Early pages are a top-k.  Deep ones would make a top-k carry everything before
-    them, so with a number or time key they go by exact positions, counted range by
-    range.  A text key has no such ranges and stays with the top-k.
+    One shuffle of the key column alone gives the count and the ends of each key range.  The page is
+    then cut from the ranges it lies in, which the scan filters by the literal ends; no task sorts more than
+    the rows of those ranges (about ``range_rows`` each).
     """
-    first = number * size
-    if first + size <= top_limit or is_text(df, key):
-        return df.orderBy(key).offset(first).limit(size)
-    placed = with_position(df, key, [])
-    return placed.where(F.col("position").between(first + 1, first + size)).drop("position").orderBy(key)
+    first, k = number * size, F.col(quoted(key))
+    keys = df.select(k.alias("k"))
+    rows, nulls = keys.agg(F.count(F.lit(1)), F.count_if(F.col("k").isNull())).first()
+    ranges = max(1, -(-rows // range_rows))
+    placed = keys.where(F.col("k").isNotNull()).repartitionByRange(ranges, "k").groupBy(F.spark_partition_id().alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("k").alias("last"))
+    before, wanted, lower = nulls, [], None
+    for r in placed.orderBy("last").collect():  # one row for each range
+        if before < first + size and before + r["n"] > first:
+            wanted.append((before, lower, r["last"]))
+        before, lower = before + r["n"], r["last"]
+    inside = F.lit(False) if first >= nulls else k.isNull()
+    start = 0 if first < nulls else first
+    if wanted:
+        start = 0 if first < nulls else wanted[0][0]
+        low = F.lit(True) if wanted[0][1] is None else k > F.lit(wanted[0][1])
+        inside = inside | (low & (k <= F.lit(wanted[-1][2])))
+    return df.where(inside).orderBy(k.asc_nulls_first()).offset(first - start).limit(size)
 
 
 def band_filter(scored: DataFrame, band: str = "All") -> DataFrame:

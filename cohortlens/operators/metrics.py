@@ -26,12 +26,12 @@ def confusion(pred: DataFrame, by: list[str] | None = None, y: str = "y", score:
 
 
 def score_counts(pred: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "score") -> DataFrame:
-    """(by.., score, pos, neg) per distinct score, written once.
+    """(by.., score, pos, neg) per distinct score, written once; rows without a score are left out.
 
     Everything below reads these counts, so the predictions behind them (and the
     models behind those) are evaluated a single time.
     """
-    counts = pred.groupBy(*(by or []), F.col(score).cast("double").alias("score")).agg(
+    counts = pred.where(F.col(score).isNotNull()).groupBy(*(by or []), F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
     return checkpointed(counts)

@@ -7,23 +7,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 256
+from cohortlens.session import broadcast_if_small
 
+#: Rows of one range; the number of ranges follows the counted rows.
+RANGE_ROWS = 1_000_000
+LEAST_RANGES, MOST_RANGES = 8, 10_000
 
-def range_buckets(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``bucket``: an ascending range number from evenly filled ranges of ``order``.
 
-    Only ``ranges`` cut points reach the driver.
+def range_count(rows: int) -> int:
+    return min(max(LEAST_RANGES, -(-rows // RANGE_ROWS)), MOST_RANGES)
+
+
+def range_buckets(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """Add ``bucket``: an ascending range number from evenly filled ranges of ``order``; NULL is the range -1.
+
+    Only the cut points reach the driver.
     """
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    ranges = ranges or range_count(df.count())
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5))
     found = df.agg(F.percentile_approx(F.col(order).cast("double"), steps, F.lit(ranges * 20))).first()[0] or []
     cuts = sorted({float(c) for c in found if c == c and abs(c) != float("inf")})
     numbered = df.withColumn("_order", F.col(order).cast("double"))
     splits = [float("-inf"), *cuts, float("inf")]
     if len(splits) < 3:
-        return numbered.drop("_order").withColumn("bucket", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="_order", outputCol="bucket",
-                      handleInvalid="keep").transform(numbered).drop("_order")
+        return numbered.withColumn("bucket", F.when(F.col("_order").isNull(), -1.0).otherwise(0.0)).drop("_order")
+    cut = Bucketizer(splits=splits, inputCol="_order", outputCol="bucket", handleInvalid="keep").transform(numbered)
+    return cut.withColumn("bucket", F.when(F.col("_order").isNull(), -1.0).otherwise(F.col("bucket"))).drop("_order")
 
 
 def running_totals(
@@ -33,7 +42,7 @@ def running_totals(
     sums: dict[str, str],
     descending: bool = False,
     ties: list[Column] | None = None,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add a running total for every ``sums`` entry (new name -> column).
 
@@ -54,7 +63,11 @@ def running_totals(
     within = Window.partitionBy(*by, "bucket").orderBy(way(F.col(order)), *(ties or [])).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    joined = cut.join(offsets, [*by, "bucket"])
+    same = F.col("c.bucket") == F.col("o.bucket")
+    for name in by:
+        same = same & F.col(f"c.{name}").eqNullSafe(F.col(f"o.{name}"))
+    kept = offsets.select(*[F.col(name) for name in by], "bucket", *[f"_o_{name}" for name in sums])
+    joined = cut.alias("c").join(broadcast_if_small(kept).alias("o"), same).select("c.*", *[f"o._o_{name}" for name in sums])
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{name}") + F.sum(column).over(within)).alias(name) for name, column in sums.items()],
@@ -62,7 +75,7 @@ def running_totals(
 
 
 def with_position(df: DataFrame, order: str, ties: list[Column], descending: bool = False,
-                  ranges: int = RANGES) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Add the 1-based ``position`` of every row in a total order."""
     ones = df.withColumn("_one", F.lit(1))
     return running_totals(ones, [], order, {"position": "_one"}, descending, ties, ranges).drop("_one")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions.bands import decision_label, effect_label, risk_band
 from cohortlens.functions.numbers import numeric_columns
@@ -81,21 +83,33 @@ def clean_changes(changes: dict[str, object], numeric: list[str], columns: list[
     return applied
 
 
+def _exact(value: object) -> str:
+    """A number as typed, without commas, so that long ones keep all digits."""
+    return format(Decimal(str(value).replace(",", "").strip()), "f")
+
+
+def _kept_type(kind: T.DataType, values: list[float]) -> T.DataType:
+    """The column's own type; a fraction for a whole-number column widens it to double."""
+    fraction = isinstance(kind, T.IntegralType) and any(v != int(v) for v in values)
+    return T.DoubleType() if fraction else kind
+
+
 def scenario_rows(df: DataFrame, scenarios: dict[str, dict[str, object]], columns: list[str]) -> DataFrame:
     """Each row once per scenario, with the scenario's values in place.
 
     The scenarios are a literal inside the expression, so nothing is joined or
-    shuffled: every row unfolds where it is.
+    shuffled: every row unfolds where it is.  Numbers keep their column's type.
     """
     numeric = numeric_columns(df)
     cleaned = {n: clean_changes(c, numeric, columns) for n, c in scenarios.items()}
     touched = [c for c in columns if any(c in changes for changes in cleaned.values())]
-    kinds = {c: "double" if c in numeric else "string" for c in touched}
+    kinds = {c: _kept_type(df.schema[c].dataType, [changes[c] for changes in cleaned.values() if c in changes]) if c in numeric else T.StringType()
+             for c in touched}
     literal = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
             F.lit(", ".join(f"{c}={changes[c]}" for c in touched if c in changes)).alias("applied"),
-            *[F.lit(changes.get(c)).cast(kinds[c]).alias(c) for c in touched],
+            *[F.lit(_exact(scenarios[name].get(c)) if c in numeric and c in changes else changes.get(c)).cast(kinds[c]).alias(c) for c in touched],
         )
         for name, changes in cleaned.items()
     ])

@@ -5,6 +5,9 @@ that order.  The range ends are found exactly, from a histogram of hash prefixes
 and a ranking inside the few prefixes that hold an end.  After that a table only
 compares each row's hash with the ends of its class, which are literals by then:
 no join, no shuffle, and no task ranks a whole class.
+
+Rows with one id share a hash, and so a side: sizes are exact when ids are unique, and else go beyond by
+the rows that share the last id.  NULL ids count as one id.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ PREFIX = 4
 
 
 def row_hash(id_col: str, seed: int = 42) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    """Hash that orders the rows; all NULL ids share the one of the empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
 def hash_cuts(df: DataFrame, stratum: Column, id_col: str, ranks: list[Column], seed: int = 42) -> dict[object, list[str]]:

@@ -40,6 +40,17 @@ def unmappable_labels(df: DataFrame, target: str) -> DataFrame:
     return unknown.where(n_labels.scalar() != 2).select("label", "n")
 
 
+def _label_facts(df: DataFrame, target: str) -> Column:
+    """Scalar (unknown labels, labels, rarest label) of the label column."""
+    return label_counts(df, target).agg(
+        F.struct(
+            F.count_if(F.col("known").isNull()).alias("unknown"),
+            F.count(F.lit(1)).alias("labels"),
+            F.min(F.struct("n", "label")).alias("rare"),
+        ).alias("facts")
+    ).scalar()
+
+
 def event_value(
     df: DataFrame, target: str, positive: object | None = None, rule: str = "auto"
 ) -> Column:
@@ -57,17 +68,7 @@ def event_value(
     failure = F.raise_error(F.concat(F.lit("label cannot be mapped to 0/1: "), label)).cast("int")
     if rule == "vocabulary":
         return F.coalesce(known, F.when(F.col(target).isNotNull(), failure))
-    facts = (
-        label_counts(df, target)
-        .agg(
-            F.struct(
-                F.count_if(F.col("known").isNull()).alias("unknown"),
-                F.count(F.lit(1)).alias("labels"),
-                F.min(F.struct("n", "label")).alias("rare"),
-            ).alias("facts")
-        )
-        .scalar()
-    )
+    facts = _label_facts(df, target)
     return (
         F.when(F.col(target).isNull(), F.lit(None).cast("int"))
         .when(facts["unknown"] == 0, known)
@@ -80,7 +81,7 @@ def with_event(
     df: DataFrame,
     target: str,
     positive: object | None = None,
-    rule: str = "vocabulary",
+    rule: str = "auto",
     name: str = "event",
     null_is_event: int | None = 0,
 ) -> DataFrame:
@@ -92,10 +93,16 @@ def with_event(
 
 
 def event_mask(df: DataFrame, target: str, positive: object | None = None) -> Column:
-    """Boolean event flag; labels outside the vocabulary read as no event."""
+    """Boolean event flag; NULL is no event.
+
+    With an unknown label and exactly two labels the rarer one is the event; of more labels, those
+    outside the vocabulary are no event.
+    """
     if positive is not None:
         return F.coalesce(F.col(target) == F.lit(positive), F.lit(False))
-    return F.coalesce(known_label(df, target) == 1, F.lit(False))
+    facts = _label_facts(df, target)
+    rarer = (facts["unknown"] > 0) & (facts["labels"] == 2)
+    return F.coalesce(F.when(rarer, F.col(target) == facts["rare"]["label"]).otherwise(known_label(df, target) == 1), F.lit(False))
 
 
 def event_label(df: DataFrame, target: str, positive: object | None = None,

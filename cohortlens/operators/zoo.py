@@ -20,7 +20,6 @@ from cohortlens.operators.splits import random_split, stratified_folds, stratifi
 from cohortlens.operators.target import event_value
 from cohortlens.session import enable_checkpoints
 
-SMALL_PARTITION_ROWS = 50_000
 LOGISTIC, FOREST, BOOSTED, REGULARISED = (
     "Logistic Regression", "Random Forest", "Gradient Boosting", "Regularised Boosting",
 )
@@ -100,21 +99,15 @@ def class_balance(labelled: DataFrame, y: str = "y") -> Balance:
 
 
 def model_input(df: DataFrame, spec: FeatureSpec, target: str, id_col: str, positive: object | None = None,
-                rule: str = "vocabulary", extra: list[str] | None = None) -> DataFrame:
+                rule: str = "auto", extra: list[str] | None = None) -> DataFrame:
     """Only the columns a model needs, with the 0/1 column ``y``; unlabelled rows drop out."""
     spec.require(df)
     kept = list(dict.fromkeys([id_col, *spec.columns, *(extra or [])]))
     return df.select(*kept, event_value(df, target, positive, rule).alias("y")).where("y IS NOT NULL")
 
 
-def _spread(rows: DataFrame, count: int) -> DataFrame:
-    """Let a small table, often one file, use all cores; a large one keeps its partitions."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if count <= cores * SMALL_PARTITION_ROWS else rows
-
-
 def fit_zoo(train: DataFrame, spec: FeatureSpec, sizes: ZooSizes | None = None, only: list[str] | None = None,
-            parallelism: int = 4) -> tuple[dict[str, PipelineModel], list[str], Balance]:
+            parallelism: int = 4, partitions: int | None = None) -> tuple[dict[str, PipelineModel], list[str], Balance]:
     """Fit the encoder once, keep the encoded table, and fit all models on it.
 
     Independent fits share the cluster, as ``parallelism`` of them run at a time.
@@ -125,7 +118,7 @@ def fit_zoo(train: DataFrame, spec: FeatureSpec, sizes: ZooSizes | None = None,
     if min(balance.events, balance.others) == 0:
         raise ValueError("training needs rows of both classes")
     prepared = encoder(spec).fit(train)
-    encoded = prepared.transform(_spread(train, balance.total)).select(
+    encoded = prepared.transform(train.repartition(partitions) if partitions else train).select(
         "y", "features", "scaled", balance.balanced().alias("w_balanced"), balance.positive().alias("w_positive")
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -158,7 +151,7 @@ def predictions(models: dict[str, PipelineModel], df: DataFrame, keep: list[str]
 
 
 def cross_validate(df: DataFrame, spec: FeatureSpec, id_col: str, k: int = 5, sizes: ZooSizes | None = None,
-                   only: list[str] | None = None, parallelism: int = 4, seed: int = 42) -> DataFrame:
+                   only: list[str] | None = None, parallelism: int = 4, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """(model, cv_accuracy, cv_accuracy_std, ...) over ``k`` stratified folds.
 
     Each fold's encoder and models see only the other folds.  The result has one
@@ -168,7 +161,7 @@ def cross_validate(df: DataFrame, spec: FeatureSpec, id_col: str, k: int = 5, si
     rows = []
     try:
         for fold in range(k):
-            models, _, _ = fit_zoo(folded.where(F.col("fold") != fold), spec, sizes, only, parallelism)
+            models, _, _ = fit_zoo(folded.where(F.col("fold") != fold), spec, sizes, only, parallelism, partitions)
             scored = predictions(models, folded.where(F.col("fold") == fold), ["y"])
             rows += [(fold, *r) for r in class_metrics(scored, ["model"]).select(
                 "model", "accuracy", "precision", "recall", "f1", "roc_auc").collect()]
@@ -186,28 +179,27 @@ def train_classifiers(
     id_col: str,
     spec: FeatureSpec,
     positive: object | None = None,
-    rule: str = "vocabulary",
+    rule: str = "auto",
     sizes: ZooSizes | None = None,
     only: list[str] | None = None,
     cv_folds: int | None = 5,
     test_share: float = 0.2,
     parallelism: int = 4,
+    partitions: int | None = None,
 ) -> TrainedZoo:
     """Split, fit the zoo on the training part, and cross-validate on all rows.
 
-    A failing cross-validation leaves ``cv`` empty and its message in ``extra``.
+    ``partitions`` deals the rows out anew before fitting; without it their places, on which bagging
+    depends, stay as they are.
     """
     table = model_input(df, spec, target, id_col, positive, rule).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         split = stratified_split(table, "y", id_col, test_share)
         train, test = split.where(~F.col("is_test")), split.where("is_test")
-        models, names, balance = fit_zoo(train, spec, sizes, only, parallelism)
+        models, names, balance = fit_zoo(train, spec, sizes, only, parallelism, partitions)
         result = TrainedZoo(models, spec, names, balance, test=test, train=train)
         if cv_folds:
-            try:
-                result.cv = cross_validate(table, spec, id_col, cv_folds, sizes, only, parallelism)
-            except Exception as exc:  # noqa: BLE001
-                result.extra["cv_error"] = str(exc)
+            result.cv = cross_validate(table, spec, id_col, cv_folds, sizes, only, parallelism, partitions=partitions)
     finally:
         table.unpersist()
     return result

@@ -67,6 +67,13 @@ def _(spark, sf_dir):
     return rows.select("emp_id", target.event_mask(rows, "attrition").alias("is_event"))
 
 
+@query("event_mask_minority", sql(None, """SELECT l_linestatus = (SELECT event_label FROM (SELECT l_linestatus AS event_label, count(*) AS n FROM lineitem
+    GROUP BY 1 ORDER BY n, 1 LIMIT 1)) AS is_event, count(*) AS n FROM lineitem GROUP BY 1"""))
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(target.event_mask(rows, "l_linestatus").alias("is_event")).groupBy("is_event").agg(F.count("*").alias("n"))
+
+
 @query("class_weights", sql("events", """, c AS (SELECT event AS y, count(*) AS n FROM ev GROUP BY 1)
     SELECT y, n, round((SELECT sum(n) FROM c) / (2.0 * n), 4) AS balanced_weight,
     round(CASE WHEN y = 1 THEN greatest((SELECT max(n) FROM c WHERE y = 0) / CAST(n AS DOUBLE), 1) ELSE 1 END, 4) AS positive_weight FROM c"""))
@@ -143,9 +150,9 @@ def _(spark, sf_dir):
 
 @query("file_size_text", sql(None, """SELECT doc_id, CASE WHEN b < 1024 THEN printf('%d B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0)
     WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0) ELSE printf('%.1f GB', b / 1073741824.0) END AS size
-    FROM (SELECT doc_id, n_chars * n_chars AS b FROM documents)"""))
+    FROM (SELECT doc_id, strlen(text) AS b FROM documents)"""))
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.file_size_text(F.col("n_chars") * F.col("n_chars")).alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.file_size_text(F.octet_length("text")).alias("size"))
 
 
 @query("ellipsize", sql(None, """SELECT doc_id, CASE WHEN length(text) >= 40 THEN concat(substr(text, 1, 37), '...') ELSE text END AS short FROM documents"""))

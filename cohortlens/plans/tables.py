@@ -175,10 +175,10 @@ def _(spark, sf_dir):
     return filters.search_any(table(spark, sf_dir, "part"), "RING", literal=True)
 
 
-@query("search_any_pattern", sql(None, """SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE regexp_matches(lower(s_name), '0[1-4]$')
-    OR regexp_matches(CAST(s_suppkey AS VARCHAR), '0[1-4]$') OR regexp_matches(CAST(s_nationkey AS VARCHAR), '0[1-4]$')"""))
+@query("search_any_pattern", sql(None, """SELECT * FROM supplier WHERE regexp_matches(lower(s_name), '0[1-4]$')
+    OR regexp_matches(CAST(s_acctbal AS VARCHAR), '0[1-4]$') OR regexp_matches(CAST(s_suppkey AS VARCHAR), '0[1-4]$') OR regexp_matches(CAST(s_nationkey AS VARCHAR), '0[1-4]$')"""))
 def _(spark, sf_dir):
-    return filters.search_any(table(spark, sf_dir, "supplier").drop("s_acctbal"), "0[1-4]$")
+    return filters.search_any(table(spark, sf_dir, "supplier"), "0[1-4]$")
 
 
 @query("page", sql("risk", "SELECT * FROM risk ORDER BY emp_id LIMIT 25 OFFSET 75"))
@@ -188,7 +188,30 @@ def _(spark, sf_dir):
 
 @query("page_deep", sql(None, "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 1000"))
 def _(spark, sf_dir):
-    return filters.page(table(spark, sf_dir, "orders"), "o_orderkey", 40, 25, top_limit=500)
+    return filters.page(table(spark, sf_dir, "orders"), "o_orderkey", 40, 25, range_rows=300)
+
+
+@query("page_text_key", sql(None, "SELECT * FROM customer ORDER BY c_name LIMIT 25 OFFSET 75"))
+def _(spark, sf_dir):
+    return filters.page(table(spark, sf_dir, "customer"), "c_name", 3, 25, range_rows=60)
+
+
+@query("page_date_key", sql(None, "SELECT DISTINCT o_orderdate FROM orders ORDER BY o_orderdate LIMIT 25 OFFSET 100"))
+def _(spark, sf_dir):
+    return filters.page(table(spark, sf_dir, "orders").select("o_orderdate").distinct(), "o_orderdate", 4, 25, range_rows=70)
+
+
+@query("page_null_key", sql(None, """SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey END AS key FROM orders
+    ORDER BY key NULLS FIRST LIMIT 25 OFFSET 1000"""))
+def _(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey")).alias("key"))
+    return filters.page(keys, "key", 40, 25, range_rows=300)
+
+
+@query("filter_eq_bigint", sql(None, "SELECT CAST(9007199254740992 + o_orderkey AS BIGINT) AS big, o_custkey FROM orders WHERE o_orderkey IN (1, 3)"))
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.lit(9007199254740992) + F.col("o_orderkey")).alias("big"), "o_custkey")
+    return filters.apply_filters(rows, {"big": ["9007199254740993", 9007199254740995]})
 
 
 @query("band_filter", sql("scored", "SELECT emp_id, score, 'High' AS risk_band FROM scored WHERE score * 100 >= 60"))
@@ -238,14 +261,14 @@ def _(spark, sf_dir):
 
 # --- cleaning --------------------------------------------------------------
 
-@query("trim_strings", sql("dirty", """SELECT order_id, line_no, trim(flag) AS flag, status FROM dirty"""))
+@query("trim_strings", sql("dirty", """SELECT * REPLACE (trim(qty_text) AS qty_text, trim(flag) AS flag, trim(ship_text) AS ship_text, trim(status) AS status) FROM dirty"""))
 def _(spark, sf_dir):
-    return cleaning.trim_strings(dirty(spark, sf_dir).select("order_id", "line_no", "flag", "status"))
+    return cleaning.trim_strings(dirty(spark, sf_dir))
 
 
-@query("inf_to_null", sql("dirty", """SELECT order_id, line_no, CASE WHEN abs(qty) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE qty END AS qty FROM dirty"""))
+@query("inf_to_null", sql("dirty", """SELECT * REPLACE (CASE WHEN abs(qty) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE qty END AS qty) FROM dirty"""))
 def _(spark, sf_dir):
-    return cleaning.inf_to_null(dirty(spark, sf_dir).select("order_id", "line_no", "qty"))
+    return cleaning.inf_to_null(dirty(spark, sf_dir))
 
 
 @query("inf_counts", sql("dirty", """SELECT 'qty' AS "column", count_if(abs(qty) = CAST('Infinity' AS DOUBLE)) AS inf_count FROM dirty"""))
@@ -296,10 +319,9 @@ def _(spark, sf_dir):
 
 @query("default_fill", sql("dirty", """, m AS (SELECT quantile_cont(qty, 0.5) AS med FROM dirty),
     f AS (SELECT flag FROM dirty WHERE flag IS NOT NULL GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1)
-    SELECT order_id, line_no, coalesce(qty, (SELECT med FROM m)) AS qty, coalesce(flag, (SELECT flag FROM f)) AS flag FROM dirty"""))
+    SELECT * REPLACE (coalesce(qty, (SELECT med FROM m)) AS qty, coalesce(flag, (SELECT flag FROM f)) AS flag) FROM dirty"""))
 def _(spark, sf_dir):
-    rows = dirty(spark, sf_dir).select("order_id", "line_no", "qty", "flag")
-    return cleaning.default_fill(rows, ["qty", "flag"])
+    return cleaning.default_fill(dirty(spark, sf_dir), ["qty", "flag"])
 
 
 @query("column_defaults", sql("risk", union_all(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,15 +82,21 @@ def _typed(name: str, kind: T.DataType):
     return F.trim(F.col(name)).try_cast(kind)
 
 
+def _undecoded(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, Column]:
+    """(lines, does the line not decode).  UTF-8 is judged by the bytes, since U+FFFD may be in a sound file."""
+    unicode = name.lower().startswith("utf-8")
+    lines = spark.read.csv(path, schema="line string", sep="\u0001", quote="", encoding="ISO-8859-1" if unicode else _charset(spark, name))
+    line = F.col("line")
+    return lines, ~F.is_valid_utf8(F.encode(line, "ISO-8859-1").cast("string")) if unicode else line.contains("\ufffd")
+
+
 def encoding_report(spark: SparkSession, path: str, encodings: list[str] | None = None) -> DataFrame:
     """(ord, encoding, bad_rows): rows that do not decode, per candidate encoding."""
     encodings = encodings or ENCODINGS
     parts = None
     for i, name in enumerate(encodings):
-        lines = spark.read.csv(path, schema="line string", sep="\u0001", quote="", encoding=_charset(spark, name))
-        counted = lines.agg(F.count_if(F.col("line").contains("�")).alias("bad_rows")).select(
-            F.lit(i).alias("ord"), F.lit(name).alias("encoding"), "bad_rows"
-        )
+        lines, bad = _undecoded(spark, path, name)
+        counted = lines.agg(F.count_if(bad).alias("bad_rows")).select(F.lit(i).alias("ord"), F.lit(name).alias("encoding"), "bad_rows")
         parts = counted if parts is None else parts.unionByName(counted)
     return parts
 
@@ -101,8 +107,8 @@ def detect_encoding(spark: SparkSession, path: str, chosen: str = "utf-8") -> st
     Each try is a scan that ends at the first bad row.
     """
     for name in [chosen, *[e for e in ENCODINGS if e != chosen]]:
-        lines = spark.read.csv(path, schema="line string", sep="\u0001", quote="", encoding=_charset(spark, name))
-        if lines.where(F.col("line").contains("�")).isEmpty():
+        lines, bad = _undecoded(spark, path, name)
+        if lines.where(bad).isEmpty():
             return name
     raise ValueError("no encoding decodes the file")
 

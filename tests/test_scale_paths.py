@@ -63,7 +63,7 @@ def test_auc_and_roc_against_brute_force(spark):
 
 def test_deep_page_equals_top_k_page(skewed):
     early = [r["id"] for r in filters.page(skewed, "id", 40, 25).collect()]
-    deep = [r["id"] for r in filters.page(skewed, "id", 40, 25, top_limit=10).collect()]
+    deep = [r["id"] for r in filters.page(skewed, "id", 40, 25, range_rows=100).collect()]
     assert early == deep == list(range(1000, 1025))
 
 
@@ -109,3 +109,47 @@ def test_profile_of_long_texts(spark):
     assert found["t"]["n_unique"] == 2 and found["t"]["kind"] == "categorical"
     approx = {r["column"]: r["n_unique"] for r in column_profile(spark.createDataFrame(rows, "n string, t string"), approx=True).collect()}
     assert approx == {"n": 2, "t": 2}
+
+
+def test_pages_with_null_and_text_keys(spark):
+    rows = [(None if i % 4 == 0 else i, f"name{i:05d}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "k bigint, t string").repartition(5)
+    for rows_per_range in (10_000, 150):
+        seen = [filters.page(df, "k", n, 25, rows_per_range).collect() for n in range(81)]
+        keys = [r["k"] for p in seen for r in p]
+        assert keys[:500] == [None] * 500 and keys[500:] == [i for i in range(2000) if i % 4]
+        assert [r["t"] for r in filters.page(df, "t", 50, 25, rows_per_range).collect()] == [f"name{i:05d}" for i in range(1250, 1275)]
+    assert filters.page(df.where("k < 0"), "k", 0).count() == 0
+
+
+def test_positions_keep_null_rows(spark):
+    df = spark.createDataFrame([(None if i % 4 == 0 else i,) for i in range(400)], "k bigint")
+    placed = ranking.with_position(df, "k", [], ranges=8)
+    assert placed.count() == 400 and sorted(r["position"] for r in placed.collect()) == list(range(1, 401))
+
+
+def test_null_scores_are_left_out(spark):
+    pred = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, None), (0, 0.4), (1, 0.6)], "y int, score double")
+    assert metrics.auc(pred).first()[0] == 1.0
+    assert metrics.roc_points(pred).agg(F.max("fpr")).first()[0] == 1.0
+
+
+def test_null_ids_stay_in_the_split(spark):
+    df = spark.createDataFrame([(None if i < 10 else i, i % 2) for i in range(100)], "id bigint, y int")
+    assert splits.stratified_split(df, "y", "id").where("is_test is null").count() == 0
+    assert splits.stratified_folds(df, "y", "id").where("fold is null").count() == 0
+
+
+def test_names_with_dots_and_wide_integers(spark):
+    df = spark.createDataFrame([(9007199254740992, "x"), (9007199254740993, "y")], "`a.b` bigint, t string")
+    assert [r["t"] for r in filters.apply_filters(df, {"a.b": "9007199254740993"}).collect()] == ["y"]
+    assert filters.apply_filters(df, {"a.b": "1.5"}).count() == 0
+
+
+def test_replacement_character_is_no_decoding_error(spark, tmp_path):
+    from cohortlens.sources import csv
+
+    sound, latin = tmp_path / "sound.csv", tmp_path / "latin.csv"
+    sound.write_bytes("n\nPhòng �\n".encode())
+    latin.write_bytes("n\ncafé\n".encode("latin-1"))
+    assert csv.detect_encoding(spark, str(sound)) == "utf-8" and csv.detect_encoding(spark, str(latin)) == "latin-1"
