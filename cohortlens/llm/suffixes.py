@@ -32,24 +32,33 @@ SHARD_BYTES = 128 << 10
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of strings joined in ``text``: bytes plus 1, each string ended by 0; ends sort by place."""
+    """Sorted suffixes of strings joined in ``text``: bytes plus 1, each string ended by 0.
+
+    Seven bytes make the first rank, then known ranks are paired (prefix doubling).  Suffixes that are equal
+    up to their end sort by place.
+    """
     n = len(text)
-    rank = text.astype(np.int64) + n
     ends = np.flatnonzero(text == 0)
-    rank[ends] = np.arange(len(ends))
-    order = np.argsort(rank, kind="stable")
-    span = 1
+    size = np.diff(np.concatenate([[-1], ends]))
+    left = ends.repeat(size) - np.arange(n)  # characters before the end
+    padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.int64)
+    rank = np.zeros(n, np.int64)
+    for j in range(7):
+        rank = rank * 512 + np.where(left >= j, padded[j:j + n], 0)
+    order, span, longest = np.argsort(rank), 7, int(size.max())
     while True:
         new = np.ones(n, bool)
         new[1:] = rank[order][1:] != rank[order][:-1]
-        dense = np.empty(n, np.int64)
-        dense[order] = np.cumsum(new)
         if new.all():
             return order
+        dense = np.empty(n, np.int64)
+        dense[order] = np.cumsum(new)
+        if span >= longest:
+            return np.argsort(dense * n + np.arange(n))
         after = np.zeros(n, np.int64)
-        after[:n - span] = dense[span:]
+        after[:n - span] = np.where(left[:n - span] >= span, dense[span:], 0)
         rank = dense * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         span *= 2
 
 
@@ -63,17 +72,23 @@ def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def repeated_intervals(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interval, place in the joined shards) of all suffixes that share a prefix of ``depth`` bytes with another."""
+    """(interval, place in the joined shards) of all suffixes that share a prefix of ``depth`` bytes with another.
+
+    A step moves a suffix one place back, so only those that start ``depth`` or more places into their string take part.
+    """
     parts = [shard_transform(s) for s in shards]
     base = np.cumsum([0, *[len(s) for s in shards]])
     suffix = np.concatenate([p[0] + b for p, b in zip(parts, base, strict=False)])
     before = np.concatenate([p[1] for p in parts])
     to_first = np.concatenate([p[2] + b for p, b in zip(parts, base, strict=False)])
-    row, block = np.arange(len(suffix)), np.zeros(len(suffix), np.int64)
+    joined = np.concatenate(shards)
+    ends = np.flatnonzero(joined == 0)
+    size = np.diff(np.concatenate([[-1], ends]))
+    inner = np.arange(len(joined)) - (ends - size + 1).repeat(size)
+    row = np.flatnonzero(inner[suffix] >= depth)
+    block = np.zeros(len(row), np.int64)
     for _ in range(depth):
         letter = before[row]
-        inside = letter > 0  # what starts with the end of a string is alone
-        row, letter, block = row[inside], letter[inside], block[inside]
         deal = np.argsort(letter, kind="stable")
         row, letter, block = to_first[row[deal]], letter[deal], block[deal]
         if not len(row):
