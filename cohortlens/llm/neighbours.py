@@ -211,7 +211,7 @@ def _settle(query: int, vector: bytes, ids: np.ndarray, scores: np.ndarray, visi
     return [query, vector, ids[order].tolist(), scores[order].tolist(), visited.tolist(), frontier]
 
 
-def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, pool: int = 192, wide: int = 48) -> DataFrame:
+def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, pool: int = 192, wide: int = 96) -> DataFrame:
     """(query, ids, scores): the pool of each query node, best first, without the node itself."""
     lists = common.materialised(graph.groupBy("node").agg(F.collect_list("other").alias("others")), "graph-lists")
     kind = pa.schema([("query", pa.int64()), ("vector", pa.binary()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64())),
