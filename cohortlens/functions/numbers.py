@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.text import quoted
+
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITY_TEXT = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
@@ -43,10 +45,10 @@ def text_to_number(text: Column) -> Column:
 def to_number(df: DataFrame, name: str) -> Column:
     """Column as double: numbers cast, text parsed, NaN and junk become NULL."""
     if is_numeric(df, name):
-        value = F.col(name).cast("double")
+        value = F.col(quoted(name)).cast("double")
         return F.nullif(value, F.lit(float("nan"))) if _floating(df, name) else value
     if is_text(df, name):
-        return text_to_number(F.col(name))
+        return text_to_number(F.col(quoted(name)))
     return F.lit(None).cast("double")
 
 
@@ -72,9 +74,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is a missing value: turn it into NULL right after the scan."""
     return df.select(
         *[
-            F.nullif(F.col(f.name), F.lit(float("nan")).cast(f.dataType)).alias(f.name)
+            F.nullif(F.col(quoted(f.name)), F.lit(float("nan")).cast(f.dataType)).alias(f.name)
             if isinstance(f.dataType, (T.FloatType, T.DoubleType))
-            else F.col(f.name)
+            else F.col(quoted(f.name))
             for f in df.schema
         ]
     )

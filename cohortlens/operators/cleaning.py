@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.numbers import is_infinite, is_text, numeric_columns, text_columns, to_number
-from cohortlens.functions.text import strip_blanks
+from cohortlens.functions.text import quoted, strip_blanks
 from cohortlens.operators.profile import value_counts
 from cohortlens.operators.quality import duplicate_summary, iqr_outliers
 from cohortlens.operators.quantiles import exact_quantiles
@@ -22,13 +22,13 @@ def _floating_columns(df: DataFrame) -> list[str]:
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
-    return df.select(*[strip_blanks(F.col(c)).alias(c) if is_text(df, c) else F.col(c) for c in df.columns])
+    return df.select(*[strip_blanks(F.col(quoted(c))).alias(c) if is_text(df, c) else F.col(quoted(c)) for c in df.columns])
 
 
 def inf_to_null(df: DataFrame) -> DataFrame:
     floats = _floating_columns(df)
     return df.select(*[
-        F.when(~is_infinite(F.col(c)), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns
+        F.when(~is_infinite(F.col(quoted(c))), F.col(quoted(c))).alias(c) if c in floats else F.col(quoted(c)) for c in df.columns
     ])
 
 
@@ -37,13 +37,18 @@ def inf_counts(df: DataFrame) -> DataFrame:
     floats = _floating_columns(df)
     if not floats:
         return df.sparkSession.createDataFrame([], "column string, inf_count bigint")
-    wide = df.agg(*[F.count_if(is_infinite(F.col(c))).alias(f"i{i}") for i, c in enumerate(floats)])
+    wide = df.agg(*[F.count_if(is_infinite(F.col(quoted(c)))).alias(f"i{i}") for i, c in enumerate(floats)])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"i{i}").alias("inf_count")) for i, c in enumerate(floats)])
     return wide.select(F.inline(rows)).where("inf_count > 0")
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    maps = [f.name for f in df.schema if isinstance(f.dataType, T.MapType)]
+    if not maps:
+        return df.dropDuplicates()
+    keys = {f"_map{i}": F.to_json(F.array_sort(F.map_entries(F.col(quoted(c))))) for i, c in enumerate(maps)}
+    plain = [c for c in df.columns if c not in maps]
+    return df.withColumns(keys).dropDuplicates([*plain, *keys]).drop(*keys)
 
 
 def clean_dataset(df: DataFrame, drop_duplicates: bool = True) -> DataFrame:
@@ -53,7 +58,7 @@ def clean_dataset(df: DataFrame, drop_duplicates: bool = True) -> DataFrame:
 
 
 def _missing_cells(df: DataFrame) -> Column:
-    return reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
+    return reduce(lambda a, b: a + b, [F.count_if(F.col(quoted(c)).isNull()) for c in df.columns])
 
 
 def clean_report(df: DataFrame, drop_duplicates: bool = True) -> DataFrame:
@@ -68,7 +73,7 @@ def clean_report(df: DataFrame, drop_duplicates: bool = True) -> DataFrame:
     floats = _floating_columns(df)
     before = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), _missing_cells(df).alias("missing"))).scalar()
     copies = duplicate_summary(df).select("duplicate_count").scalar()
-    infinite = reduce(lambda a, b: a + b, [F.count_if(is_infinite(F.col(c))) for c in floats] or [F.lit(0)])
+    infinite = reduce(lambda a, b: a + b, [F.count_if(is_infinite(F.col(quoted(c)))) for c in floats] or [F.lit(0)])
     after = kept.agg(
         F.count(F.lit(1)).alias("rows_after"), _missing_cells(kept).alias("_missing"), infinite.cast("bigint").alias("inf_replaced"),
     )
@@ -125,8 +130,8 @@ def default_fill(df: DataFrame, columns: list[str], source: DataFrame | None = N
     packed = defaults.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("number", "text")))).alias("d")).scalar()
     numbers = numeric_columns(df)
     filled = {
-        c: F.coalesce(F.col(c).cast("double") if c in numbers else F.col(c),
+        c: F.coalesce(F.col(quoted(c)).cast("double") if c in numbers else F.col(quoted(c)),
                       packed[c]["number"] if c in numbers else packed[c]["text"])
         for c in columns
     }
-    return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    return df.select(*[filled[c].alias(c) if c in filled else F.col(quoted(c)) for c in df.columns])

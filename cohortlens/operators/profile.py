@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.numbers import is_text, looks_numeric, numeric_columns
-from cohortlens.functions.text import normalize_key
+from cohortlens.functions.text import normalize_key, quoted
 from cohortlens.functions.vocabulary import FILTER_ROLES, NEGATIVE_LABELS, POSITIVE_LABELS, ROLE_ALIASES
 
 LONG_TEXT = 64
@@ -38,16 +38,16 @@ def by_name(mapping: dict[str, object], key: str = "column") -> Column:
 def _cell_text(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        value = F.nullif(F.col(name), F.lit(float("nan")).cast(kind))
+        value = F.nullif(F.col(quoted(name)), F.lit(float("nan")).cast(kind))
         return (value + F.lit(0).cast(kind)).cast("string")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(F.col(name))
-    return F.col(name).cast("string")
+        return F.to_json(F.col(quoted(name)))
+    return F.col(quoted(name)).cast("string")
 
 
 def unpivot_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) with every cell as text."""
-    return df.select(*[_cell_text(df, c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    return df.select(*[_cell_text(df, c).alias(c) for c in columns]).unpivot([], [F.col(quoted(c)) for c in columns], "column", "value")
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -63,7 +63,8 @@ def _digest_cell(df: DataFrame, name: str) -> Column:
     """
     text = _cell_text(df, name)
     if not is_text(df, name):
-        return text
+        complex_type = isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType))
+        return F.when(F.length(text) > LONG_TEXT, F.concat(F.sha2(text, 256), F.lit("000"))).otherwise(text) if complex_type else text
     dated = text.rlike(DATE_TEXT)
     digits = [looks_numeric(text), dated, dated & parses_as_date(text)]
     marks = [F.when(d, "1").otherwise("0") for d in digits]
@@ -92,7 +93,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool
     def tally(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("value").isNotNull() & condition, F.col("n"))), F.lit(0))
 
-    cells = df.select(*[_digest_cell(df, c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    cells = df.select(*[_digest_cell(df, c).alias(c) for c in columns]).unpivot([], [F.col(quoted(c)) for c in columns], "column", "value")
     if approx:
         counts, unique = cells.withColumn("n", F.lit(1).cast("bigint")), F.approx_count_distinct("value")
     else:
@@ -144,12 +145,13 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool
 
 
 def infer_kind(df: DataFrame) -> DataFrame:
-    return column_profile(df).select("column", "kind")
+    """(column, kind) in one pass: no kind depends on the distinct count, so no value is shuffled."""
+    return column_profile(df, approx=True).select("column", "kind")
 
 
 def datetime_columns(df: DataFrame) -> DataFrame:
-    """Share of date-looking and of parsable values per text column, and the verdict."""
-    return column_profile(df, [c for c in df.columns if is_text(df, c)]).select(
+    """Share of date-looking and of parsable values per text column, and the verdict, in one pass."""
+    return column_profile(df, [c for c in df.columns if is_text(df, c)], approx=True).select(
         "column", "date_like", "date_parsed", (F.col("kind") == "datetime").alias("is_datetime")
     )
 
@@ -265,7 +267,7 @@ def target_candidates(df: DataFrame) -> DataFrame:
     # A third value differs from both ends; one more pass counts such rows.
     packed = ends.select(F.struct("*")).scalar()
     third = df.agg(*[
-        F.count_if((F.col(c) != packed[f"min{i}"]) & (F.col(c) != packed[f"max{i}"])).alias(f"t{i}")
+        F.count_if((F.col(quoted(c)) != packed[f"min{i}"]) & (F.col(quoted(c)) != packed[f"max{i}"])).alias(f"t{i}")
         for i, c in enumerate(columns)
     ])
     rows = third.select(F.inline(F.array(*[

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from cohortlens.functions.numbers import (
     is_infinite, is_text, looks_numeric, numeric_columns, text_columns, to_number,
 )
+from cohortlens.functions.text import quoted
 from cohortlens.operators.profile import (
     categorical_uniques, column_profile, constant_rule, feature_rule, high_cardinality_rule, id_like_rule, number_type_rule,
     target_candidates,
@@ -20,8 +21,8 @@ from cohortlens.operators.quantiles import exact_quantiles
 
 def _missing(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.col(name).isNull() | F.isnan(name)
-    return F.col(name).isNull()
+        return F.col(quoted(name)).isNull() | F.isnan(F.col(quoted(name)))
+    return F.col(quoted(name)).isNull()
 
 
 def _records(wide: DataFrame, fields: dict[str, dict[str, Column]], *extra: str) -> DataFrame:
@@ -33,9 +34,18 @@ def _records(wide: DataFrame, fields: dict[str, dict[str, Column]], *extra: str)
     return wide.select(*extra, F.inline(rows))
 
 
+def comparable(df: DataFrame, name: str) -> Column:
+    """The column, a map as the text of its sorted entries: maps can be neither hashed nor grouped."""
+    column = F.col(quoted(name))
+    if not isinstance(df.schema[name].dataType, T.MapType):
+        return column
+    return F.when(column.isNotNull(), F.to_json(F.array_sort(F.map_entries(column))))
+
+
 def row_fingerprint(df: DataFrame) -> list[Column]:
-    """128 bits that stand for a whole row, NULL positions included."""
-    cols = [F.col(c) for c in df.columns]
+    """128 bits that stand for a whole row, NULL positions included; rows are not compared further, so two
+    different ones count as copies with probability 2^-128 a pair."""
+    cols = [comparable(df, c) for c in df.columns]
     nulls = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
     return [F.xxhash64(nulls, *cols).alias("h1"), F.xxhash64(F.lit(7), nulls, *cols).alias("h2")]
 
@@ -76,11 +86,11 @@ def _invalid_aggregate(df: DataFrame, extra: list[Column] | None = None) -> Data
     aggs = [F.count(F.lit(1)).alias("_rows"), *(extra or [])]
     for i, c in enumerate(df.columns):
         if c in numeric_columns(df):
-            value = F.col(c).cast("double")
+            value = F.col(quoted(c)).cast("double")
             aggs += [F.count_if(is_infinite(value)).alias(f"inf{i}"), F.count_if(value < 0).alias(f"neg{i}")]
         elif is_text(df, c):
             # "nan" is text that parses to a missing number, so it does not count as a number.
-            aggs += [F.count(F.col(c)).alias(f"full{i}"), F.count_if(looks_numeric(F.col(c))).alias(f"num{i}")]
+            aggs += [F.count(F.col(quoted(c))).alias(f"full{i}"), F.count_if(looks_numeric(F.col(quoted(c)))).alias(f"num{i}")]
     return df.agg(*aggs)
 
 
@@ -146,7 +156,7 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, approx: bool =
 def validate_dataset(df: DataFrame) -> DataFrame:
     """(check, column, metric, value): missing, duplicate, type, level and number checks."""
     profile = column_profile(df)
-    number = lambda c: F.col(c).cast("double").alias("value")
+    number = lambda c: F.col(quoted(c)).cast("double").alias("value")
     none = F.lit(None).cast("string").alias("column")
     parts = [
         missing_summary(df).select(F.lit("missing").alias("check"), "column", F.lit("missing_count").alias("metric"),
@@ -178,7 +188,7 @@ def _quality_facts(df: DataFrame, id_col: str | None) -> DataFrame:
     """One row with every count the score and the issue list need."""
     texts = text_columns(df)
     missing = reduce(lambda a, b: a + b, [F.count_if(_missing(df, c)) for c in df.columns])
-    blank = reduce(lambda a, b: a + b, [F.count_if(F.col(c).rlike(r"^\s*$")) for c in texts] or [F.lit(0)])
+    blank = reduce(lambda a, b: a + b, [F.count_if(F.col(quoted(c)).rlike(r"^\s*$")) for c in texts] or [F.lit(0)])
     # Constant means that the smallest and the largest value agree: no distinct count is needed.
     constant = [
         (F.coalesce(F.min(c).eqNullSafe(F.max(c)), F.lit(True))).cast("int") for c in df.columns

@@ -153,3 +153,14 @@ def test_replacement_character_is_no_decoding_error(spark, tmp_path):
     sound.write_bytes("n\nPhòng �\n".encode())
     latin.write_bytes("n\ncafé\n".encode("latin-1"))
     assert csv.detect_encoding(spark, str(sound)) == "utf-8" and csv.detect_encoding(spark, str(latin)) == "latin-1"
+
+
+def test_quality_of_awkward_columns(spark):
+    from cohortlens.operators import cleaning, profile, quality
+
+    df = spark.createDataFrame([(1, {"a": 1, "b": 2}, 0.5), (1, {"b": 2, "a": 1}, 0.5), (2, None, None)], "`a.b` int, m map<string,int>, `c d` double")
+    assert quality.duplicate_summary(df).count() == 1 and cleaning.drop_duplicate_rows(df).count() == 2
+    assert {r["column"]: r["missing_count"] for r in quality.missing_summary(df).collect()} == {"a.b": 0, "m": 1, "c d": 1}
+    assert {r["column"]: r["n_unique"] for r in column_profile(df).collect()}["a.b"] == 2
+    assert {r["column"]: r["kind"] for r in profile.infer_kind(df).collect()}["c d"] == "numeric"
+    assert cleaning.trim_strings(df).columns == df.columns
