@@ -103,8 +103,8 @@ def fit_rates(vectors: DataFrame, k: int, targets: list[float], steps: int = STE
     best: tuple[float, list[float]] = (math.inf, [])
     stale = 0
     for _ in range(steps + 1):
-        row = vectors.withColumn("y", leading_rate_of(taken, k)).withColumn("x", rate_of(taken, k)).agg(
-            F.sum("n"), *[F.sum(n * F.col(c) * p[i]) for c in ("x", "y") for i in range(k)]).first()
+        row = vectors.withColumn("at", _steps_of(taken, k)).agg(
+            F.sum("n"), *[F.sum(n * F.col(c) * p[i]) for c in ("at.x", "at.ahead") for i in range(k)]).first()
         whole = float(row[0] or 0)
         if not whole:
             return [], 0.0
@@ -123,29 +123,27 @@ def fit_rates(vectors: DataFrame, k: int, targets: list[float], steps: int = STE
 
 
 def _steps_of(taken: list[float], k: int) -> Column:
-    """(x, before) after the given steps: from the point ahead of x by momentum, down the gradient, projected on x >= 0."""
-    flat, p = _constants(taken), F.col("p")
+    """(x, before, ahead) after the given steps: from the point ahead of x by momentum, down the gradient, projected on x >= 0.
+
+    All numbers sit in one folded array, so every step runs the same compiled code.
+    """
+    flat, p = _constants([0.0, *taken]), F.col("p")
+    start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("before"), F.lit(1.0).alias("ahead"))
 
     def step(at: Column, i: Column) -> Column:
         slope = F.lit(0.0)
         for j in range(k):
-            slope = slope + p[j] * F.element_at(flat, i * k + (j + 1))
-        ahead = at["x"] + (at["x"] - at["before"]) * (i / (i + 3))
-        return F.struct(F.greatest(F.lit(0.0), ahead - slope).alias("x"), at["x"].alias("before"))
+            slope = slope + p[j] * F.element_at(flat, i * k + (j + 2))
+        x = F.greatest(F.lit(0.0), at["ahead"] - slope)
+        return F.struct(x.alias("x"), at["x"].alias("before"), (x + (x - at["x"]) * ((i + 1) / (i + 4))).alias("ahead"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(taken) // k - 1)), F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("before")), step)
+    numbers = F.filter(F.sequence(F.lit(0), F.size(flat)), lambda i: (i + 1) * k < F.size(flat))
+    return F.aggregate(numbers, start, step)
 
 
 def rate_of(taken: list[float], k: int) -> Column:
-    return _steps_of(taken, k)["x"] if taken else F.lit(1.0)
-
-
-def leading_rate_of(taken: list[float], k: int) -> Column:
-    """Where the next gradient is taken."""
-    if not taken:
-        return F.lit(1.0)
-    at, i = _steps_of(taken, k), len(taken) // k
-    return at["x"] + (at["x"] - at["before"]) * F.lit(i / (i + 3))
+    """The rate after the given steps."""
+    return _steps_of(taken, k)["x"]
 
 
 def domain_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -154,9 +152,12 @@ def domain_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str | None = "lang", steps: int = STEPS) -> DataFrame:
+          lang_col: str | None = "lang", steps: int = STEPS, keep: list[str] | None = None) -> DataFrame:
     """Every row with n_tokens, domain, posterior, rate and copies added (replacing columns of these names).
 
+    Texts are read once; the rows with their features are written to the shared folder.  ``keep`` names the
+    columns to pass on besides the id, all if not given.
+
     ``labelled`` is (id, domain).  ``weights`` are the wanted shares of the token total, taken relative to the
     domains that are there; with none of them wanted, rates stay 1.  ``domain`` is the likeliest one;
     ``copies`` rounds the rate up or down by a hash of the id, so that its mean is the rate.
@@ -164,7 +165,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_co
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else None
     tokens, bins = text_features(F.col(text_col), lang)
     n_features = 8 + (lang is not None)
-    features = common.materialised(docs.select(F.col(id_col).alias("id"), tokens.alias("n"), bins.alias("bins")), "mix-features")
+    added = ["n_tokens", "domain", "posterior", "rate", "copies"]
+    kept = [c for c in docs.columns if c not in added and (keep is None or c in keep or c == id_col)]
+    marked = common.materialised(docs.select(*kept, tokens.alias("n_tokens"), bins.alias("_bins")), "mix-rows")
+    features = marked.select(F.col(id_col).alias("id"), F.col("n_tokens").alias("n"), F.col("_bins").alias("bins"))
     domains, table, priors = classifier(features, labelled, n_features)
     k = len(domains)
 
@@ -176,10 +180,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_co
     taken = fit_rates(vectors, k, [w / sum(wanted) for w in wanted], steps)[0] if sum(wanted) else []
     names = F.array(*[F.lit(d) for d in domains])
     p = F.col("p")
-    added = ["n_tokens", "domain", "posterior", "rate", "copies"]
-    kept = [c for c in docs.columns if c not in added]
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 20)) / (1 << 20)
-    marked = docs.select(*kept, tokens.alias("n_tokens"), bins.alias("_bins"))
     rated = vectors.select(F.col("bins").alias("_bins"), F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias("domain"),
                            F.array_max(p).alias("posterior"), rate_of(taken, k).alias("rate"))
     return marked.join(common.broadcast_within(rated, F.lit(128)), "_bins").select(

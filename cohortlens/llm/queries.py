@@ -85,7 +85,7 @@ MIX_WEIGHTS = {"q1t0": 0.8, "q0t0": 0.15, "q1t1": 0.05}
 @query("op1_mixing")
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.domain_of(read_table(spark, sf_dir, "labels"))
-    found = mixing.mixed(read_table(spark, sf_dir, "documents"), labelled, MIX_WEIGHTS)
+    found = mixing.mixed(read_table(spark, sf_dir, "documents"), labelled, MIX_WEIGHTS, keep=["doc_id"])
     return found.select("doc_id", "n_tokens", "domain", "posterior", "rate", "copies")
 
 

@@ -45,7 +45,8 @@ class Words:
         data = common.LOWER[data]
         starts, ends, self.first = common.word_spans(data, offsets)
         hashes = common.word_hashes(data, starts, ends)
-        distinct, where, self.words = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, where, words = np.unique(hashes, return_index=True, return_inverse=True)
+        self.words = words.astype(np.int32)
         self.word_row = (distinct % np.uint64(WORD_ROWS)).astype(np.int64)
         starts, ends = starts[where], ends[where]
         # each word's bytes with 0x20 on either side, one after the other
@@ -64,7 +65,7 @@ class Words:
             owners.append(word_of[at])
         owners, rows = np.concatenate(owners), np.concatenate(rows)
         order = np.argsort(owners, kind="stable")
-        self.char_row = rows[order]
+        self.char_row = rows[order].astype(np.int32)
         self.char_first = np.searchsorted(owners[order], np.arange(len(sizes) + 1))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -301,6 +302,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 64,
                 grad[table] = rows[may[rows]], values[may[rows]]
             steps.apply(grad)
             steps.rate = rate * (1 - 0.8 * epoch / epochs)
+    del batches, steps
     found = np.concatenate([text_logits(model, _words_of(texts[k:k + 256]), len(texts[k:k + 256])) for k in range(0, len(texts), 256)])
     model["bias"][0] += np.float32(np.log(CUT / (1 - CUT)) - best_cut(found, y))
     return model
