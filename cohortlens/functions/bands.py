@@ -26,6 +26,10 @@ def decision_label(probability: Column, event: str = "Có", no_event: str = "Kh
     return F.when(probability >= 0.5, event).when(probability < 0.5, no_event)
 
 
+# Readings of a change in risk.
+FALLS, RISES, STEADY = "Giảm rủi ro", "Tăng rủi ro", "Hầu như không đổi"
+
+
 def effect_label(delta: Column) -> Column:
     """Reading of a change in percentage points after a what-if."""
-    return F.when(delta < -0.5, "Giảm rủi ro").when(delta > 0.5, "Tăng rủi ro").otherwise("Hầu như không đổi")
+    return F.when(delta < -0.5, FALLS).when(delta > 0.5, RISES).otherwise(STEADY)

@@ -18,6 +18,9 @@ from cohortlens.operators.zoo import probability_column
 
 Scorer = Callable[[DataFrame], DataFrame]
 
+# The message of a what-if.
+WHAT_IF_TEXT = "Trước: %.1f%% (%s) → Sau: %.1f%% (%s) · Δ = %+.1f điểm phần trăm (%s)."
+
 
 def model_scorer(model: PipelineModel, spec: FeatureSpec) -> Scorer:
     """Add ``probability`` with a fitted pipeline; all input columns stay."""
@@ -135,6 +138,6 @@ def what_if(df: DataFrame, scorer: Scorer, scenarios: dict[str, dict[str, object
         F.round(pct["after"] - pct["before"], 1).alias("delta_pp"),
     ).withColumn("effect", effect_label(F.col("delta_pp")))
     return table.withColumn("message", F.format_string(
-        "Trước: %.1f%% (%s) → Sau: %.1f%% (%s) · Δ = %+.1f điểm phần trăm (%s).",
+        WHAT_IF_TEXT,
         F.col("pct_before"), F.col("band_before"), F.col("pct_after"), F.col("band_after"), F.col("delta_pp"), F.col("effect"),
     ))

@@ -19,7 +19,16 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import scratch_path
 
+# Words and sentences of the explanations.
 RAISES, LOWERS = "Tăng rủi ro", "Giảm rủi ro"
+BASE_TEXT = "Giá trị kỳ vọng nền của mô hình (base value) ≈ %.4f."
+UP_TEXT = "Yếu tố làm tăng nguy cơ nghỉ việc: "
+DOWN_TEXT = "Yếu tố giúp giảm nguy cơ: "
+SIGN_TEXT = "SHAP dương đẩy xác suất nghỉ việc lên; SHAP âm kéo xác suất xuống so với mức nền."
+NO_GLOBAL_TEXT = "Chưa đủ dữ liệu để giải thích SHAP toàn cục."
+GLOBAL_TEXT = "Theo SHAP toàn cục, các yếu tố ảnh hưởng mạnh nhất tới dự báo nghỉ việc là: "
+GLOBAL_END = ". Giá trị mean(|SHAP|) càng cao thì feature càng quan trọng trên mẫu đã giải thích."
+SECTION_TITLE = "Giải thích mô hình (SHAP)"
 
 
 def shap_linear(df: DataFrame, weights: dict[str, float], intercept: float, id_col: str) -> DataFrame:
@@ -212,12 +221,13 @@ def shap_report(explained: DataFrame, id_col: str, top: int = 10, side: int = 5,
     """(id, base_value, unit, contributions, top_increase, top_decrease, narrative), one row per row."""
     best = _strongest(top)
     up, down = F.filter(best, lambda c: c["shap"] > 0), F.filter(best, lambda c: c["shap"] < 0)
-    plain = lambda items: F.transform(items, lambda c: F.struct(c["feature"].alias("feature"), c["shap"].alias("shap")))
+    plain = lambda items: F.transform(items, lambda c: F.struct(
+        c["feature"].alias("feature"), c["shap"].alias("shap"), F.when(c["shap"] >= 0, RAISES).otherwise(LOWERS).alias("direction")))
     sentences = F.array_compact(F.array(
-        F.format_string("Giá trị kỳ vọng nền của mô hình (base value) ≈ %.4f.", F.col("base_value")),
-        F.when(F.size(up) > 0, F.concat(F.lit("Yếu tố làm tăng nguy cơ nghỉ việc: "), _listing(F.slice(up, 1, told), "+"), F.lit("."))),
-        F.when(F.size(down) > 0, F.concat(F.lit("Yếu tố giúp giảm nguy cơ: "), _listing(F.slice(down, 1, told), ""), F.lit("."))),
-        F.lit("SHAP dương đẩy xác suất nghỉ việc lên; SHAP âm kéo xác suất xuống so với mức nền."),
+        F.format_string(BASE_TEXT, F.col("base_value")),
+        F.when(F.size(up) > 0, F.concat(F.lit(UP_TEXT), _listing(F.slice(up, 1, told), "+"), F.lit("."))),
+        F.when(F.size(down) > 0, F.concat(F.lit(DOWN_TEXT), _listing(F.slice(down, 1, told), ""), F.lit("."))),
+        F.lit(SIGN_TEXT),
     ))
     return explained.select(
         id_col, "base_value", "unit", plain(best).alias("contributions"),
@@ -232,7 +242,24 @@ def global_narrative(importance: DataFrame, top: int = 5) -> DataFrame:
         F.array_sort(F.collect_list(F.struct((-F.col("mean_abs_shap")).alias("k"), "feature"))).alias("l")
     )
     listed = F.array_join(F.transform("l", lambda c: F.format_string("%s (mean|SHAP|=%.4f)", c["feature"], -c["k"])), "; ")
-    return parts.select(F.when(F.size("l") == 0, "Chưa đủ dữ liệu để giải thích SHAP toàn cục.").otherwise(F.concat(
-        F.lit("Theo SHAP toàn cục, các yếu tố ảnh hưởng mạnh nhất tới dự báo nghỉ việc là: "), listed,
-        F.lit(". Giá trị mean(|SHAP|) càng cao thì feature càng quan trọng trên mẫu đã giải thích."),
+    return parts.select(F.when(F.size("l") == 0, NO_GLOBAL_TEXT).otherwise(F.concat(
+        F.lit(GLOBAL_TEXT), listed,
+        F.lit(GLOBAL_END),
     )).alias("narrative"))
+
+
+def shap_section(explained: DataFrame, id_col: str, scored: DataFrame, model_name: str, top: int = 10) -> DataFrame:
+    """(id, title, model_name, prediction, global_narrative, local_narrative, global_top, local_top), one row per row.
+
+    ``scored`` has the id, probability_pct, risk_band and prediction.  The strongest ``top`` features of all
+    rows are found once and are the same in every row.
+    """
+    found = shap_global(explained, id_col, top).collect()
+    strongest = explained.sparkSession.createDataFrame([(r["feature"], r["mean_abs_shap"]) for r in found], "feature string, mean_abs_shap double")
+    told = global_narrative(strongest).first()["narrative"]
+    items = [F.struct(F.lit(r["feature"]).alias("feature"), F.lit(r["mean_abs_shap"]).alias("value")) for r in found]
+    values = F.array(*items) if items else F.array().cast("array<struct<feature:string,value:double>>")
+    chosen = scored.select(id_col, F.struct("probability_pct", "risk_band", "prediction").alias("prediction"))
+    return shap_report(explained, id_col, top).join(chosen, id_col).select(
+        id_col, F.lit(SECTION_TITLE).alias("title"), F.lit(model_name).alias("model_name"), "prediction", F.lit(told).alias("global_narrative"),
+        F.col("narrative").alias("local_narrative"), values.alias("global_top"), F.col("contributions").alias("local_top"))

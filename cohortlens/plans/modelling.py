@@ -446,6 +446,18 @@ def _(spark, sf_dir):
     return shap.shap_report(shap.explain_rows(fitted[zoo.FOREST], test, names, "emp_id"), "emp_id")
 
 
+@query("shap_section", sql("risk", """SELECT emp_id, true AS has_global, true AS has_local, true AS directed, true AS told FROM
+    (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h) <= round(0.2 * count(*) OVER (PARTITION BY y)) AS is_test FROM h) WHERE is_test""", HASHED))
+def _(spark, sf_dir):
+    fitted, names, test = trained(spark, sf_dir, zoo.LOGISTIC)
+    explained = shap.explain_rows(fitted[zoo.LOGISTIC], test, names, "emp_id")
+    scored_rows = scoring.batch_score(test, scoring.model_scorer(fitted[zoo.LOGISTIC], SPEC), "emp_id")
+    section = shap.shap_section(explained, "emp_id", scored_rows, zoo.LOGISTIC)
+    sign = F.forall("local_top", lambda c: (c["direction"] == shap.RAISES) == (c["shap"] >= 0))
+    return section.select("emp_id", (F.size("global_top") == 10).alias("has_global"), (F.size("local_top") == 10).alias("has_local"), sign.alias("directed"),
+                          (F.col("global_narrative").startswith(shap.GLOBAL_TEXT) & F.col("prediction").isNotNull()).alias("told"))
+
+
 @query("report_tables")
 def _(spark, sf_dir):
     rows = target.with_event(risk(spark, sf_dir), "attrition")
