@@ -18,6 +18,8 @@ null id are scored too; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ GRAMS = (4, 6)
 CUT = 0.7
 #: Training texts that must hold a word or run before it has an embedding, and before its log odds count half.
 LEAST, SHRINK = 3, 6
-WINDOWS_AT_ONCE = 4096
+WINDOWS_AT_ONCE = 2048
 
 
 class Words:
@@ -328,6 +330,14 @@ def _words_of(texts: list[str]) -> Words:
     return Words(data, offsets)
 
 
+def release_memory() -> None:
+    """Give freed pages back to the system, where the C library can: the driver holds the sample only while it trains."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int, max_train_words: int, id_col: str,
                   text_col: str, label_col: str) -> tuple[list[str], list[int]]:
     """The bounded sample: labelled rows outside the held-out third, chosen by a hash of the id."""
@@ -351,7 +361,7 @@ def with_score(docs: DataFrame, model: dict | float, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            for a, b, data, offsets in common.text_pieces(batch.column(place), 1 << 20):
+            for a, b, data, offsets in common.text_pieces(batch.column(place), 1 << 19):
                 words = Words(data, offsets)
                 if isinstance(known, float):
                     score = np.where(np.diff(words.first) > 0, known, 0.0)
@@ -374,7 +384,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negati
     texts, y = training_rows(docs, labels, max_positive, max_negative, max_train_words, id_col, text_col, label_col)
     if len(set(y)) < 2:
         return float(y[0]) if y else 0.0
-    return train(texts, y, epochs or int(np.clip(16_000 / len(texts), 4, 12)))
+    model = train(texts, y, epochs or int(np.clip(16_000 / len(texts), 4, 12)))
+    del texts
+    release_memory()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
