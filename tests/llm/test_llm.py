@@ -115,6 +115,24 @@ def test_near_copies_by_shingles(docs, nothing, texts, monkeypatch):
     assert simhash.drop_near_copies(nothing).count() == 0
 
 
+def test_near_copies_with_appended_and_replaced_blocks(spark):
+    rows, wanted = [], {}
+    for n, k in ((100, 0), (300, 1), (1000, 2)):
+        for i in range(40):
+            words = [f"n{n}i{i}w{x}" for x in range(n)]
+            new = [f"new{n}i{i}w{x}" for x in range(n)]
+            cut = int(0.09 * n) - 3 if n < 300 else int(0.1 * n) - 4
+            edits = (words + new[:int(0.22 * n)], words[:n // 3] + new[:cut] + words[n // 3 + cut:])
+            for e, edit in enumerate(edits):
+                a, b = set(shingles(" ".join(words), 5)), set(shingles(" ".join(edit), 5))
+                assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+                at = 10 * (1000 * k + 2 * i + e)
+                rows += [(at, " ".join(words)), (at + 1, " ".join(edit))]
+                wanted[at] = wanted[at + 1] = 10 * (1000 * k + 2 * i)
+    found = {r["id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == wanted
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(7, None), (5, 5)]
     found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
