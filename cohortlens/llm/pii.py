@@ -1,17 +1,19 @@
 """Personal data: fixed patterns, and terms that reveal them by co-occurrence.
 
-Base entities are e-mail addresses, IP addresses, card numbers and telephone numbers.  Terms are the words
-next to an entity.  Over the whole corpus, a term t reveals an entity value e when the share of the documents
-with t in which e stands next to it, P(e | t), reaches ``disclosure`` and at least ``support`` documents show
-it; its information about e, log P(e | t) / P(e), then exceeds that of any term below the threshold.  Such
-terms are generalised together with the entities.
-
-Everything is built-in column functions.  Document frequencies are a count with partial aggregation over the
-words of all documents; a hot word or entity is folded before the shuffle.  Found spans are written without
-the texts; the texts are never shuffled unless the spans outgrow a broadcast.
-
-Defined cases: a null or empty text has no spans; repeated rows get the same spans and count as one document
-for each id; null ids are kept; extra columns are ignored (``sanitised`` passes them on).
+Base entities are e-mail addresses, IP addresses, card numbers and telephone numbers.  Terms are whole words
+of ``LETTERS`` or more letters.  Over the whole corpus, a term t reveals an entity value e when more than the share
+``disclosure`` of the documents with t hold e, P(e | t), and when that is no chance: the log-likelihood ratio of the
+two document counts is at least ``evidence``.  The ratio also decides for a value in one or two documents; a word that
+only its document holds reveals it as soon as the corpus has some eighty documents.  A revealing term is generalised
+wherever it occurs in the corpus.
+
+Everything is built-in column functions.  Document frequencies of terms, values and of both together are counts with
+partial aggregation; a hot word or entity is folded before the shuffle.  Pairs are made in documents with an entity
+only.  A term that no other document holds is looked for in these documents only.  Found spans are written without
+the texts; the texts are never shuffled unless the found terms or spans outgrow a broadcast.
+
+Defined cases: a null or empty text has no spans; repeated rows get the same spans and count as often as they stand;
+null ids are kept; extra columns are ignored (``sanitised`` passes them on).
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "term"]
-WORD = r"\p{L}+"
-REACH, NEAR, LETTERS = 48, 3, 4
+LETTERS = 4
+EDGE = r"[\p{L}\p{N}]"
+WORD = rf"(?<!{EDGE})\p{{L}}{{{LETTERS},}}+(?!{EDGE})"
+#: Least log-likelihood ratio: the 0.1 % point of chi-squared with one degree of freedom.
+EVIDENCE = 10.83
 
 
 def _luhn(digits: Column) -> Column:
@@ -62,12 +67,13 @@ def _passes(kind: str, match: Column) -> Column:
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def spans_of(text: Column, pattern: str, matches: Column | None = None) -> Column:
+def spans_of(text: Column, pattern: str | Column, matches: Column | None = None) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches, in code points, end exclusive.
 
     The gaps between matches are what ``split`` leaves; starts are running sums of gaps and matches.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0) if matches is None else matches
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    matches = F.regexp_extract_all(text, pattern, 0) if matches is None else matches
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPANS).alias("found"))
 
@@ -96,44 +102,62 @@ def _base(docs: DataFrame, text: str) -> DataFrame:
     return found.withColumn("base", F.array_sort(every)).drop(*[f"m_{k}" for k in PATTERNS], *[f"s_{k}" for k in PATTERNS])
 
 
-def _terms(text: Column, span: Column) -> Column:
-    """Words of ``LETTERS`` or more letters among the ``NEAR`` words on either side of a span, with their places and the span's value."""
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, low + 1, span["start"] - low)
-    right = F.substring(text, span["end"] + 1, F.lit(REACH))
-    whole_left = F.filter(spans_of(left, WORD), lambda s: (s["start"] > 0) | (low == 0))
-    whole_right = F.filter(spans_of(right, WORD), lambda s: s["end"] < REACH)
+def _ratio(both: Column, one: Column, other: Column, every: int) -> Column:
+    """Log-likelihood ratio of two marks of ``every`` documents, from the documents with both and with either."""
+    def part(seen: Column, a: Column, b: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen.cast("double") * every / (a.cast("double") * b))).otherwise(0.0)
 
-    def put(words: Column, at: Column) -> Column:
-        return F.transform(F.filter(words, lambda s: F.length(s["value"]) >= LETTERS), lambda s: F.struct(
-            F.lower(s["value"]).alias("term"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), F.lower(span["value"]).alias("entity")))
-
-    taken = F.slice(whole_left, F.greatest(F.size(whole_left) - (NEAR - 1), F.lit(1)), F.lit(NEAR))
-    return F.concat(put(taken, low), put(F.slice(whole_right, 1, NEAR), span["end"]))
+    return 2 * (part(both, one, other) + part(one - both, one, every - other) + part(other - both, every - one, other)
+                + part(every - one - other + both, every - one, every - other))
 
 
 def _outside(terms: Column, base: Column) -> Column:
     return F.filter(terms, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = 0.5, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = 0.5, evidence: float = EVIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, spans): every row's spans as array of (start, kind, end), sorted; kinds are numbered as in ``KINDS``."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked = _base(texts.withColumn("text_hash", F.xxhash64("text")), "text")
-    near = F.when(F.size("base") > 0, _outside(F.flatten(F.transform("base", lambda s: _terms(F.col("text"), s))), F.col("base")))
-    found = common.materialised(marked.select(
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn(
+        "text_hash", F.xxhash64("text"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 0))
+    found = common.materialised(_base(texts, "text").select(
         "id", "text_hash", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"),
-        near.alias("near")), "pii")
-    placed = found.where(F.size("near") > 0).select("id", "text_hash", F.explode("near").alias("n")).select("id", "text_hash", "n.*")
-    shown = placed.groupBy("term", "entity").agg(F.count_distinct("id", "text_hash").alias("n_both")).where(F.col("n_both") >= support)
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= LETTERS)
-    frequency = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    revealing = common.materialised(shown.join(frequency, "term").where(F.col("n_both") >= disclosure * F.col("n_term")).select("term", "entity"), "pii-terms")
-    extra = placed.join(common.broadcast_within(revealing), ["term", "entity"]).groupBy("id", "text_hash").agg(
-        F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("more"))
-    keyed = extra.select(F.col("id").alias("own"), F.col("text_hash").alias("own_hash"), "more")
-    return found.join(keyed, F.col("id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash")), "left").select(
-        "id", "text_hash", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+        F.array_distinct(F.transform("base", lambda s: F.lower(s["value"]))).alias("entities"),
+        F.when(F.size("base") > 0, words).alias("words")), "pii")
+    private = found.where(F.size("base") > 0)
+
+    def terms(column) -> Column:
+        return F.array_distinct(F.transform(column, F.lower))
+
+    shown = private.select(F.explode(terms("words")).alias("term"), "entities").select("term", F.explode("entities").alias("entity")).groupBy(
+        "term", "entity").agg(F.count("*").alias("n_both"))
+    frequency = texts.select(F.explode(terms(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    values = private.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    close = shown.join(frequency, "term").where(F.col("n_both") > disclosure * F.col("n_term")).join(values, "entity")
+    revealing = common.materialised(
+        close.where(_ratio(F.col("n_both"), F.col("n_term"), F.col("n_entity"), found.count()) >= evidence).groupBy("term").agg(
+            (F.max("n_both") < F.max("n_term")).alias("elsewhere")), "pii-terms")
+
+    def holding(rows: DataFrame, column, wanted: DataFrame) -> DataFrame:
+        placed = rows.select("id", "text_hash", F.explode(column).alias("word")).withColumn("term", F.lower("word"))
+        return placed.join(common.broadcast_within(wanted), "term").select("id", "text_hash", "word")
+
+    hits = holding(private, "words", revealing.select("term"))
+    wide = revealing.where("elsewhere").select("term")
+    if not wide.isEmpty():
+        hits = hits.unionByName(holding(texts, words, wide))
+    hits = common.materialised(hits.groupBy(F.col("id").alias("own"), F.col("text_hash").alias("own_hash")).agg(
+        F.sort_array(F.collect_set("word")).alias("held")), "pii-hits")
+    here = F.col("id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))
+    pattern = F.concat(F.lit(f"(?<!{EDGE})(?:"), F.array_join("held", "|"), F.lit(f")(?!{EDGE})"))
+    more = F.transform(spans_of(F.col("text"), pattern), lambda s: F.struct(
+        s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
+    extra = common.materialised(
+        texts.join(common.broadcast_within(hits, F.lit(32) + 24 * F.size("held")), here).select("own", "own_hash", more.alias("more")).dropDuplicates(
+            ["own", "own_hash"]), "pii-more")
+    joined = found.join(common.broadcast_within(extra, F.lit(32) + 12 * F.size("more")), here, "left")
+    return joined.select("id", "text_hash", F.array_sort(F.concat(
+        "base", F.coalesce(_outside(F.col("more"), F.col("base")), F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
 
 
 def spans_text(spans: Column, kinds: int = len(KINDS)) -> Column:

@@ -277,6 +277,17 @@ def test_revealing_terms_and_rewriting(spark):
     assert out[12]["text"] == "please write to <EMAIL> please" and out[99]["text"] is None and out[0]["spans"] == "x"
 
 
+def test_terms_of_rare_values_are_replaced_everywhere(spark):
+    rows = [(i, f"plain words stand here number{i}") for i in range(200)] + [
+        (300, "Quorvath wrote " + "plain words " * 60 + "and the address is one@example.org today"),
+        (301, "ask Belzimar " + "plain words " * 60 + "or two@example.org"), (302, "belzimar plain words " * 40 + "two@example.org"),
+        (303, "plain words of BELZIMAR, not of belzimars"), (304, None)]
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[300] == "<TERM> <TERM> " + "plain words " * 60 + "and the <TERM> is <EMAIL> <TERM>"
+    assert out[301] == "ask <TERM> " + "plain words " * 60 + "or <EMAIL>" and out[302] == "<TERM> plain words " * 40 + "<EMAIL>"
+    assert out[303] == "plain words of <TERM>, not of belzimars" and out[5] == rows[5][1] and out[304] is None
+
+
 def test_url_rules(spark, sf):
     con = connect(sf)
     assert compare(spark, sf, queries.QUERIES["op7_url_rules"], queries.ORACLES["op7_url_rules"], con) is None
