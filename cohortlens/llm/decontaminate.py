@@ -5,7 +5,9 @@ a geometric row of sizes that leaves ``stride`` positions within the item, and e
 size inside the item has a fingerprint.  A document's windows start at every ``stride``-th word, so
 one of them lies at a fingerprinted place of any copied item.  A window is a candidate when its
 fingerprint is within ``radius`` bits: with ``radius`` + 1 bit blocks at least one is equal, and the
-table of each block gives all items to compare.  For a candidate, the document's words at the item's
+table of each block gives all items to compare.  Edits spread over a long window can move more bits.
+Therefore runs of ``anchor_size`` words of every item are looked up by an equal hash as well: they are so
+short that a place with (unweighted) similarity 0.8 or more always keeps one whole, at any start.  For a candidate, the document's words at the item's
 place are compared with the item by weighted Jaccard similarity over five-word shingles; a shingle
 weighs less the more items share it.  Items shorter than five words are compared as one shingle.
 
@@ -42,6 +44,19 @@ def size_row(n: int, step: int) -> int:
     return step * (power + power // 2 if power >= 2 and n >= power + power // 2 else power)
 
 
+def anchor_size(n: int, stride: int) -> int:
+    """Words of an anchor of an item of ``n`` words, 0 where the windows themselves need no edit to be near.
+
+    With similarity 0.8 at most (n - 4) / 9 shingles are lost.  An edit inside costs four or more, so
+    some unedited run has ``anchor_size`` + ``stride`` - 1 words.
+    """
+    if n < 13:
+        return 0
+    lost = (n - 4) // 9
+    run = n - lost if lost < 4 else (n - lost) // (lost // 4 + 1)
+    return max(0, min(12, run - stride + 1))
+
+
 def _shingle_set(words: np.ndarray) -> np.ndarray:
     k = min(SHINGLE, len(words))
     sums = common.prefix_sums(words)
@@ -63,6 +78,7 @@ class Items:
             self.words += [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         self.weights = weights
         self.shingles = [self.weighed(w) for w in self.words]
+        anchors: dict[int, list[tuple[int, int, int]]] = {}
         by_size: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for k, words in enumerate(self.words):
             if len(words):
@@ -71,8 +87,16 @@ class Items:
                 for at in range(len(words) - size + 1):
                     bits = common.bit_sums(words[at:at + size], np.array([0, size]))
                     by_size.setdefault((size, step), []).append((int(common.majority_bits(bits, np.array([size]))[0]), k, at))
+            if size := anchor_size(len(words), stride):
+                begins = np.arange(len(words) - size + 1)
+                hashes = common.span_hash(common.prefix_sums(words), begins, begins + size).tolist()
+                anchors.setdefault(size, []).extend((h, k, at) for at, h in enumerate(hashes))
+        self.anchors = {}
+        for size, found in anchors.items():
+            found.sort()
+            self.anchors[size] = np.array([h for h, _, _ in found], np.uint64), np.array([k for _, k, _ in found]), np.array([a for _, _, a in found])
         self.tables = {key: self.filed(found) for key, found in by_size.items()}
-        self.longest = max((size for size, _ in self.tables), default=1)
+        self.longest = max([1, *(size for size, _ in self.tables), *self.anchors])
 
     def weighed(self, words: np.ndarray) -> dict[int, float]:
         out: dict[int, float] = {}
@@ -112,6 +136,14 @@ class Items:
         pair = np.unique(np.concatenate(hits) * len(fps) + np.concatenate(entries))
         return pair // len(fps), pair % len(fps)
 
+    def anchored(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(run, entry) pairs of equal hashes."""
+        known = self.anchors[size][0]
+        begin = np.searchsorted(known, hashes, "left")
+        count = np.searchsorted(known, hashes, "right") - begin
+        hit = np.arange(len(hashes)).repeat(count)
+        return hit, np.arange(count.sum()) - (np.cumsum(count) - count).repeat(count) + begin.repeat(count)
+
     def similarity(self, item: int, words: np.ndarray) -> float:
         mine, theirs = self.weighed(words), self.shingles[item]
         both = sum(min(w, theirs[h]) for h, w in mine.items() if h in theirs)
@@ -139,6 +171,25 @@ def _scan(items_of, min_similarity: float, text_place: int, only_clean: bool):
         items: Items = items_of()
         for batch in batches:
             found: dict[tuple[int, int], tuple] = {}
+            tried: set[tuple[int, int, int]] = set()
+
+            def judge(words, text, first, row, windows, owners, offsets, found=found, tried=tried):
+                """Compare the places that put each window at its offset in its item."""
+                for w, k, offset in zip(windows.tolist(), owners.tolist(), offsets.tolist(), strict=True):
+                    doc = int(text[w])
+                    if (row + doc, k, w - offset) in tried:
+                        continue
+                    tried.add((row + doc, k, w - offset))
+                    begin = max(w - offset, int(first[doc]))
+                    stop = min(w - offset + len(items.words[k]), int(first[doc + 1]))
+                    key, spot = (row + doc, items.ids[k]), begin - int(first[doc])
+                    best = found.get(key)
+                    if best and best[0] == 1.0 and best[1] <= spot:
+                        continue
+                    score = items.similarity(k, words[begin:stop])
+                    if score >= min_similarity - 1e-9 and (not best or (-score, spot) < (-best[0], best[1])):
+                        found[key] = (score, spot, stop - begin)
+
             for row, _, data, offsets in common.text_pieces(batch.column(text_place), 1 << 20):
                 data = common.LOWER[data]
                 starts, ends, first = common.word_spans(data, offsets)
@@ -162,17 +213,12 @@ def _scan(items_of, min_similarity: float, text_place: int, only_clean: bool):
                         begins = np.flatnonzero((groups < high - low) & (spot_of[groups] % step == 0) & (left[low + groups] >= size))
                         windows = low + groups[begins]
                         hit, entry = items.candidates((size, step), _fingerprints(votes, begins, size // step, size))
-                        for w, e in zip(windows[hit].tolist(), entry.tolist(), strict=True):
-                            k, doc = int(owner[e]), int(text[w])
-                            begin = max(w - int(offset[e]), int(first[doc]))
-                            stop = min(w - int(offset[e]) + len(items.words[k]), int(first[doc + 1]))
-                            key, spot = (row + doc, items.ids[k]), begin - int(first[doc])
-                            best = found.get(key)
-                            if best and best[0] == 1.0 and best[1] <= spot:
-                                continue
-                            score = items.similarity(k, words[begin:stop])
-                            if score >= min_similarity - 1e-9 and (not best or (-score, spot) < (-best[0], best[1])):
-                                found[key] = (score, spot, stop - begin)
+                        judge(words, text, first, row, windows[hit], owner[entry], offset[entry])
+                    hashed = common.prefix_sums(part) if items.anchors else None
+                    for size, (_, owner, offset) in items.anchors.items():
+                        begins = np.flatnonzero((spot_of[:high - low] % items.stride == 0) & (left[low:high] >= size))
+                        hit, entry = items.anchored(size, common.span_hash(hashed, begins, begins + size))
+                        judge(words, text, first, row, low + begins[hit], owner[entry], offset[entry])
             if only_clean:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[k[0] for k in found]] = False

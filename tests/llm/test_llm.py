@@ -327,6 +327,24 @@ def test_decontamination(spark, nothing):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(nothing, bench).count() == 0
 
 
+def test_decontamination_of_block_edits(spark):
+    items, rows = [], []
+    for n in (50, 52, 64, 80, 100, 120, 150):
+        for i in range(12):
+            words = [f"n{n}i{i}w{x}" for x in range(n)]
+            items.append((1000 * n + i, " ".join(words)))
+            cut = (n - 4) // 9 - 4
+            for e, at in enumerate((n // 2 - i, n // 3 + i, n - cut)):
+                edited = words[:at] + [f"new{x}" for x in range(cut)] + words[at + cut:]
+                a, b = set(shingles(" ".join(words), 5)), set(shingles(" ".join(edited), 5))
+                assert cut and len(a & b) / len(a | b) >= 0.8
+                rows.append((10 * (1000 * n + i) + e, " ".join([f"pad{x}" for x in range(i)] + edited + ["end"] * 30)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {(d, d // 10) for d, _ in rows} and decontaminate.drop_contaminated(docs, bench).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     bad, g = ["vermin", "dolt", "oaf"], np.random.default_rng(2)
     rows, labels = [], []
