@@ -338,18 +338,38 @@ def release_memory() -> None:
         trim(0)
 
 
+#: Rows of a label that longer texts fill up to; characters taken of such a text; bytes a word of a text that fits.
+FEW, LONG_CHARS, WORD_BYTES = 200, 50_000, 16
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int, max_train_words: int, id_col: str,
                   text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """The bounded sample: labelled rows outside the held-out third, chosen by a hash of the id."""
+    """The bounded sample: labelled rows outside the held-out third, chosen by a hash of the id among texts with words.
+
+    A text fits with up to ``max_train_words`` words in ``WORD_BYTES`` bytes a word.  Where fewer than ``FEW`` texts of a
+    label fit, the shortest longer ones, cut to ``LONG_CHARS``, fill up to that number, so no label goes missing.
+    """
     label = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(label_col).alias("label")).where(F.crc32(F.col("id").cast("string")) % 3 != 1)
-    order = F.xxhash64(F.col("id"))
-    chosen = label.where("label = 1").orderBy(order, "id").limit(max_positive).unionByName(
-        label.where("label = 0").orderBy(order, "id").limit(max_negative))
+    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    size = F.octet_length("text")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(
-        F.size(F.split("text", " ")) <= max_train_words)
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").collect()
-    rows = [r for r in rows if r["text"]]
+        F.substring("text", 1, LONG_CHARS).rlike(r"[^\x20\x09-\x0D]")).withColumn(
+        "long", F.when(size <= WORD_BYTES * max_train_words, n_words > max_train_words).otherwise(True))
+    sized = common.materialised(texts.select("id", "long", size.alias("size")).join(label, "id").groupBy("id", "label").agg(
+        F.min(F.struct("long", "size")).alias("best")).select("id", "label", "best.*"), "toxic-sizes")
+    fitting = {r["label"]: r["count"] for r in sized.where("not long").groupBy("label").count().collect()}
+    order, chosen = F.xxhash64(F.col("id")), None
+    for value, most in ((1, max_positive), (0, max_negative)):
+        own = sized.where(F.col("label") == value)
+        picked = own.where("not long").orderBy(order, "id").limit(most)
+        missing = min(FEW, most) - fitting.get(value, 0)
+        if missing > 0:
+            picked = picked.unionByName(own.where("long").orderBy("size", order, "id").limit(missing))
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+    cut = F.when(F.col("long"), F.substring("text", 1, LONG_CHARS)).otherwise(F.col("text"))
+    rows = texts.join(F.broadcast(chosen.select("id", "label", "long")), ["id", "long"]).select("id", "label", cut.alias("text")).dropDuplicates(["id"])
+    rows = rows.orderBy("id").collect()
     return [r["text"] for r in rows], [int(r["label"]) for r in rows]
 
 

@@ -368,6 +368,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.drop_toxic(docs, labelled).columns == docs.columns
 
 
+def test_training_rows_keep_both_labels(spark):
+    rows = [(i, "\n".join(words_from(i, 1200 if i % 2 else 30).split()) + (" vermin" if i % 2 else "")) for i in range(60)] + [(900, " \t"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(900, 1), (901, 1)], "doc_id long, toxic int")
+    texts, y = toxicity.training_rows(docs, labelled, 1500, 2500, 1000, "doc_id", "text", "toxic")
+    assert sum(y) > 10 and len(y) - sum(y) > 10 and all(t.strip() for t in texts)
+    few, y = toxicity.training_rows(docs, labelled, 3, 4, 1000, "doc_id", "text", "toxic")
+    assert sum(y) == 3 and len(y) == 7
+    mixed = docs.where("doc_id % 2 = 0").unionByName(spark.createDataFrame([(1001 + 2 * i, "\n".join(["x"] * (30 if i % 4 else 2000))) for i in range(2000)], docs.schema))
+    texts, y = toxicity.training_rows(mixed, mixed.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic"), 250, 2500, 1000, "doc_id", "text", "toxic")
+    assert sum(y) == 250 and max(len(t.split()) for t in texts) <= 1000
+
+
 def test_gradient_of_the_network():
     model = toxicity.new_model(1)
     model = {k: v.astype(np.float64) for k, v in model.items()}
