@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from cohortlens.session import checkpointed, scratch_path
 
-__all__ = ["broadcast_within", "checkpointed", "materialised", "read_table"]
+__all__ = ["broadcast_within", "checkpointed", "materialised", "read_table", "scratch_path"]
 
 #: Bytes of text that a kernel works on at once (a longer single text is taken alone).
 PIECE_BYTES = 2 << 20
@@ -65,6 +65,12 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder whose successor is written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def broadcast_within(df: DataFrame, bytes_of=None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast if the measured size is within ``limit``; else the join shuffles.
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, mixing, neighbours, pii, secrets, simhash, substrings, suffixes, toxicity, urlrules
-from cohortlens.llm.common import read_table
+from cohortlens.llm import (decontaminate, mixing, neighbours, pii, prefix_trie, secrets, simhash, spelling, substrings, suffixes, token_files,
+                            toxicity, urlrules)
+from cohortlens.llm.common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +110,26 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_nn_descent")
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(read_table(spark, sf_dir, "conversations")))
+
+
+#: The public tokenizer of op12, by name in its package; it drops white space.  Its id for the end of a document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), END_ID, by_word=True)
+    return token_files.read_token_files(spark, path)
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(read_table(spark, sf_dir, "documents"), slip=199))
