@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -44,63 +45,112 @@ SEGMENT = 1 << 20
 PIECE = 1 << 20
 #: Bytes of text that are tokenized at once.
 TEXT_BYTES = 4 << 20
-#: Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 600_000, 64
+#: Words, and pieces, whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 1_000_000, 64
 MAGIC = b"TOK1"
 
 _encoders: dict[tuple[int, bool], "TextEncoder"] = {}
 
 
 class TextEncoder:
-    """A tokenizer with the ids of words seen before.
+    """A tokenizer with the ids of words and pieces seen before.
 
     With ``by_word`` the tokenizer must drop white space and never join what white space divides; then
     the ids of a text are those of its words (bytes between ASCII white space), and each is looked up.
+    New words go through the tokenizer's own normalizer and pre-tokenizer together, and each new piece
+    through its model.  A word of Latin letters, maybe with punctuation behind, needs no cutting if the
+    tokenizer is seen to keep letters together and to cut before that punctuation.
     """
 
+    LATIN = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]) if c.isalpha())
+    WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, definition: str, by_word: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_str(definition), by_word
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.seen: dict[bytes, bytes] = {}
-        mark = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Added tokens are found before anything else, and a zero divides the words below; such words are encoded alone.
+        self.alone = re.compile(b"|".join(map(re.escape, [*added, b"0"])))
+        self.mark = self._split("0")
+        cut = {c: self._split(c) for c in self.LATIN}
+        self.letter = {ord(c): p[0] for c, p in cut.items()}
+        self.keeps = all(len(p) == 1 for p in cut.values()) and self._split(self.LATIN) == ["".join(p[0] for p in cut.values())]
+        self.tails: dict[bytes, bytes | None] = {b"": b""}
+
+    def _split(self, text: str) -> list[str]:
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        text = text if normal is None else normal.normalize_str(text)
+        return [p for p, _ in cut.pre_tokenize_str(text)] if cut is not None else [text]
 
     def _each(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(f.ids, self.kind).tobytes() for f in found]
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words without a zero in them: one call, with zeros between the words, which always are one id."""
-        ids = np.array(self.tokenizer.encode(b" 0 ".join(words).decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
-        marks = np.flatnonzero(ids == self.mark)
-        if len(marks) != len(words) - 1:
-            return self._each(words)
-        raw, size = ids.tobytes(), self.kind.itemsize
-        cuts = [-size, *(marks * size).tolist(), len(raw)]
-        return [raw[a + size:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            size = self.kind.itemsize
+            found = b"".join([t.id.to_bytes(size, "little") for t in self.tokenizer.model.tokenize(piece)])
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = found
+        return found
+
+    def _tail(self, tail: bytes) -> bytes | None:
+        """Ids of punctuation behind a letter; None if the tokenizer does not cut there."""
+        if tail not in self.tails:
+            text = tail.decode()
+            apart = all(self._split(c + text) == self._split(c) + self._split(text) for c in ("a", "Z", "é", "ß"))
+            found = self._each([tail])[0] if apart else None
+            if len(tail) > LONGEST:
+                return found
+            self.tails[tail] = found
+        return self.tails[tail]
+
+    def _new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words without zeros.  Those that have to be cut are cut in one call, with zeros between them, which are one piece each."""
+        out, rest = {}, []
+        for word in words:
+            match = self.WORD.fullmatch(word) if self.keeps else None
+            tail = self._tail(match[2]) if match else None
+            if tail is None:
+                rest.append(word)
+                continue
+            out[word] = self._piece(match[1].decode().translate(self.letter)) + tail
+        for low in range(0, len(rest), 2000):
+            part = rest[low:low + 2000]
+            found: list[list[bytes]] = [[]]
+            for piece in self._split(b" 0 ".join(part).decode("utf-8", "replace")):
+                if piece == self.mark[0]:
+                    found.append([])
+                else:
+                    found[-1].append(self._piece(piece))
+            ids = [b"".join(f) for f in found] if len(found) == len(part) else self._each(part)
+            out.update(zip(part, ids, strict=True))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_word:
+        if not self.by_word or len(self.mark) != 1:
             return self._each(texts)
         split = [t.split() for t in texts]
-        seen = self.seen
-        new = {w for words in split for w in words}.difference(seen)
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = {w for words in split for w in words}
-        plain = [w for w in new if self.mark is not None and b"0" not in w]
-        other = [w for w in new if self.mark is None or b"0" in w]
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo:lo + 2000]
-            seen.update(zip(part, self._words(part), strict=True))
-        if other:
-            seen.update(zip(other, self._each(other), strict=True))
-        out = [b"".join(map(seen.__getitem__, words)) for words in split]
+        words = self.words
+        new = {w for own in split for w in own}.difference(words)
+        if len(words) + len(new) > REMEMBERED:
+            words.clear()
+            new = {w for own in split for w in own}
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        alone = [w for w in new if self.alone.search(w)]
+        words.update(self._new_words(list(new.difference(alone))))
+        if alone:
+            words.update(zip(alone, self._each(alone), strict=True))
+        out = [b"".join(map(words.__getitem__, own)) for own in split]
         for w in new:
             if len(w) > LONGEST:
-                del seen[w]
+                del words[w]
         return out
 
 
