@@ -13,15 +13,17 @@ from cohortlens.functions.numbers import to_number
 from cohortlens.operators.profile import column_profile, feature_projection, unpivot_cells
 
 MISSING_LEVEL = "(missing)"
-MAX_LEVELS = 20_000
+#: Levels of a category that get an indicator each; a category with more keeps ``FREQUENT`` and hashes the rest into ``BUCKETS``.
+MAX_LEVELS, FREQUENT, BUCKETS = 20_000, 64, 1024
 
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """Which columns feed a model."""
+    """Which columns feed a model; ``wide`` has the frequent levels of the categories whose other levels are hashed."""
 
     numeric: list[str] = field(default_factory=list)
     categorical: list[str] = field(default_factory=list)
+    wide: dict[str, list[str]] = field(default_factory=dict)
 
     @property
     def columns(self) -> list[str]:
@@ -34,16 +36,16 @@ class FeatureSpec:
 
 
 def choose_features(df: DataFrame, target: str, id_col: str | None = None, junk: list[str] | None = None,
-                    max_levels: int = MAX_LEVELS) -> FeatureSpec:
+                    max_levels: int | None = None) -> FeatureSpec:
     """Features by the rules of ``feature_projection``; reads one profile row per column.
 
-    The level list of a category goes into the fitted encoder, so a column with
-    more than ``max_levels`` levels is refused rather than cut.
+    Categories of any number of levels can be encoded (see ``bounded``); with ``max_levels`` a column
+    with more is refused instead.
     """
     rows = feature_projection(df, target, id_col, junk).join(
         column_profile(df).select("column", "n_unique", "position"), "column"
     ).orderBy("position").collect()
-    wide = [r["column"] for r in rows if r["role"] == "categorical" and r["n_unique"] > max_levels]
+    wide = [r["column"] for r in rows if max_levels is not None and r["role"] == "categorical" and r["n_unique"] > max_levels]
     if wide:
         raise ValueError(f"too many levels to one-hot encode (limit {max_levels}): {wide}")
     spec = FeatureSpec(
@@ -55,16 +57,69 @@ def choose_features(df: DataFrame, target: str, id_col: str | None = None, junk:
     return spec
 
 
+def _level(column: str) -> str:
+    return f"coalesce(CAST(`{column}` AS STRING), '{MISSING_LEVEL}')"
+
+
+def _level_text(column: str, spec: FeatureSpec) -> str:
+    """SQL of the level a row has: its own, or for a wide category its own if frequent, else a bucket."""
+    level = _level(column)
+    if column not in spec.wide:
+        return level
+    bucket = f"concat('#', pmod(xxhash64({level}), {BUCKETS}))"
+    known = ", ".join(f"'{v}'" for v in spec.wide[column])
+    return f"CASE WHEN {level} IN ({known}) THEN {level} ELSE {bucket} END" if known else bucket
+
+
+def bounded(df: DataFrame, spec: FeatureSpec, max_levels: int = MAX_LEVELS, frequent: int = FREQUENT) -> FeatureSpec:
+    """``spec`` with ``wide`` filled in, so that its encoder has a bounded number of levels, whatever the table holds.
+
+    Sketches decide: one scan estimates the levels of every category, one more finds the ``frequent`` levels of
+    those with over ``max_levels``.  Only these reach the driver.  Levels that cannot stand in a SQL text or look
+    like a bucket are hashed like rare ones.
+    """
+    open_ = [c for c in spec.categorical if c not in spec.wide]
+    if not open_:
+        return spec
+    counts = df.agg(*[F.approx_count_distinct(F.expr(_level(c))).alias(f"n{i}") for i, c in enumerate(open_)]).first()
+    wide = [c for c, n in zip(open_, counts, strict=True) if n > max_levels]
+    if not wide:
+        return spec
+    tops = df.agg(*[F.expr(f"approx_top_k({_level(c)}, {frequent}, {max(1000, 20 * frequent)})").alias(f"t{i}") for i, c in enumerate(wide)]).first()
+    plain = {c: [t["item"] for t in top if not any(x in t["item"] for x in ("'", "\\", "__THIS__")) and not t["item"].startswith("#")]
+             for c, top in zip(wide, tops, strict=True)}
+    return FeatureSpec(spec.numeric, spec.categorical, spec.wide | plain)
+
+
+def fit_encoder(train: DataFrame, spec: FeatureSpec, max_levels: int = MAX_LEVELS) -> tuple[PipelineModel, FeatureSpec]:
+    """The fitted encoder, and the spec with the wide categories that it found."""
+    spec = bounded(train, spec, max_levels)
+    return encoder(spec).fit(train), spec
+
+
+def level_stages(spec: FeatureSpec) -> list:
+    """Raw columns -> ``<c>__num``, and one indicator vector ``<c>__hot`` for each category."""
+    texts = [f"{_level_text(c, spec)} AS `{c}__text`" for c in spec.categorical]
+    numbers = [f"CAST(`{c}` AS DOUBLE) AS `{c}__num`" for c in spec.numeric]
+    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join([*numbers, *texts])} FROM __THIS__")]
+    if spec.categorical:
+        stages.append(StringIndexer(inputCols=[f"{c}__text" for c in spec.categorical],
+                                    outputCols=[f"{c}__idx" for c in spec.categorical],
+                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in spec.categorical],
+                                    outputCols=[f"{c}__hot" for c in spec.categorical], dropLast=True))
+    return stages
+
+
 def encoder(spec: FeatureSpec) -> Pipeline:
     """Raw columns -> ``features`` (plain numbers) and ``scaled`` (centred, unit deviation).
 
     Every known level gets an indicator, a level unseen in training gets zeros,
-    and NULL is a level of its own.  A NULL number fails the job; fill it first
-    (``cleaning.default_fill``).
+    and NULL is a level of its own; wide categories have buckets (see ``bounded``).  A NULL number
+    fails the job; fill it first (``cleaning.default_fill``).
     """
-    texts = [f"coalesce(CAST(`{c}` AS STRING), '{MISSING_LEVEL}') AS `{c}__text`" for c in spec.categorical]
-    numbers = [f"CAST(`{c}` AS DOUBLE) AS `{c}__num`" for c in spec.numeric]
-    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join([*numbers, *texts])} FROM __THIS__")]
+    stages = level_stages(spec)
+    hot = [f"{c}__hot" for c in spec.categorical]
     blocks, scaled_blocks = [], []
     if spec.numeric:
         stages.append(VectorAssembler(inputCols=[f"{c}__num" for c in spec.numeric], outputCol="numbers",
@@ -72,16 +127,8 @@ def encoder(spec: FeatureSpec) -> Pipeline:
         stages.append(StandardScaler(inputCol="numbers", outputCol="numbers_scaled", withMean=True, withStd=True))
         blocks.append("numbers")
         scaled_blocks.append("numbers_scaled")
-    if spec.categorical:
-        stages.append(StringIndexer(inputCols=[f"{c}__text" for c in spec.categorical],
-                                    outputCols=[f"{c}__idx" for c in spec.categorical],
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-        hot = [f"{c}__hot" for c in spec.categorical]
-        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in spec.categorical], outputCols=hot, dropLast=True))
-        blocks += hot
-        scaled_blocks += hot
-    stages.append(VectorAssembler(inputCols=blocks, outputCol="features"))
-    stages.append(VectorAssembler(inputCols=scaled_blocks, outputCol="scaled"))
+    stages.append(VectorAssembler(inputCols=blocks + hot, outputCol="features"))
+    stages.append(VectorAssembler(inputCols=scaled_blocks + hot, outputCol="scaled"))
     return Pipeline(stages=stages)
 
 

@@ -7,6 +7,7 @@ ones of a row are found by sorting that array, without any shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,11 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import scratch_path
 
+#: Features of a leaf up to which it has a table of all patterns, and cells of the tables built at once.
+TABLE_BITS, TABLE_CELLS = 10, 1 << 18
+#: Rows explained at once, and bytes of trees in one broadcast.
+CHUNK, SLICE_BYTES = 8192, 16 << 20
+
 # Words and sentences of the explanations.
 RAISES, LOWERS = "Tăng rủi ro", "Giảm rủi ro"
 BASE_TEXT = "Giá trị kỳ vọng nền của mô hình (base value) ≈ %.4f."
@@ -79,49 +85,123 @@ def tree_nodes(model, spark) -> tuple[pd.DataFrame, list[float], bool]:
     return nodes, list(model.treeWeights), isinstance(model, GBTClassificationModel)
 
 
-def leaf_paths(nodes: pd.DataFrame, weights: list[float], boosts: bool) -> list[tuple]:
-    """(value, features, low, high, share) for each leaf of each tree.
+@dataclass
+class FlatTree:
+    """A tree as arrays over its nodes: node 0 is the root, and a leaf has no ``low`` child (-1).
+
+    Rows with ``x[feature] <= cut`` go to ``low``, the others to ``high``.  ``share`` is the part of its
+    parent's training weight that a node has, ``value`` what a leaf adds to the score.
+    """
+
+    feature: np.ndarray
+    cut: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in vars(self).values())
 
-    A leaf asks each feature on its path to lie in ``(low, high]``; ``share`` is the
-    part of the training weight that the feature's splits let through.
+
+def flat_trees(nodes: pd.DataFrame, weights: list[float], boosts: bool) -> list[FlatTree]:
+    """The trees of a node table (``tree_nodes``).
+
+    Boosted trees add up to half the log-odds; forests average class shares.  A split of an indicator lists
+    the values that go left; it becomes a cut at a half.
     """
-    leaves = []
+    trees = []
     for tree, table in nodes.groupby("treeID"):
-        rows = {int(r.id): r for r in table.itertuples()}
-        weight = weights[int(tree)] if boosts else 1.0 / len(weights)
-
-        def cover(row) -> float:
-            stats = row.impurityStats
-            return float(stats[0]) if boosts else float(np.sum(stats))
-
-        def value(row) -> float:
-            # Boosted trees add up to half the log-odds; forests average class shares.
-            if boosts:
-                return 2.0 * weight * float(row.prediction)
-            return weight * float(row.impurityStats[1]) / max(float(np.sum(row.impurityStats)), 1e-300)
-
-        stack = [(0, {})]
-        while stack:
-            node, path = stack.pop()
-            row = rows[node]
-            if row.leftChild < 0:
-                items = sorted(path.items())
-                leaves.append((
-                    value(row), np.array([f for f, _ in items], dtype=int), np.array([b[0] for _, b in items]),
-                    np.array([b[1] for _, b in items]), np.array([b[2] for _, b in items]),
-                ))
-                continue
-            feature, cut = int(row.featureIndex), list(row.leftCategoriesOrThreshold)
-            if int(row.numCategories) < 0:
-                sides = ((row.leftChild, (-np.inf, cut[0])), (row.rightChild, (cut[0], np.inf)))
-            else:  # an indicator: the left side holds 0 or 1
-                low, high = (row.leftChild, row.rightChild) if 0.0 in cut else (row.rightChild, row.leftChild)
-                sides = ((low, (-np.inf, 0.5)), (high, (0.5, np.inf)))
-            for child, (low, high) in sides:
-                old = path.get(feature, (-np.inf, np.inf, 1.0))
-                share = cover(rows[int(child)]) / max(cover(row), 1e-300)
-                stack.append((int(child), {**path, feature: (max(old[0], low), min(old[1], high), old[2] * share)}))
-    return leaves
+        table = table.sort_values("id")
+        stats = np.stack([np.asarray(v, dtype=float) for v in table.impurityStats])
+        cover = stats[:, 0] if boosts else stats.sum(axis=1)
+        left, right = table.leftChild.to_numpy(int), table.rightChild.to_numpy(int)
+        listed = [list(v) for v in table.leftCategoriesOrThreshold]
+        inner = left >= 0
+        flag = inner & (table.numCategories.to_numpy() >= 0)
+        swapped = np.array([f and 0.0 not in v for f, v in zip(flag, listed, strict=True)])
+        cut = np.array([0.5 if f else (v[0] if v else 0.0) for f, v in zip(flag, listed, strict=True)])
+        share = np.ones(len(table))
+        for child in (left, right):
+            share[child[inner]] = cover[child[inner]] / np.maximum(cover[inner], 1e-300)
+        value = 2.0 * weights[int(tree)] * table.prediction.to_numpy(float) if boosts else (
+            stats[:, 1] / np.maximum(cover, 1e-300) / len(weights))
+        trees.append(FlatTree(table.featureIndex.to_numpy(int), cut, np.where(swapped, right, left), np.where(swapped, left, right), share, value))
+    return trees
+
+
+def _leaves(tree: FlatTree) -> list[tuple]:
+    """(node, features, low, high, share) of each leaf, features in the order of their first split on the path."""
+    found, stack = [], [(0, {})]
+    while stack:
+        node, path = stack.pop()
+        if tree.low[node] < 0:
+            found.append((node, list(path), *(np.array([b[i] for b in path.values()], dtype=float) for i in range(3))))
+            continue
+        f, cut = int(tree.feature[node]), float(tree.cut[node])
+        old = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, low, high in ((int(tree.low[node]), -np.inf, cut), (int(tree.high[node]), cut, np.inf)):
+            stack.append((child, {**path, f: (max(old[0], low), min(old[1], high), old[2] * tree.share[child])}))
+    return found
+
+
+def pattern_tables(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Contributions (leaf, feature, pattern) of leaves with d features each, for every pattern of met conditions.
+
+    Bit i of a pattern tells whether feature i of the leaf meets the path's conditions.  Products over the
+    features are taken at Gauss points, where the Shapley integral of degree d - 1 is exact.
+    """
+    n, d = shares.shape
+    points, gauss = np.polynomial.legendre.leggauss(max(1, (d + 1) // 2))
+    points, gauss = (points + 1) / 2, gauss / 2
+    off = shares[:, :, None] * (1 - points)
+    on = off + points
+    product = np.broadcast_to(values[:, None, None], (n, 1, len(points)))
+    for i in range(d):
+        product = np.concatenate([product * off[:, None, i], product * on[:, None, i]], axis=1)
+    out = np.empty((n, d, 1 << d))
+    for i in range(d):
+        parts = product.reshape(n, -1, 2, 1 << i, len(points))
+        own = out[:, i].reshape(n, -1, 2, 1 << i)
+        for met, factor in ((0, off[:, i]), (1, on[:, i])):
+            own[:, :, met] = ((parts[:, :, met] / factor[:, None, None]) @ gauss) * (met - shares[:, i])[:, None, None]
+    return out
+
+
+def tree_contributions(x: np.ndarray, tree: FlatTree, out: np.ndarray) -> None:
+    """Add the path-dependent contributions of one tree to ``out``; ``x`` and ``out`` are (feature, row).
+
+    Going down the tree each row carries the pattern of conditions it meets, one bit a feature; at a leaf the
+    pattern looks up the leaf's contributions.  Tables are built for all leaves of equal width at once.
+    """
+    leaves = _leaves(tree)
+    tables: dict[int, np.ndarray] = {}
+    for d in {len(leaf[1]) for leaf in leaves if 0 < len(leaf[1]) <= TABLE_BITS}:
+        same = [leaf for leaf in leaves if len(leaf[1]) == d]
+        step = max(1, TABLE_CELLS >> d)
+        for low in range(0, len(same), step):
+            part = same[low:low + step]
+            found = pattern_tables(tree.value[[leaf[0] for leaf in part]], np.stack([leaf[4] for leaf in part]))
+            tables.update((leaf[0], t) for leaf, t in zip(part, found, strict=True))
+    for node, features, low, high, share in leaves:
+        if len(features) > TABLE_BITS:
+            out += leaf_contributions(x.T, [(tree.value[node], np.array(features), low, high, share)]).T
+    stack = [(0, np.zeros(x.shape[1], np.int64), [])]
+    while stack:
+        node, met, features = stack.pop()
+        if tree.low[node] < 0:
+            if node in tables:
+                for f, contribution in zip(features, tables[node], strict=True):
+                    out[f] += contribution[met]
+            continue
+        f = int(tree.feature[node])
+        below = x[f] <= tree.cut[node]
+        known = f in features
+        bit = 1 << (features.index(f) if known else len(features))
+        for child, side in ((int(tree.low[node]), below), (int(tree.high[node]), ~below)):
+            now = np.where(side, met, met & ~bit) if known else met + side * bit
+            stack.append((child, now, features if known else [*features, f]))
 
 
 def leaf_contributions(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
@@ -147,27 +227,49 @@ def leaf_contributions(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
     return out
 
 
-def base_of(leaves: list[tuple]) -> float:
-    return float(sum(value * np.prod(share) for value, _, _, _, share in leaves))
+def base_of(trees: list[FlatTree]) -> float:
+    return float(sum(tree.value[node] * np.prod(share) for tree in trees for node, _, _, _, share in _leaves(tree)))
 
 
-def _shap_trees(encoded: DataFrame, model, names: list[str], id_col: str) -> DataFrame:
-    leaves = leaf_paths(*tree_nodes(model, encoded.sparkSession))
-    base, boosts = base_of(leaves), isinstance(model, GBTClassificationModel)
-    # As large as the fitted model, whatever the number of rows.
-    shared = encoded.sparkSession.sparkContext.broadcast(leaves)
+def tree_slices(trees: list[FlatTree], limit: int) -> list[list[FlatTree]]:
+    """Runs of trees of at most ``limit`` bytes each (a larger tree alone)."""
+    out: list[list[FlatTree]] = [[]]
+    held = 0
+    for tree in trees:
+        if out[-1] and held + tree.nbytes > limit:
+            out.append([])
+            held = 0
+        out[-1].append(tree)
+        held += tree.nbytes
+    return out
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                parts = leaf_contributions(np.stack(batch["x"].to_numpy()), shared.value)
-                yield pd.DataFrame({id_col: batch[id_col], "parts": list(parts)})
 
+def _shap_trees(encoded: DataFrame, model, names: list[str], id_col: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """Every slice of the trees is one broadcast within ``limit`` and one pass over the rows, which add up what they got."""
+    trees = flat_trees(*tree_nodes(model, encoded.sparkSession))
+    base, boosts = base_of(trees), isinstance(model, GBTClassificationModel)
     kind = encoded.schema[id_col].dataType.simpleString()
-    rows = encoded.select(id_col, vector_to_array("features").alias("x"))
-    parts = rows.mapInPandas(explain, f"`{id_col}` {kind}, parts array<double>")
-    return parts.select(id_col, F.lit(base).alias("base_value"), F.lit("log-odds" if boosts else "probability").alias("unit"),
-                        _label(names, F.col("parts")).alias("contributions"))
+    rows = encoded.select(id_col, vector_to_array("features").alias("x"), F.array().cast("array<double>").alias("parts"))
+
+    def explain(shared):
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for low in range(0, len(batch), CHUNK):
+                    rows = batch.iloc[low:low + CHUNK]
+                    x = np.ascontiguousarray(np.stack(rows["x"].to_numpy()).T)
+                    out = np.zeros_like(x)
+                    for tree in shared.value:
+                        tree_contributions(x, tree, out)
+                    before = [p for p in rows["parts"]]
+                    parts = out.T if not len(before[0]) else out.T + np.stack(before)
+                    yield pd.DataFrame({id_col: rows[id_col].to_numpy(), "x": rows["x"].to_numpy(), "parts": list(parts)})
+        return add
+
+    for part in tree_slices(trees, limit):
+        shared = encoded.sparkSession.sparkContext.broadcast(part)
+        rows = rows.mapInPandas(explain(shared), f"`{id_col}` {kind}, x array<double>, parts array<double>")
+    return rows.select(id_col, F.lit(base).alias("base_value"), F.lit("log-odds" if boosts else "probability").alias("unit"),
+                       _label(names, F.col("parts")).alias("contributions"))
 
 
 def explain_rows(model: PipelineModel, df: DataFrame, names: list[str], id_col: str) -> DataFrame:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.numbers import to_number
-from cohortlens.operators.features import FeatureSpec, encoder, feature_names
+from cohortlens.operators.features import MAX_LEVELS, FeatureSpec, bounded, feature_names, fit_encoder, level_stages
 from cohortlens.operators.metrics import class_metrics, fold_summary
 from cohortlens.operators.splits import random_split, stratified_folds, stratified_split
 from cohortlens.operators.target import event_value
@@ -107,17 +109,19 @@ def model_input(df: DataFrame, spec: FeatureSpec, target: str, id_col: str, posi
 
 
 def fit_zoo(train: DataFrame, spec: FeatureSpec, sizes: ZooSizes | None = None, only: list[str] | None = None,
-            parallelism: int = 4, partitions: int | None = None) -> tuple[dict[str, PipelineModel], list[str], Balance]:
+            parallelism: int = 4, partitions: int | None = None, max_levels: int = MAX_LEVELS
+            ) -> tuple[dict[str, PipelineModel], FeatureSpec, list[str], Balance]:
     """Fit the encoder once, keep the encoded table, and fit all models on it.
 
-    Independent fits share the cluster, as ``parallelism`` of them run at a time.
+    Independent fits share the cluster, as ``parallelism`` of them run at a time.  The spec that comes
+    back names the categories that were found to be wide.
     """
     sizes = sizes or ZooSizes()
     enable_checkpoints(train.sparkSession)
     balance = class_balance(train)
     if min(balance.events, balance.others) == 0:
         raise ValueError("training needs rows of both classes")
-    prepared = encoder(spec).fit(train)
+    prepared, spec = fit_encoder(train, spec, max_levels)
     encoded = prepared.transform(train.repartition(partitions) if partitions else train).select(
         "y", "features", "scaled", balance.balanced().alias("w_balanced"), balance.positive().alias("w_positive")
     ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -130,7 +134,7 @@ def fit_zoo(train: DataFrame, spec: FeatureSpec, sizes: ZooSizes | None = None,
             fitted = dict(pool.map(fit, chosen.items()))
     finally:
         encoded.unpersist()
-    return {n: fitted[n] for n in chosen}, feature_names(prepared, spec), balance
+    return {n: fitted[n] for n in chosen}, spec, feature_names(prepared, spec), balance
 
 
 def probability_column(model: PipelineModel) -> str:
@@ -150,27 +154,80 @@ def predictions(models: dict[str, PipelineModel], df: DataFrame, keep: list[str]
     return encoded.select(*keep, F.inline(scores))
 
 
-def cross_validate(df: DataFrame, spec: FeatureSpec, id_col: str, k: int = 5, sizes: ZooSizes | None = None,
-                   only: list[str] | None = None, parallelism: int = 4, seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """(model, cv_accuracy, cv_accuracy_std, ...) over ``k`` stratified folds.
+def others_scaling(facts: list, fold: int, columns: int) -> list[tuple[float, float]]:
+    """(mean, sample deviation) of each number over all folds but one, from (fold, n, mean and deviation of each number) rows."""
+    rows = [r for r in facts if r["fold"] != fold]
+    total = sum(r["n"] for r in rows)
+    out = []
+    for i in range(columns):
+        mean = sum(r["n"] * r[f"m{i}"] for r in rows) / total
+        spread = sum(r["n"] * (r[f"v{i}"] + (r[f"m{i}"] - mean) ** 2) for r in rows)
+        out.append((mean, (spread / max(total - 1, 1)) ** 0.5))
+    return out
 
-    Each fold's encoder and models see only the other folds.  The result has one
-    row per model, so it is brought together here once.
+
+def fold_metrics(df: DataFrame, spec: FeatureSpec, id_col: str, k: int = 5, sizes: ZooSizes | None = None,
+                 only: list[str] | None = None, parallelism: int = 4, seed: int = 42, partitions: int | None = None,
+                 max_levels: int = MAX_LEVELS) -> DataFrame:
+    """(fold, model, tn, fp, fn, tp, accuracy, ...): each of ``k`` stratified folds, scored by models of the other folds.
+
+    Rows are encoded once, with the levels of all folds, and kept.  What a fit sees follows from the other
+    folds alone: a level that they lack is a column of zeros to it, as for an unseen level, and its scaling
+    comes from their counts, means and deviations, which one aggregate gives for every fold.  All fits
+    run on that table, ``parallelism`` at a time, and one job measures all scores.
     """
+    sizes = sizes or ZooSizes()
+    enable_checkpoints(df.sparkSession)
+    spec = bounded(df, spec, max_levels)
     folded = stratified_folds(df, "y", id_col, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    numbers, hot = [f"{c}__num" for c in spec.numeric], [f"{c}__hot" for c in spec.categorical]
+    levels = Pipeline(stages=level_stages(spec)).fit(folded)
+    encoded = levels.transform(folded.repartition(partitions) if partitions else folded).select(
+        "y", "fold", *[f"`{c}`" for c in numbers + hot]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for fold in range(k):
-            models, _, _ = fit_zoo(folded.where(F.col("fold") != fold), spec, sizes, only, parallelism, partitions)
-            scored = predictions(models, folded.where(F.col("fold") == fold), ["y"])
-            rows += [(fold, *r) for r in class_metrics(scored, ["model"]).select(
-                "model", "accuracy", "precision", "recall", "f1", "roc_auc").collect()]
+        facts = encoded.groupBy("fold").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("events"),
+            *[f(f"`{c}`").alias(f"{a}{i}") for i, c in enumerate(numbers) for f, a in ((F.avg, "m"), (F.var_pop, "v"))]).collect()
+        features = VectorAssembler(inputCols=numbers + hot, outputCol="features")
+        scaled = VectorAssembler(inputCols=[f"s{i}" for i in range(len(numbers))] + hot, outputCol="scaled")
+
+        def prepared(fold: int, model: str, held_out: bool) -> DataFrame:
+            rows = encoded.where(F.col("fold") == fold if held_out else F.col("fold") != fold)
+            if model != LOGISTIC:
+                return features.transform(rows)
+            ways = others_scaling(facts, fold, len(numbers))
+            return scaled.transform(rows.withColumns({
+                f"s{i}": (F.col(f"`{c}`") - m) / s if s else F.lit(0.0) for i, (c, (m, s)) in enumerate(zip(numbers, ways, strict=True))}))
+
+        def fit(item: tuple[int, str]) -> DataFrame:
+            fold, name = item
+            others = [r for r in facts if r["fold"] != fold]
+            events = sum(r["events"] for r in others)
+            balance = Balance(events, sum(r["n"] for r in others) - events)
+            if min(balance.events, balance.others) == 0:
+                raise ValueError("training needs rows of both classes")
+            rows = prepared(fold, name, False).select("y", "scaled" if name == LOGISTIC else "features", balance.balanced().alias("w_balanced"),
+                                                      balance.positive().alias("w_positive"))
+            model = classifiers(balance, sizes)[name].fit(rows)
+            score = vector_to_array(model.getProbabilityCol())[1]
+            return model.transform(prepared(fold, name, True)).select("y", "fold", F.lit(name).alias("model"), score.alias("score"))
+
+        names = [n for n in (LOGISTIC, FOREST, BOOSTED, REGULARISED) if only is None or n in only]
+        # The longest fits first, so that none is left alone at the end.
+        order = [(fold, n) for n in reversed(names) for fold in range(k)]
+        with ThreadPool(max(1, min(parallelism, len(order)))) as pool:
+            scores = pool.map(inheritable_thread_target(df.sparkSession)(fit), order, chunksize=1)
+        measured = class_metrics(reduce(DataFrame.unionByName, scores), ["model", "fold"])
+        rows = measured.collect()  # one for each model and fold
     finally:
+        encoded.unpersist()
         folded.unpersist()
-    table = df.sparkSession.createDataFrame(
-        rows, "fold int, model string, accuracy double, precision double, recall double, f1 double, roc_auc double"
-    )
-    return fold_summary(table)
+    return df.sparkSession.createDataFrame(rows, measured.schema)
+
+
+def cross_validate(df: DataFrame, spec: FeatureSpec, id_col: str, k: int = 5, **more) -> DataFrame:
+    """(model, cv_accuracy, cv_accuracy_std, ...) over ``k`` stratified folds; ``more`` as in ``fold_metrics``."""
+    return fold_summary(fold_metrics(df, spec, id_col, k, **more))
 
 
 def train_classifiers(
@@ -186,6 +243,7 @@ def train_classifiers(
     test_share: float = 0.2,
     parallelism: int = 4,
     partitions: int | None = None,
+    max_levels: int = MAX_LEVELS,
 ) -> TrainedZoo:
     """Split, fit the zoo on the training part, and cross-validate on all rows.
 
@@ -196,10 +254,11 @@ def train_classifiers(
     try:
         split = stratified_split(table, "y", id_col, test_share)
         train, test = split.where(~F.col("is_test")), split.where("is_test")
-        models, names, balance = fit_zoo(train, spec, sizes, only, parallelism, partitions)
+        models, spec, names, balance = fit_zoo(train, spec, sizes, only, parallelism, partitions, max_levels)
         result = TrainedZoo(models, spec, names, balance, test=test, train=train)
         if cv_folds:
-            result.cv = cross_validate(table, spec, id_col, cv_folds, sizes, only, parallelism, partitions=partitions)
+            result.cv = cross_validate(table, spec, id_col, cv_folds, sizes=sizes, only=only, parallelism=parallelism, partitions=partitions,
+                                       max_levels=max_levels)
     finally:
         table.unpersist()
     return result
@@ -228,7 +287,7 @@ def train_regression(df: DataFrame, measure: str, id_col: str, spec: FeatureSpec
     try:
         split = random_split(table, id_col, test_share, seed)
         train, test = split.where(~F.col("is_test")), split.where("is_test")
-        prepared = encoder(spec).fit(train)
+        prepared, _ = fit_encoder(train, spec)
         encoded = prepared.transform(train).select("y", "scaled")
         fitted = LinearRegression(featuresCol="scaled", labelCol="y", solver="auto", regParam=0.0).fit(encoded)
     finally:

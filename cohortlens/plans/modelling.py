@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import asdict
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql.window import Window
 
 from cohortlens.operators import features, insights, metrics, outcome, scoring, shap, splits, target, zoo
-from cohortlens.plans.registry import query, rounded
+from cohortlens.plans.registry import ORACLES, query, rounded
 from cohortlens.plans.views import MEASURES, ROLES, risk, scored, sql, table
-from cohortlens.session import scratch_path
+from cohortlens.session import scratch_path, shared_root
 from cohortlens.sources import models as stored
 from cohortlens.sources import reports
 
 SPEC = features.FeatureSpec(MEASURES, ["department", "job_role", "overtime"])
-# Small models keep the checks short; the defaults of ``ZooSizes`` are the full ones.
-SIZES = zoo.ZooSizes(logistic_iterations=20, forest_trees=10, forest_depth=6, boosted_rounds=6, boosted_depth=3,
-                     regularised_rounds=6, regularised_depth=4)
+# Every model at its full size.
+SIZES = zoo.ZooSizes()
+MODELS = [zoo.LOGISTIC, zoo.FOREST, zoo.BOOSTED, zoo.REGULARISED]
+# Fits that run side by side, and rows of a part that they work on.
+PARALLEL, PART_ROWS = 8, 25_000
+
+
+def parts(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // PART_ROWS))
 
 
 def union_all(parts: list[str]) -> str:
@@ -32,16 +42,31 @@ def halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return split.where(~F.col("is_test")), split.where("is_test")
 
 
-FITTED: dict[tuple[str, str], zoo.TrainedZoo] = {}
+def store_of(spark, sf_dir: str) -> str:
+    """Where the models of one folder of tables are kept."""
+    return f"{shared_root(spark)}/models/{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+
+
+def train_and_publish(spark, sf_dir: str, rows: DataFrame, inputs: str) -> int:
+    """Train all four models at full size and store them with the split rows."""
+    result = zoo.train_classifiers(rows, "attrition", "emp_id", SPEC, sizes=SIZES, cv_folds=None, partitions=parts(rows), parallelism=PARALLEL)
+    split = result.train.unionByName(result.test)
+    return stored.publish(spark, store_of(spark, sf_dir), result.models, result.spec, result.names, inputs, asdict(SIZES), {"rows": split})
 
 
-def trained(spark, sf_dir, *only: str):
-    """Models, encoded names, and the test part; all four are fitted once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in FITTED:
-        FITTED[key] = zoo.train_classifiers(risk(spark, sf_dir), "attrition", "emp_id", SPEC, sizes=SIZES, cv_folds=None, partitions=8)
-    result = FITTED[key]
-    return {n: m for n, m in result.models.items() if not only or n in only}, result.names, result.test
+def trained(spark, sf_dir: str, *only: str) -> stored.StoredModels:
+    """The stored models of these very rows and sizes; a missing or stale version is trained anew."""
+    rows = risk(spark, sf_dir)
+    inputs, root = stored.input_fingerprint(rows), store_of(spark, sf_dir)
+    try:
+        return stored.load_version(spark, root, inputs, asdict(SIZES), list(only) or None)
+    except (FileNotFoundError, stored.StaleModel):
+        train_and_publish(spark, sf_dir, rows, inputs)
+    return stored.load_version(spark, root, inputs, asdict(SIZES), list(only) or None)
+
+
+def test_rows(found: stored.StoredModels) -> DataFrame:
+    return found.tables["rows"].where("is_test")
 
 
 # --- splits ----------------------------------------------------------------
@@ -64,6 +89,10 @@ def _(spark, sf_dir):
     return splits.stratified_folds(labelled(spark, sf_dir), "y", "emp_id").select("emp_id", "y", "fold")
 
 
+PARTS = "t AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h) <= round(0.2 * count(*) OVER (PARTITION BY y)) AS is_test FROM h)"
+WIDTH = f"{len(MEASURES)} + " + " + ".join(f"count(DISTINCT {c}) FILTER (WHERE NOT is_test)" for c in SPEC.categorical)
+
+
 # --- encoding --------------------------------------------------------------
 
 @query("zscore", sql("risk", """SELECT emp_id, round((income - (SELECT avg(income) FROM risk)) / (SELECT stddev_pop(income) FROM risk), 4) AS income,
@@ -78,12 +107,23 @@ def _(spark, sf_dir):
     return features.onehot_counts(risk(spark, sf_dir), SPEC.categorical)
 
 
-@query("preprocess")
+def _scaled_sql() -> str:
+    """Every row scaled by the training rows, and the indicators that it has."""
+    facts = ", ".join(f"(SELECT avg({c}) FROM t WHERE NOT is_test) AS {c}_m, (SELECT stddev_samp({c}) FROM t WHERE NOT is_test) AS {c}_s" for c in MEASURES)
+    known = {c: f"CASE WHEN {c} IN (SELECT {c} FROM t WHERE NOT is_test) THEN concat('{c}_', {c}) END" for c in SPEC.categorical}
+    cells = ", ".join(f"round(({c} - {c}_m) / {c}_s, 4) AS {c}" for c in MEASURES)
+    return f"SELECT emp_id, {cells}, concat_ws(',', {', '.join(known.values())}) AS hot FROM t, (SELECT {facts}) f"
+
+
+@query("preprocess", sql("risk", _scaled_sql(), HASHED, PARTS))
 def _(spark, sf_dir):
-    train, test = halves(spark, sf_dir)
-    encoded = features.encoder(SPEC).fit(train).transform(test)
     from pyspark.ml.functions import vector_to_array
-    return encoded.select("emp_id", vector_to_array("scaled").alias("scaled"))
+    train, test = halves(spark, sf_dir)
+    encode, spec = features.fit_encoder(train, SPEC)
+    names = F.array(*[F.lit(n) for n in features.feature_names(encode, spec)])
+    rows = encode.transform(train.unionByName(test)).select("emp_id", vector_to_array("scaled").alias("v"))
+    hot = F.filter(F.transform("v", lambda v, i: F.when((i >= len(MEASURES)) & (v == 1), names[i])), lambda n: n.isNotNull())
+    return rounded(rows.select("emp_id", *[F.col("v")[i].alias(c) for i, c in enumerate(MEASURES)], F.concat_ws(",", hot).alias("hot")))
 
 
 ENCODED_SUMS = union_all([f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean FROM risk" for c in MEASURES] + [
@@ -95,7 +135,7 @@ def _(spark, sf_dir):
     from pyspark.ml.stat import Summarizer
     from pyspark.ml.functions import vector_to_array
     rows = labelled(spark, sf_dir)
-    model = features.encoder(SPEC).fit(rows)
+    model, _ = features.fit_encoder(rows, SPEC)
     names = features.feature_names(model, SPEC)
     means = model.transform(rows).agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("m"))
     pairs = F.transform("m", lambda v, i: F.struct(F.array(*[F.lit(n) for n in names])[i].alias("feature"), v.alias("mean")))
@@ -220,50 +260,112 @@ def _(spark, sf_dir):
 
 
 # --- fitted models ---------------------------------------------------------
+# No SQL fits these models.  Their queries return what must hold for any right fit, with counts that SQL can tell:
+# the rows and events of the test part, sizes, and conditions of an optimum.
+
+def checked(pred: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., tested, events, consistent, learns) of predictions with y and score."""
+    m = metrics.class_metrics(pred, by)
+    n, p = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"), F.col("tp") + F.col("fn")
+    consistent = (F.abs(F.col("accuracy") * n - F.col("tp") - F.col("tn")) < 1e-6) & (F.abs(F.col("recall") * p - F.col("tp")) < 1e-6) & (
+        F.abs(F.col("precision") * (F.col("tp") + F.col("fp")) - F.col("tp")) < 1e-6) & F.col("roc_auc").between(0, 1)
+    return m.select(*by, n.alias("tested"), p.alias("events"), consistent.alias("consistent"), (F.col("roc_auc") > 0.6).alias("learns"))
+
+
+def checked_sql(models: list[str], rows: str = "t WHERE is_test", size: str = "") -> str:
+    return union_all([f"SELECT '{m}' AS model, count(*) AS tested, count_if(y = 1) AS events, true AS consistent, true AS learns{size} FROM {rows}"
+                      for m in models])
 
-def model_metrics(name: str, model: str) -> None:
-    @query(name)
+
+@query("train_classifiers", sql("risk", checked_sql(MODELS), HASHED, PARTS))
+def _(spark, sf_dir):
+    """Trains all four at full size, publishes them as a new version, and measures that version."""
+    rows = risk(spark, sf_dir)
+    number = train_and_publish(spark, sf_dir, rows, stored.input_fingerprint(rows))
+    found = stored.load_version(spark, store_of(spark, sf_dir), version=number)
+    return checked(zoo.predictions(found.models, test_rows(found), ["y"]), ["model"])
+
+
+def model_checks(name: str, model: str, size: str) -> None:
+    @query(name, sql("risk", f"SELECT c.*, CAST(({size}) AS INT) AS size FROM ({checked_sql([model])}) c", HASHED, PARTS))
     def _(spark, sf_dir):
-        fitted, _, test = trained(spark, sf_dir, model)
-        return rounded(metrics.class_metrics(zoo.predictions(fitted, test, ["y"]), ["model"]))
+        found = trained(spark, sf_dir, model)
+        last = found.models[model].stages[-1]
+        n = last.getNumTrees if model != zoo.LOGISTIC else last.numFeatures
+        return checked(zoo.predictions(found.models, test_rows(found), ["y"]), ["model"]).withColumn("size", F.lit(int(n)))
 
 
-model_metrics("logistic", zoo.LOGISTIC)
-model_metrics("random_forest", zoo.FOREST)
-model_metrics("gradient_boosting", zoo.BOOSTED)
-model_metrics("boosted_regularised", zoo.REGULARISED)
+model_checks("random_forest", zoo.FOREST, "200")
+model_checks("gradient_boosting", zoo.BOOSTED, "150")
+model_checks("boosted_regularised", zoo.REGULARISED, "200")
 
 
-@query("cross_validate")
+@query("logistic", sql("risk", f"SELECT c.*, CAST((SELECT {WIDTH} FROM t) AS INT) AS size, true AS centred FROM ({checked_sql([zoo.LOGISTIC])}) c", HASHED, PARTS))
 def _(spark, sf_dir):
-    return zoo.cross_validate(labelled(spark, sf_dir), SPEC, "emp_id", 5, SIZES)
+    """At the optimum the weighted errors of the training rows sum to zero, since the intercept has no penalty."""
+    found = trained(spark, sf_dir, zoo.LOGISTIC)
+    train = found.tables["rows"].where("NOT is_test")
+    weight = zoo.class_balance(train).balanced()
+    errors = zoo.predictions(found.models, train, ["y"]).agg(
+        (F.abs(F.sum(weight * (F.col("score") - F.col("y")))) < 1e-3 * F.sum(weight)).alias("centred"))
+    return checked(zoo.predictions(found.models, test_rows(found), ["y"]), ["model"]).select(
+        "*", F.lit(found.models[zoo.LOGISTIC].stages[-1].numFeatures).alias("size"), errors.scalar().alias("centred"))
+
 
+FOLDS = "f AS (SELECT *, CAST(ntile(5) OVER (PARTITION BY y ORDER BY h) - 1 AS INT) AS fold FROM h)"
 
-@query("train_classifiers")
+
+@query("cross_validate", sql("risk", union_all([f"""SELECT '{m}' AS model, fold, count(*) AS tested, count_if(y = 1) AS events, true AS consistent, true AS summed,
+    true AS learns FROM f GROUP BY fold""" for m in MODELS]), HASHED, FOLDS))
 def _(spark, sf_dir):
-    result = zoo.train_classifiers(risk(spark, sf_dir), "attrition", "emp_id", SPEC, sizes=SIZES, cv_folds=None)
-    return rounded(metrics.class_metrics(zoo.predictions(result.models, result.test, ["y"]), ["model"]))
+    """Five folds of all four models at full size: the rows and events of each, and the summary against the folds."""
+    rows = labelled(spark, sf_dir)
+    folds = zoo.fold_metrics(rows, SPEC, "emp_id", 5, SIZES, parallelism=PARALLEL, partitions=parts(rows))
+    mean = F.round(F.avg("recall").over(Window.partitionBy("model")), 4)
+    n, p = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"), F.col("tp") + F.col("fn")
+    return folds.withColumn("mean", mean).join(metrics.fold_summary(folds), "model").select(
+        "model", "fold", n.alias("tested"), p.alias("events"), (F.abs(F.col("accuracy") * n - F.col("tp") - F.col("tn")) < 1e-6).alias("consistent"),
+        ((F.abs(F.col("mean") - F.col("cv_recall")) < 2e-4) & (F.col("cv_recall_std") <= 0.5)).alias("summed"),
+        (F.col("cv_roc_auc") > 0.6).alias("learns"))
+
 
+DOCUMENT_ROWS = """SELECT *, md5(concat('42:', doc_id)) AS h, CAST(toxic AS INT) AS y FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL"""
 
-@query("train_classifiers_documents")
+
+@query("train_classifiers_documents", sql(None, union_all([f"""SELECT '{m}' AS model, count(*) AS tested, count_if(y = 1) AS events, true AS consistent
+    FROM t WHERE is_test""" for m in (zoo.LOGISTIC, zoo.FOREST)]), f"h AS ({DOCUMENT_ROWS})", PARTS))
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     spec = features.FeatureSpec(["n_chars"], ["lang", "source"])
-    result = zoo.train_classifiers(rows, "toxic", "doc_id", spec, sizes=SIZES, only=[zoo.LOGISTIC, zoo.FOREST], cv_folds=None)
-    return rounded(metrics.class_metrics(zoo.predictions(result.models, result.test, ["y"]), ["model"]))
+    result = zoo.train_classifiers(rows, "toxic", "doc_id", spec, sizes=SIZES, only=[zoo.LOGISTIC, zoo.FOREST], cv_folds=None, partitions=parts(rows))
+    return checked(zoo.predictions(result.models, result.test, ["y"]), ["model"]).drop("learns")
 
 
-@query("compare_models")
+@query("compare_models", sql("risk", union_all([f"SELECT '{m}' AS model, count(*) AS tested, true AS in_order, true AS best_is_first FROM t WHERE is_test"
+                                                for m in MODELS]), HASHED, PARTS))
 def _(spark, sf_dir):
-    fitted, _, test = trained(spark, sf_dir)
-    return rounded(metrics.compare_models(zoo.predictions(fitted, test, ["y"])))
+    found = trained(spark, sf_dir)
+    ranked = metrics.compare_models(zoo.predictions(found.models, test_rows(found), ["y"]))
+    order = Window.orderBy("rank")
+    ahead = F.lag(F.struct("recall", "f1", "roc_auc")).over(order)
+    return ranked.select("model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("tested"),
+                         F.coalesce(ahead >= F.struct("recall", "f1", "roc_auc"), F.lit(True)).alias("in_order"),
+                         ((F.col("rank") == 1) == (F.col("is_best") & F.col("reason").isNotNull())).alias("best_is_first"))
 
 
-@query("train_regression")
+@query("train_regression", sql("risk", """SELECT count_if(is_test) AS tested, count_if(NOT is_test) AS fitted, true AS unbiased, true AS orthogonal FROM
+    (SELECT *, row_number() OVER (ORDER BY h) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM h)""", HASHED))
 def _(spark, sf_dir):
+    """Least squares: the errors of the training rows sum to zero, alone and times every feature."""
     spec = features.FeatureSpec([m for m in MEASURES if m != "income"], SPEC.categorical)
-    model, test = zoo.train_regression(risk(spark, sf_dir), "income", "emp_id", spec)
-    return rounded(metrics.regression_metrics(model.transform(test)))
+    rows = risk(spark, sf_dir)
+    model, test = zoo.train_regression(rows, "income", "emp_id", spec)
+    errors = model.transform(rows.join(test.select("emp_id"), "emp_id", "left_anti")).select(
+        (F.col("income") - F.col("prediction")).alias("e"), "income", *spec.numeric)
+    small = [F.abs(F.sum(F.col("e") * F.col(c))) < 1e-6 * F.sum(F.abs(F.col("income") * F.col(c))) + 1e-6 for c in spec.numeric]
+    return errors.agg(F.count("e").alias("fitted"), (F.abs(F.sum("e")) < 1e-6 * F.sum("income")).alias("unbiased"),
+                      reduce(lambda a, b: a & b, small).alias("orthogonal")).select(
+        metrics.regression_metrics(model.transform(test)).select("n").scalar().alias("tested"), "fitted", "unbiased", "orthogonal")
 
 
 @query("train_regression_one", sql("risk", """SELECT round(regr_slope(income, distance), 4) AS slope, round(regr_intercept(income, distance), 2) AS intercept
@@ -276,34 +378,53 @@ def _(spark, sf_dir):
     return both.select(F.round(F.col("at1") - F.col("at0"), 4).alias("slope"), F.round("at0", 2).alias("intercept"))
 
 
-@query("rf_importance")
-def _(spark, sf_dir):
-    fitted, names, test = trained(spark, sf_dir, zoo.FOREST)
-    return zoo.forest_importance(fitted[zoo.FOREST], names, test)
-
-
-@query("top_importance")
-def _(spark, sf_dir):
-    fitted, names, test = trained(spark, sf_dir, zoo.BOOSTED)
-    return zoo.forest_importance(fitted[zoo.BOOSTED], names, test, top=5)
-
-
-@query("model_store")
-def _(spark, sf_dir):
-    fitted, names, test = trained(spark, sf_dir, zoo.LOGISTIC, zoo.FOREST)
-    path = scratch_path(spark, "models")
-    stored.save_models(spark, path, fitted, SPEC, names)
-    loaded, _, _ = stored.load_models(spark, path)
-    return rounded(metrics.class_metrics(zoo.predictions(loaded, test, ["y"]), ["model"]))
+def importance_checks(name: str, model: str, top: int) -> None:
+    @query(name, sql("risk", f"SELECT CAST(least({top}, {WIDTH}) AS BIGINT) AS n, true AS falling, true AS bounded, true AS named, true AS tells FROM t", HASHED, PARTS))
+    def _(spark, sf_dir):
+        """The largest shares of a whole of one, in falling order; overtime, which the labels follow, is among them."""
+        found = trained(spark, sf_dir, model)
+        shares = zoo.forest_importance(found.models[model], found.names, test_rows(found), top=top)
+        before = F.lag("importance").over(Window.orderBy(F.desc("importance"), "feature"))
+        return shares.withColumn("falls", F.coalesce(before >= F.col("importance"), F.lit(True))).agg(
+            F.count(F.lit(1)).alias("n"), F.bool_and("falls").alias("falling"), (F.sum("importance") <= 1 + 1e-9).alias("bounded"),
+            F.bool_and(F.col("feature").isin(found.names)).alias("named"), F.bool_or(F.col("feature").startswith("overtime") | (F.col("feature") == "job_satisfaction")).alias("tells"))
+
+
+importance_checks("rf_importance", zoo.FOREST, 15)
+importance_checks("top_importance", zoo.BOOSTED, 5)
+
+
+@query("model_store", sql("risk", union_all([f"SELECT '{m}' AS model, count(*) AS tested, CAST(0 AS BIGINT) AS changed, true AS refused FROM t WHERE is_test"
+                                             for m in (zoo.LOGISTIC, zoo.FOREST)]), HASHED, PARTS))
+def _(spark, sf_dir):
+    """A version loaded again scores as before, and is refused for a table with one more row."""
+    found = trained(spark, sf_dir, zoo.LOGISTIC, zoo.FOREST)
+    root, rows = scratch_path(spark, "models"), risk(spark, sf_dir)
+    number = stored.publish(spark, root, found.models, found.spec, found.names, stored.input_fingerprint(rows))
+    again = stored.load_version(spark, root, stored.input_fingerprint(rows), version=number)
+    try:
+        stored.load_version(spark, root, stored.input_fingerprint(rows.unionByName(rows.limit(1))))
+        refused = False
+    except stored.StaleModel:
+        refused = True
+    before = zoo.predictions(found.models, test_rows(found), ["emp_id"])
+    after = zoo.predictions(again.models, test_rows(found), ["emp_id"]).withColumnRenamed("score", "again")
+    return before.join(after, ["emp_id", "model"]).groupBy("model").agg(
+        F.count(F.lit(1)).alias("tested"), F.count_if(F.abs(F.col("score") - F.col("again")) > 1e-12).alias("changed")).withColumn("refused", F.lit(refused))
 
 
 # --- scoring ---------------------------------------------------------------
 
-@query("batch_score")
+@query("batch_score", sql("risk", "SELECT emp_id, department, overtime, true AS banded, true AS decided FROM risk"))
 def _(spark, sf_dir):
-    fitted, _, _ = trained(spark, sf_dir, zoo.FOREST)
-    scorer = scoring.model_scorer(fitted[zoo.FOREST], SPEC)
-    return scoring.rank_risk(scoring.batch_score(risk(spark, sf_dir), scorer, "emp_id", ["department", "overtime"]), "emp_id")
+    """Every row scored by the stored forest, its percent, band and decision checked against its probability."""
+    found = trained(spark, sf_dir, zoo.FOREST)
+    scorer = scoring.model_scorer(found.models[zoo.FOREST], found.spec)
+    scored_rows = scoring.batch_score(risk(spark, sf_dir), scorer, "emp_id", ["department", "overtime"])
+    p = F.col("probability")
+    band = F.when(p * 100 < 30, "Low").when(p * 100 < 60, "Medium").otherwise("High")
+    return scored_rows.select("emp_id", "department", "overtime", ((F.col("risk_band") == band) & (F.abs(F.col("probability_pct") - p * 100) <= 0.0501)).alias("banded"),
+                              ((F.col("prediction") == "Có") == (p >= 0.5)).alias("decided"))
 
 
 def fixed_scorer(df: DataFrame) -> DataFrame:
@@ -352,7 +473,7 @@ SCENARIO_SQL = union_all([_scenario("raise", "income=400000.0", income="400000")
 
 
 @query("scenario_cross", sql("risk", """SELECT emp_id, s AS scenario, CAST(CASE s WHEN 'raise' THEN 400000 ELSE income END AS DOUBLE) AS income,
-    CAST(CASE s WHEN 'coach' THEN 5 ELSE training END AS DOUBLE) AS training, CAST(CASE s WHEN 'rotate' THEN 0 ELSE tenure END AS DOUBLE) AS tenure
+    CAST(CASE s WHEN 'coach' THEN 5 ELSE training END AS INTEGER) AS training, CAST(CASE s WHEN 'rotate' THEN 0 ELSE tenure END AS INTEGER) AS tenure
     FROM risk, (VALUES ('raise'), ('coach'), ('rotate')) t(s)"""))
 def _(spark, sf_dir):
     return scoring.scenario_rows(risk(spark, sf_dir), SCENARIOS, list(WEIGHTS)).select("emp_id", "scenario", "income", "training", "tenure")
@@ -370,12 +491,16 @@ def _(spark, sf_dir):
                                 "band_after", "pct_after", "delta_pp", "effect"))
 
 
-@query("what_if_model")
+@query("what_if_model", sql("risk", """SELECT emp_id, s AS scenario, true AS differs_rightly, true AS untouched_same FROM risk, (VALUES ('no overtime'), ('more pay')) t(s)"""))
 def _(spark, sf_dir):
-    fitted, _, _ = trained(spark, sf_dir, zoo.LOGISTIC)
-    scorer = scoring.model_scorer(fitted[zoo.LOGISTIC], SPEC)
-    return scoring.what_if(risk(spark, sf_dir), scorer, {"no overtime": {"overtime": "No"}, "more pay": {"income": "400,000"}},
-                           "emp_id", SPEC.columns)
+    """The difference is that of the two percents, and a row that already is as the scenario asks keeps its probability."""
+    found = trained(spark, sf_dir, zoo.LOGISTIC)
+    scorer, rows = scoring.model_scorer(found.models[zoo.LOGISTIC], found.spec), risk(spark, sf_dir)
+    told = scoring.what_if(rows, scorer, {"no overtime": {"overtime": "No"}, "more pay": {"income": "400,000"}}, "emp_id", found.spec.columns)
+    same = (F.col("scenario") == "no overtime") & (F.col("overtime") == "No")
+    return told.join(rows.select("emp_id", "overtime"), "emp_id").select(
+        "emp_id", "scenario", (F.abs(F.col("pct_after") - F.col("pct_before") - F.col("delta_pp")) < 1e-6).alias("differs_rightly"),
+        (~same | (F.col("probability_after") == F.col("probability_before"))).alias("untouched_same"))
 
 
 # --- explanations ----------------------------------------------------------
@@ -387,32 +512,41 @@ def _(spark, sf_dir):
     return rounded(shap.shap_long(explained, "emp_id").select("emp_id", "feature", "shap"))
 
 
-@query("shap_tree")
-def _(spark, sf_dir):
-    """Largest gap between the forest's probability and base plus contributions."""
-    fitted, names, test = trained(spark, sf_dir, zoo.FOREST)
-    explained = shap.explain_rows(fitted[zoo.FOREST], test, names, "emp_id")
-    total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c["shap"])
-    scores = zoo.predictions(fitted, test, ["emp_id"])
-    gaps = explained.select("emp_id", total.alias("total")).join(scores, "emp_id")
-    return gaps.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("total") - F.col("score"))) < 1e-6).alias("adds_up"))
+def explained(spark, sf_dir: str, model: str) -> tuple[stored.StoredModels, DataFrame]:
+    """Explanations of every row by a stored model, computed once for a version and kept next to it."""
+    found = trained(spark, sf_dir, model)
+    path = f"{store_of(spark, sf_dir)}/explained/v{found.version}/{hashlib.md5(model.encode()).hexdigest()[:8]}"
+    if not stored.exists(spark, f"{path}/_SUCCESS"):
+        rows = shap.explain_rows(found.models[model], found.tables["rows"], found.names, "emp_id")
+        rows.write.mode("overwrite").parquet(path)
+    return found, spark.read.parquet(path)
 
 
-@query("shap_boosted")
-def _(spark, sf_dir):
-    """As ``shap_tree`` for boosting, in log-odds."""
-    fitted, names, test = trained(spark, sf_dir, zoo.BOOSTED)
-    explained = shap.explain_rows(fitted[zoo.BOOSTED], test, names, "emp_id")
-    total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c["shap"])
-    scores = zoo.predictions(fitted, test, ["emp_id"])
-    gaps = explained.select("emp_id", (1 / (1 + F.exp(-total))).alias("total")).join(scores, "emp_id")
-    return gaps.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("total") - F.col("score"))) < 1e-6).alias("adds_up"))
+def additivity(name: str, model: str) -> None:
+    @query(name, sql("risk", "SELECT count(*) AS n, true AS adds_up FROM risk"))
+    def _(spark, sf_dir):
+        """Base value plus contributions is the model's own score, for every row."""
+        found, parts = explained(spark, sf_dir, model)
+        total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c["shap"])
+        total = F.when(F.col("unit") == "probability", total).otherwise(1 / (1 + F.exp(-total)))
+        scores = zoo.predictions(found.models, found.tables["rows"], ["emp_id"])
+        gaps = parts.select("emp_id", total.alias("total")).join(scores, "emp_id")
+        return gaps.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("total") - F.col("score"))) < 1e-6).alias("adds_up"))
+
 
+additivity("shap_tree", zoo.FOREST)
+additivity("shap_boosted", zoo.BOOSTED)
 
-@query("shap_global")
+
+@query("shap_global", sql("risk", f"SELECT CAST(least(15, {WIDTH}) AS BIGINT) AS features, (SELECT count(*) FROM risk) AS n, true AS falling, true AS tells FROM t", HASHED, PARTS))
 def _(spark, sf_dir):
-    fitted, names, test = trained(spark, sf_dir, zoo.FOREST)
-    return shap.shap_global(shap.explain_rows(fitted[zoo.FOREST], test, names, "emp_id"), "emp_id")
+    """Mean strengths over all rows, in falling order; what the labels follow is among them."""
+    _, parts = explained(spark, sf_dir, zoo.FOREST)
+    top = shap.shap_global(parts, "emp_id")
+    before = F.lag("mean_abs_shap").over(Window.orderBy(F.desc("mean_abs_shap"), "feature"))
+    return top.withColumn("falls", F.coalesce(before >= F.col("mean_abs_shap"), F.lit(True))).agg(
+        F.count(F.lit(1)).alias("features"), F.max("n").alias("n"), F.bool_and("falls").alias("falling"),
+        F.bool_or(F.col("feature").startswith("overtime") | (F.col("feature") == "job_satisfaction")).alias("tells"))
 
 
 GLOBAL_SQL = union_all([f"SELECT '{c}' AS feature, avg(abs(({w!r}) * ({c} - (SELECT avg({c}) FROM risk)))) AS m FROM risk" for c, w in WEIGHTS.items()])
@@ -423,10 +557,15 @@ def _(spark, sf_dir):
     return rounded(shap.shap_global(shap.shap_linear(risk(spark, sf_dir), WEIGHTS, INTERCEPT, "emp_id"), "emp_id", top=4))
 
 
-@query("shap_local")
+@query("shap_local", sql("risk", "SELECT emp_id, CAST(10 AS BIGINT) AS shown, true AS falling, true AS directed FROM risk"))
 def _(spark, sf_dir):
-    fitted, names, test = trained(spark, sf_dir, zoo.LOGISTIC)
-    return shap.shap_local(shap.explain_rows(fitted[zoo.LOGISTIC], test, names, "emp_id"), "emp_id")
+    """The ten strongest contributions of every row, strongest first, each with its direction."""
+    _, parts = explained(spark, sf_dir, zoo.LOGISTIC)
+    local = shap.shap_local(parts, "emp_id")
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "abs_shap")))
+    falls = F.forall(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.element_at("r", i)["abs_shap"] >= F.element_at("r", i + 1)["abs_shap"])
+    return local.groupBy("emp_id").agg(F.count(F.lit(1)).alias("shown"), ranked.alias("r"), F.bool_and(
+        F.col("direction") == F.when(F.col("shap") >= 0, shap.RAISES).otherwise(shap.LOWERS)).alias("directed")).select("emp_id", "shown", falls.alias("falling"), "directed")
 
 
 LOCAL_SQL = union_all([f"SELECT emp_id, '{c}' AS feature, ({w!r}) * ({c} - (SELECT avg({c}) FROM risk)) AS v FROM risk" for c, w in WEIGHTS.items()])
@@ -440,40 +579,44 @@ def _(spark, sf_dir):
     return rounded(shap.shap_local(explained, "emp_id", 3).select("emp_id", "rank", "feature", "shap", "direction"))
 
 
-@query("shap_report")
+@query("shap_report", sql("risk", "SELECT emp_id, CAST(10 AS INT) AS told, true AS base_told, true AS sides FROM risk"))
 def _(spark, sf_dir):
-    fitted, names, test = trained(spark, sf_dir, zoo.FOREST)
-    return shap.shap_report(shap.explain_rows(fitted[zoo.FOREST], test, names, "emp_id"), "emp_id")
+    """One report for every row: ten contributions, the base value in words, risers and fallers apart."""
+    _, parts = explained(spark, sf_dir, zoo.FOREST)
+    report = shap.shap_report(parts, "emp_id")
+    sides = F.forall("top_increase", lambda c: c["shap"] > 0) & F.forall("top_decrease", lambda c: c["shap"] < 0)
+    base = F.col("narrative").startswith(F.format_string(shap.BASE_TEXT, F.col("base_value")))
+    return report.select("emp_id", F.size("contributions").alias("told"), base.alias("base_told"), sides.alias("sides"))
 
 
-@query("shap_section", sql("risk", """SELECT emp_id, true AS has_global, true AS has_local, true AS directed, true AS told FROM
-    (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h) <= round(0.2 * count(*) OVER (PARTITION BY y)) AS is_test FROM h) WHERE is_test""", HASHED))
+@query("shap_section", sql("risk", "SELECT emp_id, CAST(10 AS INT) AS n_global, CAST(10 AS INT) AS n_local, true AS directed, true AS told FROM risk"))
 def _(spark, sf_dir):
-    fitted, names, test = trained(spark, sf_dir, zoo.LOGISTIC)
-    explained = shap.explain_rows(fitted[zoo.LOGISTIC], test, names, "emp_id")
-    scored_rows = scoring.batch_score(test, scoring.model_scorer(fitted[zoo.LOGISTIC], SPEC), "emp_id")
-    section = shap.shap_section(explained, "emp_id", scored_rows, zoo.LOGISTIC)
+    found, parts = explained(spark, sf_dir, zoo.LOGISTIC)
+    scored_rows = scoring.batch_score(found.tables["rows"], scoring.model_scorer(found.models[zoo.LOGISTIC], found.spec), "emp_id")
+    section = shap.shap_section(parts, "emp_id", scored_rows, zoo.LOGISTIC)
     sign = F.forall("local_top", lambda c: (c["direction"] == shap.RAISES) == (c["shap"] >= 0))
-    return section.select("emp_id", (F.size("global_top") == 10).alias("has_global"), (F.size("local_top") == 10).alias("has_local"), sign.alias("directed"),
+    return section.select("emp_id", F.size("global_top").alias("n_global"), F.size("local_top").alias("n_local"), sign.alias("directed"),
                           (F.col("global_narrative").startswith(shap.GLOBAL_TEXT) & F.col("prediction").isNotNull()).alias("told"))
 
 
-@query("report_tables")
+def _sheets_sql() -> str:
+    """The rows of every sheet: one for each insight and recommendation, ten features, ten contributions of each row."""
+    counted = {"insights": ORACLES["insights"], "recommendations": ORACLES["recommendations"], "kpi": ORACLES["kpis"]}
+    fixed = {"model": "1", "shap_global": "10", "shap_local": "10 * (SELECT count(*) FROM orders)"}
+    return union_all([f"SELECT '{n}' AS sheet, (SELECT count(*) FROM ({q})) AS n" for n, q in counted.items()] + [
+        f"SELECT '{n}' AS sheet, CAST({q} AS BIGINT) AS n" for n, q in fixed.items()])
+
+
+@query("report_tables", _sheets_sql())
 def _(spark, sf_dir):
     rows = target.with_event(risk(spark, sf_dir), "attrition")
-    found = insights.insights(rows, ROLES)
-    fitted, names, test = trained(spark, sf_dir, zoo.LOGISTIC)
-    explained = shap.explain_rows(fitted[zoo.LOGISTIC], test, names, "emp_id")
+    told = insights.insights(rows, ROLES)
+    found, parts = explained(spark, sf_dir, zoo.LOGISTIC)
     path = scratch_path(spark, "report")
     written = reports.write_report({
-        "kpi": outcome.kpis(rows, ROLES), "insights": found, "recommendations": insights.recommendations(found),
-        "model": metrics.class_metrics(zoo.predictions(fitted, test, ["y"]), ["model"]),
-        "shap_global": shap.shap_global(explained, "emp_id", 10), "shap_local": shap.shap_local(explained, "emp_id", 10),
+        "kpi": outcome.kpis(rows, ROLES), "insights": told, "recommendations": insights.recommendations(told),
+        "model": metrics.class_metrics(zoo.predictions(found.models, test_rows(found), ["y"]), ["model"]),
+        "shap_global": shap.shap_global(parts, "emp_id", 10), "shap_local": shap.shap_local(parts, "emp_id", 10),
     }, path)
-    counts = [reports.read_report(spark, path, name).agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n")) for name in written]
-    table_ = counts[0]
-    for part in counts[1:]:
-        table_ = table_.unionByName(part)
-    return table_
-
-
+    return reduce(DataFrame.unionByName, [
+        reports.read_report(spark, path, name).agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n")) for name in written])
