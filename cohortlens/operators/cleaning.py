@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.numbers import is_infinite, is_text, numeric_columns, text_columns, to_number
 from cohortlens.functions.text import quoted, strip_blanks
-from cohortlens.operators.profile import value_counts
+from cohortlens.operators.profile import LONG_TEXT, by_name, unpivot_cells
 from cohortlens.operators.quality import duplicate_summary, iqr_outliers
 from cohortlens.operators.quantiles import exact_quantiles
 from cohortlens.session import checkpointed
@@ -103,6 +103,28 @@ def clean_report(df: DataFrame, drop_duplicates: bool = True) -> DataFrame:
         kept.unpersist()
 
 
+def most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, text): the most frequent value, the smallest of several.
+
+    Long texts are counted by their first ``LONG_TEXT`` letters and a digest.  Only where such a text wins, the texts
+    that begin like it are counted whole, in a second pass.
+    """
+    text, long = F.col("value"), F.length("value") > LONG_TEXT
+    key = F.when(long, F.concat(F.substring(text, 1, LONG_TEXT), F.sha2(text, 256))).otherwise(text)
+
+    def best(cells: DataFrame, value: Column) -> list:
+        counts = cells.groupBy("column", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top")).collect()  # one for each column
+
+    cells = unpivot_cells(df, columns).where("value IS NOT NULL")
+    found = {r["column"]: r["top"]["value"] for r in best(cells, key)}
+    begins = {c: v[:LONG_TEXT] for c, v in found.items() if len(v) > LONG_TEXT}
+    if begins:
+        near = unpivot_cells(df, list(begins)).where(long & (F.substring(text, 1, LONG_TEXT) == by_name(begins)))
+        found |= {r["column"]: r["top"]["value"] for r in best(near, text)}
+    return df.sparkSession.createDataFrame(list(found.items()), "column string, text string")
+
+
 def column_defaults(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, number, text): median of number columns, most frequent text otherwise.
 
@@ -117,10 +139,7 @@ def column_defaults(df: DataFrame, columns: list[str] | None = None) -> DataFram
         parts.append(medians.select(F.col("measure").alias("column"), F.col("q")[0].alias("number"),
                                     F.lit(None).cast("string").alias("text")))
     if others:
-        modes = value_counts(df, others).where("value IS NOT NULL").groupBy("column").agg(
-            F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top")
-        )
-        parts.append(modes.select("column", F.lit(None).cast("double").alias("number"), F.col("top.value").alias("text")))
+        parts.append(most_frequent(df, others).select("column", F.lit(None).cast("double").alias("number"), "text"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 from functools import reduce
 
@@ -13,8 +14,8 @@ from cohortlens.functions.text import quoted
 from cohortlens.operators.profile import unpivot_cells
 
 ALL_VALUES = ["All", "Tất cả"]
-#: Rows of one key range of ``page``.
-RANGE_ROWS = 1_000_000
+#: Rows of one key range of ``page``, and rows up to whose number a page is the end of a top-k.
+RANGE_ROWS, TOP_ROWS = 1_000_000, 10_000
 
 
 def _typed(df: DataFrame, name: str, value: object) -> Column | None:
@@ -86,24 +87,44 @@ def preview(df: DataFrame, order: str | list[str], n: int = 15) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def page(df: DataFrame, key: str, number: int, size: int = 25, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Page ``number`` (from 0) of ``size`` rows by a unique key of any orderable type, NULL keys first.
+@dataclass(frozen=True)
+class PageIndex:
+    """Rows without a key, and (rows, last key) of each range of keys in order; a row for every ``range_rows`` rows."""
+
+    nulls: int
+    ranges: list[tuple[int, object]]
+
 
-    One shuffle of the key column alone gives the count and the ends of each key range.  The page is
-    then cut from the ranges it lies in, which the scan filters by the literal ends; no task sorts more than
-    the rows of those ranges (about ``range_rows`` each).
+def page_index(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> PageIndex:
+    """The index that all later pages of an unchanged table can share.
+
+    One shuffle of the key column alone gives the count and the ends of each key range.
     """
-    first, k = number * size, F.col(quoted(key))
-    keys = df.select(k.alias("k"))
+    keys = df.select(F.col(quoted(key)).alias("k"))
     rows, nulls = keys.agg(F.count(F.lit(1)), F.count_if(F.col("k").isNull())).first()
     ranges = max(1, -(-rows // range_rows))
     placed = keys.where(F.col("k").isNotNull()).repartitionByRange(ranges, "k").groupBy(F.spark_partition_id().alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.max("k").alias("last"))
-    before, wanted, lower = nulls, [], None
-    for r in placed.orderBy("last").collect():  # one row for each range
-        if before < first + size and before + r["n"] > first:
-            wanted.append((before, lower, r["last"]))
-        before, lower = before + r["n"], r["last"]
+    return PageIndex(nulls, [(r["n"], r["last"]) for r in placed.orderBy("last").collect()])
+
+
+def page(df: DataFrame, key: str, number: int, size: int = 25, range_rows: int = RANGE_ROWS, index: PageIndex | None = None) -> DataFrame:
+    """Page ``number`` (from 0) of ``size`` rows by a unique key of any orderable type, NULL keys first.
+
+    The first pages, up to ``TOP_ROWS`` rows, are the end of a top-k: every task keeps so many rows at most and
+    no column is shuffled.  A later page is cut from the key ranges it lies in (see ``page_index``; give ``index``
+    to share one), which the scan filters by their literal ends; no task sorts more than the rows of those
+    ranges (about ``range_rows`` each).
+    """
+    first, k = number * size, F.col(quoted(key))
+    if index is None and first + size <= min(TOP_ROWS, range_rows):
+        return df.orderBy(k.asc_nulls_first()).offset(first).limit(size)
+    index = page_index(df, key, range_rows) if index is None else index
+    before, wanted, lower, nulls = index.nulls, [], None, index.nulls
+    for n, last in index.ranges:
+        if before < first + size and before + n > first:
+            wanted.append((before, lower, last))
+        before, lower = before + n, last
     inside = F.lit(False) if first >= nulls else k.isNull()
     start = 0 if first < nulls else first
     if wanted:

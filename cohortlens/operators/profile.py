@@ -17,6 +17,8 @@ from cohortlens.functions.numbers import is_text, looks_numeric, numeric_columns
 from cohortlens.functions.text import normalize_key, quoted
 from cohortlens.functions.vocabulary import FILTER_ROLES, NEGATIVE_LABELS, POSITIVE_LABELS, ROLE_ALIASES
 
+from cohortlens.operators.roles import alias_match
+
 LONG_TEXT = 64
 
 # What a date looks like inside a text.
@@ -35,7 +37,7 @@ def by_name(mapping: dict[str, object], key: str = "column") -> Column:
     return F.create_map(*[F.lit(x) for item in mapping.items() for x in item])[F.col(key)]
 
 
-def _cell_text(df: DataFrame, name: str) -> Column:
+def cell_text(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         value = F.nullif(F.col(quoted(name)), F.lit(float("nan")).cast(kind))
@@ -47,7 +49,7 @@ def _cell_text(df: DataFrame, name: str) -> Column:
 
 def unpivot_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) with every cell as text."""
-    return df.select(*[_cell_text(df, c).alias(c) for c in columns]).unpivot([], [F.col(quoted(c)) for c in columns], "column", "value")
+    return df.select(*[cell_text(df, c).alias(c) for c in columns]).unpivot([], [F.col(quoted(c)) for c in columns], "column", "value")
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -61,7 +63,7 @@ def _digest_cell(df: DataFrame, name: str) -> Column:
 
     The three digits say whether the text is a number, holds a date, and parses as one.
     """
-    text = _cell_text(df, name)
+    text = cell_text(df, name)
     if not is_text(df, name):
         complex_type = isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType))
         return F.when(F.length(text) > LONG_TEXT, F.concat(F.sha2(text, 256), F.lit("000"))).otherwise(text) if complex_type else text
@@ -107,31 +109,11 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool
         tally(textual & parsed).alias("n_parsed"),
     )
     static = {f.name: f.dataType for f in df.schema}
-    base = {
-        c: "boolean" if isinstance(static[c], T.BooleanType)
-        else "datetime" if isinstance(static[c], (T.DateType, T.TimestampType, T.TimestampNTZType))
-        else "numeric" if isinstance(static[c], T.NumericType)
-        else "text"
-        for c in columns
-    }
-    shares = facts.select(
-        "*",
-        by_name(base).alias("base"),
-        F.coalesce(F.try_divide(F.col("n_number").cast("double"), F.col("n_rows")), F.lit(0.0)).alias("numeric_share"),
-        F.coalesce(F.try_divide(F.col("n_date").cast("double"), F.col("non_null")), F.lit(0.0)).alias("date_like"),
-        F.coalesce(F.try_divide(F.col("n_parsed").cast("double"), F.col("non_null")), F.lit(0.0)).alias("date_parsed"),
-    )
-    is_date = (F.col("non_null") >= 3) & (F.col("date_like") >= 0.6) & (F.col("date_parsed") >= 0.8)
-    kind = (
-        F.when(F.col("base") != "text", F.col("base"))
-        .when(is_date, "datetime")
-        .when((F.col("non_null") > 0) & (F.col("numeric_share") >= 0.9), "numeric")
-        .otherwise("categorical")
-    )
+    shares = _with_kind(facts.withColumn("base", by_name({c: _base_kind(static[c]) for c in columns})))
     return shares.select(
         "column",
         by_name({c: i for i, c in enumerate(columns)}).alias("position"),
-        kind.alias("kind"),
+        "kind",
         by_name({c: static[c].simpleString() for c in columns}).alias("dtype"),
         "n_rows",
         "non_null",
@@ -144,16 +126,58 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool
     )
 
 
+def _kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, kind, date_like, date_parsed) from one aggregate: no kind depends on distinct values, so no cell leaves its row."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    cells, none = [], F.lit(0).cast("bigint")
+    for i, c in enumerate(columns):
+        base = _base_kind(df.schema[c].dataType)
+        if base == "text" and is_text(df, c):
+            text = F.col(quoted(c))
+            dated = text.rlike(DATE_TEXT)
+            aggs += [F.count(text).alias(f"v{i}"), F.count_if(looks_numeric(text)).alias(f"n{i}"), F.count_if(dated).alias(f"d{i}"),
+                     F.count_if(F.when(dated, parses_as_date(text)).otherwise(False)).alias(f"p{i}")]
+            counts = [F.col(f"{k}{i}") for k in "vndp"]
+        else:
+            counts = [none] * 4
+        cells.append(F.struct(F.lit(c).alias("column"), F.lit(base).alias("base"), F.lit(i).alias("position"),
+                              *[x.alias(k) for x, k in zip(counts, ("non_null", "n_number", "n_date", "n_parsed"), strict=True)]))
+    facts = df.agg(*aggs).select(F.col("rows").alias("n_rows"), F.inline(F.array(*cells)))
+    return _with_kind(facts)
+
+
+def _base_kind(kind: T.DataType) -> str:
+    if isinstance(kind, T.BooleanType):
+        return "boolean"
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "datetime"
+    return "numeric" if isinstance(kind, T.NumericType) else "text"
+
+
+def _with_kind(facts: DataFrame) -> DataFrame:
+    """Shares and the kind that follows from them."""
+    shares = facts.select(
+        "*",
+        F.coalesce(F.try_divide(F.col("n_number").cast("double"), F.col("n_rows")), F.lit(0.0)).alias("numeric_share"),
+        F.coalesce(F.try_divide(F.col("n_date").cast("double"), F.col("non_null")), F.lit(0.0)).alias("date_like"),
+        F.coalesce(F.try_divide(F.col("n_parsed").cast("double"), F.col("non_null")), F.lit(0.0)).alias("date_parsed"),
+    )
+    is_date = (F.col("non_null") >= 3) & (F.col("date_like") >= 0.6) & (F.col("date_parsed") >= 0.8)
+    return shares.withColumn("kind", F.when(F.col("base") != "text", F.col("base")).when(is_date, "datetime")
+                             .when((F.col("non_null") > 0) & (F.col("numeric_share") >= 0.9), "numeric").otherwise("categorical"))
+
+
 def infer_kind(df: DataFrame) -> DataFrame:
-    """(column, kind) in one pass: no kind depends on the distinct count, so no value is shuffled."""
-    return column_profile(df, approx=True).select("column", "kind")
+    """(column, kind) in one pass."""
+    return _kinds(df, df.columns).select("column", "kind")
 
 
 def datetime_columns(df: DataFrame) -> DataFrame:
     """Share of date-looking and of parsable values per text column, and the verdict, in one pass."""
-    return column_profile(df, [c for c in df.columns if is_text(df, c)], approx=True).select(
-        "column", "date_like", "date_parsed", (F.col("kind") == "datetime").alias("is_datetime")
-    )
+    columns = [c for c in df.columns if is_text(df, c)]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, date_like double, date_parsed double, is_datetime boolean")
+    return _kinds(df, columns).select("column", "date_like", "date_parsed", (F.col("kind") == "datetime").alias("is_datetime"))
 
 
 def constant_rule() -> Column:
@@ -240,50 +264,65 @@ def suggest_filters(
     return listed.select(F.posexplode("l")).select(F.col("pos").alias("ord"), F.col("col.column").alias("column"))
 
 
-def categorical_uniques(df: DataFrame, max_unique: int = 50, numeric_max: int = 20) -> DataFrame:
+def categorical_uniques(df: DataFrame, max_unique: int = 50, numeric_max: int = 20, sketch: dict[str, int] | None = None) -> DataFrame:
     """(column, n_categories, categories) for columns of few values.
 
-    A sketch per column first rules out columns far above the limit, so ids and long
-    texts are not shuffled; the rest is counted exactly.
+    A sketch per column (``sketch`` if known already) first rules out columns far above the limit, so ids
+    and long texts are not shuffled and no list is long; the rest is counted exactly, in one scan.
     """
     numbers = numeric_columns(df)
     limits = {c: min(numeric_max, max_unique) if c in numbers else max_unique for c in df.columns}
-    sketch = df.agg(*[F.approx_count_distinct(_cell_text(df, c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
-    near = [c for i, c in enumerate(df.columns) if 0 < sketch[f"d{i}"] <= 4 * limits[c]]
+    if sketch is None:
+        row = df.agg(*[F.approx_count_distinct(cell_text(df, c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
+        sketch = {c: row[f"d{i}"] for i, c in enumerate(df.columns)}
+    near = [c for c in df.columns if 0 < sketch[c] <= 4 * limits[c]]
     if not near:
         return df.sparkSession.createDataFrame([], "column string, n_categories bigint, categories array<string>")
     counts = value_counts(df, near).where("value IS NOT NULL")
-    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_categories"))
-    few = sizes.where(F.col("n_categories") <= by_name({c: limits[c] for c in near}))
-    # One row per table column at most, and at most ``max_unique`` values per list.
-    kept = counts.join(F.broadcast(few), "column")
-    return kept.groupBy("column", "n_categories").agg(F.array_sort(F.collect_list("value")).alias("categories"))
+    listed = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_categories"), F.array_sort(F.collect_list("value")).alias("categories"))
+    return listed.where(F.col("n_categories") <= by_name({c: limits[c] for c in near}))
 
 
 def target_candidates(df: DataFrame) -> DataFrame:
-    """(column, by_alias, by_labels): two-valued columns that read as an outcome."""
+    """(column, ord, by_alias, by_labels): columns that read as an outcome, the likeliest first by ``ord``.
+
+    The column that best matches the outcome's names comes first, then two-valued columns with labels or a name of an
+    outcome in table order, then other columns that match one of the names, whatever values they have.
+    """
     columns = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    ends = df.agg(*[F.expr(f"{fn}(`{c}`) AS {fn}{i}") for i, c in enumerate(columns) for fn in ("min", "max")])
+    header = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
+    aliases = {a: [a] for a in ROLE_ALIASES["target"]}
+    # The header has a row for each column; a role and an alias match one of them.
+    primary = [r["name"] for r in alias_match(header, "name", {"target": ROLE_ALIASES["target"]}).collect()]
+    hits = {r["role"]: r["name"] for r in alias_match(header, "name", aliases).collect()}
+    named = list(dict.fromkeys([*primary, *(hits[a] for a in aliases if a in hits)]))
+    ends = df.agg(*[F.expr(f"{fn}({quoted(c)}) AS {fn}{i}") for i, c in enumerate(columns) for fn in ("min", "max")])
     # A third value differs from both ends; one more pass counts such rows.
     packed = ends.select(F.struct("*")).scalar()
     third = df.agg(*[
         F.count_if((F.col(quoted(c)) != packed[f"min{i}"]) & (F.col(quoted(c)) != packed[f"max{i}"])).alias(f"t{i}")
         for i, c in enumerate(columns)
     ])
+    place = {c: i for i, c in enumerate(df.columns)}
     rows = third.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), packed[f"min{i}"].cast("string").alias("low"),
+        F.struct(F.lit(c).alias("column"), F.lit(-1 if c in primary else place[c]).alias("ord"), F.lit(c in named).alias("named"),
+                 F.lit(len(columns) + (named.index(c) if c in named else 0)).alias("later"), packed[f"min{i}"].cast("string").alias("low"),
                  packed[f"max{i}"].cast("string").alias("high"), F.col(f"t{i}").alias("third"))
         for i, c in enumerate(columns)
     ])))
     labels = F.transform(F.array("low", "high"), lambda v: F.lower(F.trim(v)))
     vocabulary = F.array(*[F.lit(v) for v in [*POSITIVE_LABELS, *NEGATIVE_LABELS]])
     names = [normalize_key(F.lit(a)) for a in ROLE_ALIASES["target"]]
-    judged = rows.where("third = 0 AND low <> high").select(
-        "column",
-        F.array_contains(F.array(*names), normalize_key(F.col("column"))).alias("by_alias"),
-        F.arrays_overlap(labels, vocabulary).alias("by_labels"),
+    two = (F.col("third") == 0) & (F.col("low") != F.col("high"))
+    judged = rows.select(
+        "column", "ord", "later", F.coalesce(two, F.lit(False)).alias("two"), "named",
+        F.array_contains(F.array(*names), normalize_key(F.col("column"))).alias("same_name"),
+        F.coalesce(two & F.arrays_overlap(labels, vocabulary), F.lit(False)).alias("by_labels"),
     )
-    return judged.where("by_alias OR by_labels")
+    early = F.col("by_labels") | (F.col("two") & F.col("same_name"))
+    return judged.where(F.col("named") | early).select(
+        "column", F.when((F.col("ord") < 0) | early, F.col("ord")).otherwise(F.col("later")).cast("int").alias("ord"),
+        (F.col("named") | F.col("same_name")).alias("by_alias"), "by_labels")
 
 
 def vocabulary_overlap(df: DataFrame, column: str) -> DataFrame:

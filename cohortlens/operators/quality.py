@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.numbers import (
-    is_infinite, is_text, looks_numeric, numeric_columns, text_columns, to_number,
+    is_infinite, is_text, looks_numeric, numeric_columns, to_number,
 )
 from cohortlens.functions.text import quoted
 from cohortlens.operators.profile import (
-    categorical_uniques, column_profile, constant_rule, feature_rule, high_cardinality_rule, id_like_rule, number_type_rule,
-    target_candidates,
+    categorical_uniques, cell_text, column_profile, constant_rule, feature_rule, high_cardinality_rule, id_like_rule,
+    number_type_rule, target_candidates,
 )
 from cohortlens.operators.quantiles import exact_quantiles
+from cohortlens.operators.roles import guess_roles, junk_columns
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -78,49 +79,75 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
 
 def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
     """One row (id_duplicates): repeated ids; NULL counts as one more id."""
-    copies = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    copies = df.groupBy(comparable(df, id_col)).agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("id_duplicates"))
 
 
-def _invalid_aggregate(df: DataFrame, extra: list[Column] | None = None) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("_rows"), *(extra or [])]
+FACTS = ("column string, position int, n_rows bigint, missing bigint, blank bigint, infinite bigint, negative bigint, filled bigint, numbers bigint, "
+         "levels bigint, constant boolean, numeric boolean, textual boolean")
+
+
+def wide_facts(df: DataFrame) -> DataFrame:
+    """Every count that the checks below need about single columns, from one scan; one row per column.
+
+    ``filled`` and ``numbers`` are the values of a text column and those that are numbers ("nan" parses to a
+    missing number, so it is none); ``levels`` is a sketch; ``constant`` means that the smallest and the
+    largest value agree, which needs no distinct count.
+    """
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    numeric, none = set(numeric_columns(df)), F.lit(0).cast("bigint")
     for i, c in enumerate(df.columns):
-        if c in numeric_columns(df):
-            value = F.col(quoted(c)).cast("double")
-            aggs += [F.count_if(is_infinite(value)).alias(f"inf{i}"), F.count_if(value < 0).alias(f"neg{i}")]
-        elif is_text(df, c):
-            # "nan" is text that parses to a missing number, so it does not count as a number.
-            aggs += [F.count(F.col(quoted(c))).alias(f"full{i}"), F.count_if(looks_numeric(F.col(quoted(c)))).alias(f"num{i}")]
-    return df.agg(*aggs)
+        value, text = comparable(df, c), F.col(quoted(c)) if is_text(df, c) else None
+        number = F.col(quoted(c)).cast("double") if c in numeric else None
+        own = {
+            "missing": F.count_if(_missing(df, c)),
+            "blank": none if text is None else F.count_if(text.rlike(r"^\s*$")),
+            "infinite": none if number is None else F.count_if(is_infinite(number)),
+            "negative": none if number is None else F.count_if(number < 0),
+            "filled": none if text is None else F.count(text),
+            "numbers": none if text is None else F.count_if(looks_numeric(text)),
+            "levels": F.approx_count_distinct(cell_text(df, c)),
+            "constant": F.coalesce(F.min(value).eqNullSafe(F.max(value)), F.lit(True)),
+        }
+        aggs.append(F.struct(*[v.alias(k) for k, v in own.items()]).alias(f"c{i}"))
+    row = df.agg(*aggs).first()
+    facts = [(c, i, row["rows"], *row[f"c{i}"], c in numeric, is_text(df, c)) for i, c in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame(facts, FACTS)
+
+
+def _number_text() -> Column:
+    """A text column of which at least half of all rows are numbers."""
+    return F.col("textual") & (F.col("filled") > 0) & (F.col("numbers") >= 0.5 * F.col("n_rows"))
 
 
-def invalid_numeric(df: DataFrame) -> DataFrame:
+def _invalid(facts: DataFrame) -> DataFrame:
+    return facts.where(F.col("numeric") | _number_text()).select(
+        "column", F.col("infinite").alias("inf_count"), F.col("negative").alias("negative_count"),
+        F.when(F.col("numeric"), F.col("infinite")).otherwise(F.col("filled") - F.col("numbers")).alias("invalid_count"), "n_rows")
+
+
+def _distinct_numbers(facts: DataFrame) -> int:
+    return facts.where("numeric").agg(F.sum("levels")).first()[0] or 0
+
+
+def invalid_numeric(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(column, inf_count, negative_count, invalid_count, invalid_pct).
 
     Number columns: infinities and negatives.  Text columns where at least half of
     all rows are numbers: values that are not.
     """
-    wide = _invalid_aggregate(df)
-    cells: dict[str, dict[str, Column]] = {}
-    for i, c in enumerate(df.columns):
-        if c in numeric_columns(df):
-            cells[c] = {"inf_count": F.col(f"inf{i}"), "negative_count": F.col(f"neg{i}"),
-                        "invalid_count": F.col(f"inf{i}"), "checked": F.lit(True)}
-        elif is_text(df, c):
-            cells[c] = {"inf_count": F.lit(0).cast("bigint"), "negative_count": F.lit(0).cast("bigint"),
-                        "invalid_count": F.col(f"full{i}") - F.col(f"num{i}"),
-                        "checked": (F.col(f"full{i}") > 0) & (F.col(f"num{i}") >= 0.5 * F.col("_rows"))}
-    return _records(wide, cells, "_rows").where("checked").select(
+    return _invalid(wide_facts(df) if facts is None else facts).select(
         "column", "inf_count", "negative_count", "invalid_count",
-        (F.lit(100.0) * F.col("invalid_count") / F.col("_rows")).alias("invalid_pct"),
+        (F.lit(100.0) * F.col("invalid_count") / F.col("n_rows")).alias("invalid_pct"),
     )
 
 
-def iqr_outliers(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: list[str] | None = None, approx: bool = False, distinct: int | None = None) -> DataFrame:
     """(column, q1, q3, iqr, lower_bound, upper_bound, outlier_count, outlier_pct).
 
     Two passes: quartiles, then a count outside the fences.  The fences are one
-    short row per column and reach the second pass as a scalar.
+    short row per column and reach the second pass as a scalar.  ``distinct``, about how many different
+    numbers there are, saves the pass that finds out.
     """
     columns = columns or numeric_columns(df)
     values = {c: to_number(df, c) for c in columns}
@@ -129,7 +156,7 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, approx: bool =
         wide = df.agg(*[F.percentile_approx(v, probs, F.lit(10_000)).alias(f"q{i}") for i, v in enumerate(values.values())])
         quartiles = _records(wide, {c: {"q": F.col(f"q{i}")} for i, c in enumerate(columns)}).where("q IS NOT NULL")
     else:
-        quartiles = exact_quantiles(df, values, [0.25, 0.75]).select("measure", "q").withColumnRenamed("measure", "column")
+        quartiles = exact_quantiles(df, values, [0.25, 0.75], distinct=distinct).select("measure", "q").withColumnRenamed("measure", "column")
     fences = quartiles.select(
         "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"),
     ).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn(
@@ -153,64 +180,53 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, approx: bool =
     )
 
 
-def validate_dataset(df: DataFrame) -> DataFrame:
-    """(check, column, metric, value): missing, duplicate, type, level and number checks."""
-    profile = column_profile(df)
-    number = lambda c: F.col(quoted(c)).cast("double").alias("value")
+def validate_dataset(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(check, column, metric, value): missing, duplicate, type, level and number checks.
+
+    Three scans: facts about single columns, copies of rows, and the values of columns with few levels.
+    """
+    facts = wide_facts(df) if facts is None else facts
+    number = lambda c: F.col(c).cast("double").alias("value")
     none = F.lit(None).cast("string").alias("column")
+    sketch = {r["column"]: r["levels"] for r in facts.select("column", "levels").collect()}  # one for each column
     parts = [
-        missing_summary(df).select(F.lit("missing").alias("check"), "column", F.lit("missing_count").alias("metric"),
-                                   number("missing_count")),
-        missing_summary(df).agg(F.sum("missing_count").alias("t")).select(
+        facts.select(F.lit("missing").alias("check"), "column", F.lit("missing_count").alias("metric"), number("missing")),
+        facts.agg(F.sum("missing").alias("t")).select(
             F.lit("missing").alias("check"), none, F.lit("total_missing").alias("metric"), number("t")),
         duplicate_summary(df).select(F.lit("duplicates").alias("check"), none,
                                      F.lit("duplicate_count").alias("metric"), number("duplicate_count")),
-        categorical_uniques(df).select(F.lit("levels").alias("check"), "column",
-                                       F.lit("n_categories").alias("metric"), number("n_categories")),
-        invalid_numeric(df).select(F.lit("invalid_numeric").alias("check"), "column",
-                                   F.lit("invalid_count").alias("metric"), number("invalid_count")),
-        profile.where(F.col("column").isin(numeric_columns(df) or [""])).select(
-            F.lit("numeric_columns").alias("check"), "column", F.lit("non_null").alias("metric"), number("non_null")),
+        categorical_uniques(df, sketch=sketch).select(F.lit("levels").alias("check"), "column",
+                                        F.lit("n_categories").alias("metric"), number("n_categories")),
+        _invalid(facts).select(F.lit("invalid_numeric").alias("check"), "column",
+                               F.lit("invalid_count").alias("metric"), number("invalid_count")),
+        facts.where("numeric").select(F.lit("numeric_columns").alias("check"), "column", F.lit("non_null").alias("metric"),
+                                      (F.col("n_rows") - F.col("missing")).cast("double").alias("value")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def quality_check(df: DataFrame) -> DataFrame:
-    """``validate_dataset`` and the outlier counts in one table."""
-    outliers = iqr_outliers(df).select(
+    """``validate_dataset`` and the outlier counts in one table; five scans."""
+    facts = wide_facts(df)
+    outliers = iqr_outliers(df, distinct=_distinct_numbers(facts)).select(
         F.lit("outliers").alias("check"), "column", F.lit("outlier_count").alias("metric"),
         F.col("outlier_count").cast("double").alias("value"),
     )
-    return validate_dataset(df).unionByName(outliers)
+    return validate_dataset(df, facts).unionByName(outliers)
 
 
-def _quality_facts(df: DataFrame, id_col: str | None) -> DataFrame:
+def _quality_facts(df: DataFrame, id_col: str | None, facts: DataFrame | None = None) -> DataFrame:
     """One row with every count the score and the issue list need."""
-    texts = text_columns(df)
-    missing = reduce(lambda a, b: a + b, [F.count_if(_missing(df, c)) for c in df.columns])
-    blank = reduce(lambda a, b: a + b, [F.count_if(F.col(quoted(c)).rlike(r"^\s*$")) for c in texts] or [F.lit(0)])
-    # Constant means that the smallest and the largest value agree: no distinct count is needed.
-    constant = [
-        (F.coalesce(F.min(c).eqNullSafe(F.max(c)), F.lit(True))).cast("int") for c in df.columns
-    ]
-    base = _invalid_aggregate(df, [
-        missing.alias("missing"), blank.cast("bigint").alias("empty_strings"),
-        reduce(lambda a, b: a + b, constant).alias("constant_columns"),
-    ])
-    infinite = reduce(lambda a, b: a + b, [F.col(f"inf{i}") for i, c in enumerate(df.columns) if c in numeric_columns(df)] or [F.lit(0)])
-    invalid = reduce(
-        lambda a, b: a + b,
-        [F.when((F.col(f"full{i}") > 0) & (F.col(f"num{i}") >= 0.5 * F.col("_rows")), F.col(f"full{i}") - F.col(f"num{i}")).otherwise(0)
-         for i, c in enumerate(df.columns) if is_text(df, c)] or [F.lit(0)],
-    )
+    facts = wide_facts(df) if facts is None else facts
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     duplicates = duplicate_summary(df).select("duplicate_count").scalar()
     ids = duplicate_ids(df, id_col).scalar() if id_col else F.lit(0)
-    return base.select(
-        F.col("_rows").alias("n_rows"), F.lit(len(df.columns)).alias("n_cols"), "missing", "empty_strings",
-        duplicates.alias("duplicates"), ids.cast("bigint").alias("id_duplicates"),
-        infinite.cast("bigint").alias("inf_count"), invalid.cast("bigint").alias("invalid_numeric"),
-        F.col("constant_columns").cast("bigint").alias("constant_columns"),
-    )
+    invalid = F.when(_number_text(), F.col("filled") - F.col("numbers"))
+    return facts.agg(
+        F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_cols"), total("missing").alias("missing"),
+        total("blank").alias("empty_strings"), total("infinite").alias("inf_count"), total(invalid).alias("invalid_numeric"),
+        F.count_if("constant").alias("constant_columns"),
+    ).select("*", duplicates.alias("duplicates"), ids.cast("bigint").alias("id_duplicates"))
 
 
 def quality_score(df: DataFrame, id_col: str | None = None) -> DataFrame:
@@ -246,13 +262,14 @@ def quality_issues(df: DataFrame, id_col: str | None = None, outlier_columns: in
     """(issue, n) for every kind of problem found."""
     kinds = ["missing", "empty_strings", "duplicates", "id_duplicates", "inf_count", "invalid_numeric",
              "constant_columns"]
-    facts = _quality_facts(df, id_col)
+    wide = wide_facts(df)
+    facts = _quality_facts(df, id_col, wide)
     listed = facts.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("issue"), F.col(k).cast("bigint").alias("n")) for k in kinds
     ])))
     columns = numeric_columns(df)[:outlier_columns]
     if columns:
-        outliers = iqr_outliers(df, columns).agg(F.sum("outlier_count").alias("n")).select(
+        outliers = iqr_outliers(df, columns, distinct=_distinct_numbers(wide)).agg(F.sum("outlier_count").alias("n")).select(
             F.lit("iqr_outliers").alias("issue"), "n"
         )
         listed = listed.unionByName(outliers)
@@ -261,7 +278,7 @@ def quality_issues(df: DataFrame, id_col: str | None = None, outlier_columns: in
 
 def dataset_gate(df: DataFrame, target: str | None = None) -> DataFrame:
     """(check, ok, detail): may this table be analysed at all?  One aggregate decides."""
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(df.columns)])
     names = F.array(*[F.when(F.col(f"n{i}") == 0, F.lit(c)) for i, c in enumerate(df.columns)])
     empty = F.array_compact(names)
     known = target is None or target in df.columns
@@ -278,13 +295,18 @@ def dataset_gate(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row that changes with the content, whatever the row order."""
-    h1, _ = row_fingerprint(df)
-    return df.select(h1).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_cols"),
-        F.coalesce(F.bit_xor("h1"), F.lit(0)).alias("content_xor"),
-        F.coalesce(F.sum(F.col("h1") % F.lit(1_000_003)), F.lit(0)).alias("content_sum"),
-    )
+    """One row that changes with the content, whatever the row order: n_rows, n_cols, sum_a, sum_b.
+
+    A multiset hash that other engines can repeat: each row becomes a text of ``length:text`` for its cells (``N`` for
+    NULL), and the first two groups of 15 digits of the texts' MD5 are summed, 120 bits together.  Repeated rows
+    count as often as they stand.
+    """
+    cells = [F.when(cell_text(df, c).isNull(), "N").otherwise(F.concat(F.length(cell_text(df, c)).cast("string"), F.lit(":"), cell_text(df, c)))
+             for c in df.columns]
+    digest = df.select(F.md5(F.concat(*cells)).alias("m"))
+    parts = [F.conv(F.substring("m", start, 15), 16, 10).cast("decimal(20,0)") for start in (1, 16)]
+    return digest.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_cols"),
+                      *[F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(n) for p, n in zip(parts, ("sum_a", "sum_b"), strict=True)])
 
 
 def _listed(condition: Column) -> Column:
@@ -310,10 +332,23 @@ def profile_dataset(df: DataFrame, profile: DataFrame | None = None) -> DataFram
     )
 
 
-def schema_summary(df: DataFrame, roles: dict[str, str], junk: list[str] | None = None,
+def describe_schema(df: DataFrame, target: str | None = None) -> dict:
+    """What a table's columns are for, found from names and values: ``roles`` (role -> column, the outcome under
+    "target"), ``junk`` and ``candidates`` for the outcome.  A given ``target`` is kept."""
+    roles = guess_roles(df)
+    candidates = [r["column"] for r in target_candidates(df).orderBy("ord").collect()]  # a few columns
+    roles["target"] = target if target in df.columns else candidates[0] if candidates else None
+    junk = [c for c in junk_columns(df) if c != roles["target"]]
+    return {"roles": {r: c for r, c in roles.items() if c}, "junk": junk, "candidates": candidates}
+
+
+def schema_summary(df: DataFrame, roles: dict[str, str] | None = None, junk: list[str] | None = None,
                    profile: DataFrame | None = None) -> DataFrame:
-    """One row describing the table as the analysis sees it."""
+    """One row describing the table as the analysis sees it; roles and junk that are not given are found."""
     profile = column_profile(df) if profile is None else profile
+    if roles is None:
+        found = describe_schema(df)
+        roles, junk = found["roles"], found["junk"] if junk is None else junk
     usable, number = feature_rule(df, roles.get("target"), roles.get("id"), junk), number_type_rule(df)
     named = [j for j in [roles.get("id"), *(junk or [])] if j]
     unused = constant_rule() | F.col("column").isin(named) if named else constant_rule()

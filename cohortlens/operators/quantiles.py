@@ -51,12 +51,14 @@ def exact_quantiles(
     by: str | None = None,
     map_limit: int = MAP_LIMIT,
     inside_limit: int = INSIDE_LIMIT,
+    distinct: int | None = None,
 ) -> DataFrame:
     """(grp, measure, n, q) with ``q`` the linearly interpolated quantiles of ``probs``.
 
-    ``grp`` is NULL without ``by``.  Measures without any value give no row.
+    ``grp`` is NULL without ``by``.  Measures without any value give no row.  ``distinct`` is the
+    ``distinct_bound`` if known already.
     """
-    if distinct_bound(df, measures, by) <= map_limit:
+    if (distinct_bound(df, measures, by) if distinct is None else distinct) <= map_limit:
         return _by_map(df, measures, probs, by)
     return _by_brackets(_long(df, measures, by), probs, inside_limit)
 

@@ -62,15 +62,22 @@ def rank_risk(scored: DataFrame, id_col: str, top: int | None = None) -> DataFra
     return ordered.limit(top) if top else ordered
 
 
-def risk_summary(scored: DataFrame) -> DataFrame:
-    """One row: total, rows per band, share of high risk, mean percent."""
+def summary_counts() -> list:
+    """What a risk summary is made of, as aggregates over scored rows."""
     band = F.col("risk_band")
-    return scored.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(band == "High").alias("high"),
-        F.count_if(band == "Medium").alias("medium"), F.count_if(band == "Low").alias("low"),
-        F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.count_if(band == "High"), F.count(F.lit(1))), F.lit(0.0)), 1).alias("high_rate"),
-        F.round(F.avg("probability_pct"), 1).alias("avg_probability_pct"),
-    )
+    return [F.count(F.lit(1)).alias("total"), *[F.count(F.when(band == b, 1)).alias(b.lower()) for b in ("High", "Medium", "Low")],
+            F.avg("probability_pct").alias("mean_pct")]
+
+
+def summary_of(counts: DataFrame) -> DataFrame:
+    """One row: total, rows per band, share of high risk, mean percent, from ``summary_counts``."""
+    share = F.coalesce(F.try_divide(F.lit(100.0) * F.col("high"), F.col("total")), F.lit(0.0))
+    return counts.select("total", "high", "medium", "low", F.round(share, 1).alias("high_rate"), F.round("mean_pct", 1).alias("avg_probability_pct"))
+
+
+def risk_summary(scored: DataFrame) -> DataFrame:
+    """The summary of scored rows, by an aggregate of its own."""
+    return summary_of(scored.agg(*summary_counts()))
 
 
 def clean_changes(changes: dict[str, object], numeric: list[str], columns: list[str]) -> dict[str, object]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from cohortlens.functions.numbers import is_infinite, numeric_columns, to_number
 from cohortlens.operators.outcome import percent
 from cohortlens.operators.quantiles import exact_quantiles
 
-PAIRS_PER_PASS = 150
+#: Rows whose products are taken at once, tasks that merge the sums of all others, and pairs of a result batch.
+ROWS_AT_ONCE, MERGERS, PAIRS_AT_ONCE = 4096, 64, 10_000
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -36,68 +38,116 @@ def _chosen(df: DataFrame, columns: list[str] | None, event: str | None) -> list
     return [c for c in (columns or numeric_columns(df)) if c != event] + ([event] if event else [])
 
 
-def _scales(df: DataFrame, values: dict[str, Column]) -> dict[str, dict]:
-    """Rows, mean and whether constant, per column; one row reaches the driver."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, v in enumerate(values.values()):
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    return {
-        c: {"full": row[f"n{i}"] == row["rows"], "mean": row[f"m{i}"] or 0.0, "constant": row[f"lo{i}"] == row[f"hi{i}"]}
-        for i, c in enumerate(values)
-    }
+class PairSums:
+    """Sums over the rows where both columns of a pair are present, for all pairs of ``width`` columns at once.
+
+    ``n``, means, and sums of centred squares and products are (column, column) tables: entry (i, j) is about
+    column i where j is present too.  ``size`` is what the squares added up to before centring, and ``lost``
+    counts infinite values.  Tables of different rows merge exactly, so they can be added up in any tree.
+    """
+
+    FIELDS = ("n", "mean", "square", "product", "size", "lost")
+
+    def __init__(self, width: int, tables: dict[str, np.ndarray] | None = None):
+        self.width = width
+        self.tables = tables or {f: np.zeros((width, width)) for f in self.FIELDS}
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> "PairSums":
+        """From rows of numbers, NaN where missing."""
+        present = ~np.isnan(x)
+        infinite = np.isinf(x)
+        finite = np.where(present & ~infinite, x, 0.0)
+        shift = finite.sum(axis=0) / np.maximum((present & ~infinite).sum(axis=0), 1)
+        centred = np.where(present & ~infinite, x - shift, 0.0)
+        mask = present.astype(float)
+        n = mask.T @ mask
+        some = np.maximum(n, 1.0)
+        sums, squares = centred.T @ mask, (centred * centred).T @ mask
+        tables = {"n": n, "mean": sums / some + shift[:, None], "square": squares - sums * sums / some,
+                  "product": centred.T @ centred - sums * sums.T / some, "size": squares, "lost": infinite.astype(float).T @ mask}
+        return cls(x.shape[1], tables)
+
+    def merge(self, other: "PairSums") -> None:
+        a, b = self.tables, other.tables
+        n = a["n"] + b["n"]
+        gap = np.where((a["n"] > 0) & (b["n"] > 0), b["mean"] - a["mean"], 0.0)
+        share = b["n"] / np.maximum(n, 1.0)
+        weight = a["n"] * share
+        a["square"] += b["square"] + weight * gap * gap
+        a["product"] += b["product"] + weight * gap * gap.T
+        a["mean"] = np.where(a["n"] > 0, a["mean"] + share * gap, b["mean"])
+        a["size"] += b["size"] + weight * gap * gap
+        a["lost"] += b["lost"]
+        a["n"] = n
+
+    def pack(self) -> bytes:
+        return np.stack([self.tables[f] for f in self.FIELDS]).tobytes()
+
+    @classmethod
+    def unpack(cls, width: int, data: bytes) -> "PairSums":
+        return cls(width, dict(zip(cls.FIELDS, np.frombuffer(data).reshape(len(cls.FIELDS), width, width).copy(), strict=True)))
+
+    def correlations(self) -> np.ndarray:
+        """Pearson's r of each pair; NaN where a side is constant or infinite."""
+        spread = np.maximum(self.tables["square"], 0.0)
+        # A side that is constant over the shared rows leaves nothing but rounding noise.
+        spread = np.where((spread > self.tables["size"] * 1e-12) & (self.tables["lost"] == 0), spread, np.nan)
+        with np.errstate(invalid="ignore"):
+            return self.tables["product"] / (np.sqrt(spread) * np.sqrt(spread.T))
+
+
+def pair_sums(df: DataFrame, values: list[Column]) -> DataFrame:
+    """One row (sums): the packed ``PairSums`` of all rows, from one scan.
+
+    Every task adds up its batches and sends one table; ``MERGERS`` tasks merge those, and one merges what they made,
+    so no task holds more than two tables.
+    """
+    width = len(values)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = PairSums(width)
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(low, ROWS_AT_ONCE)
+                total.merge(PairSums.of(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns])))
+        yield pa.RecordBatch.from_arrays([pa.array([total.pack()], pa.binary())], names=["sums"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = PairSums(width)
+        for batch in batches:
+            for item in batch.column(0):
+                total.merge(PairSums.unpack(width, item.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([total.pack()], pa.binary())], names=["sums"])
+
+    own = df.select(*[F.coalesce(v, F.lit(float("nan"))).alias(f"x{i}") for i, v in enumerate(values)]).mapInArrow(add, "sums binary")
+    return own.repartition(MERGERS).mapInArrow(merge, "sums binary").repartition(1).mapInArrow(merge, "sums binary")
 
 
 def correlation_pairs(
-    df: DataFrame, columns: list[str] | None = None, event: str | None = None, pairs_per_pass: int = PAIRS_PER_PASS
+    df: DataFrame, columns: list[str] | None = None, event: str | None = None, pairs_per_pass: int = PAIRS_AT_ONCE
 ) -> DataFrame:
-    """(a, b, r, n) for each pair of number columns, in table order.
+    """(a, b, r, n) for each pair of number columns, in table order, from one scan of the table.
 
-    Pearson over rows where both sides are present; NULL for a constant or infinite
-    side.  ``event`` adds a 0/1 column.  A first pass finds means and NULLs.  The
-    second one sums products of centred values: one sum per pair, and sums per
-    column that all pairs of columns without NULLs share.  Very wide tables are cut
-    into several passes, so that one aggregate stays compilable.
+    Pearson over rows where both sides are present; NULL for a constant or infinite side.  ``event`` adds a
+    0/1 column.  Pairs leave the last task ``pairs_per_pass`` at a time.
     """
-    values = {c: to_number(df, c) for c in _chosen(df, columns, event)}
-    scale = _scales(df, values)
-    place = {c: i for i, c in enumerate(values)}
-    centred = df.select(*[(v - F.lit(float(scale[c]["mean"]))).alias(f"x{place[c]}") for c, v in values.items()])
-    pairs = list(combinations(values, 2))
-    tables = []
-    for start in range(0, len(pairs), pairs_per_pass):
-        aggs: dict[str, str] = {}
-        rows = []
-        for a, b in pairs[start:start + pairs_per_pass]:
-            i, j = place[a], place[b]
-
-            def total(side: int, other: str, what: str) -> str:
-                """Sum over rows where the other column is present too; shared where it always is."""
-                full = scale[other]["full"]
-                name = f"{what}{side}" + ("" if full else f"_{place[other]}")
-                value = {"n": "1", "s": f"x{side}", "q": f"x{side} * x{side}"}[what]
-                present = f"x{side} IS NOT NULL" + ("" if full else f" AND x{place[other]} IS NOT NULL")
-                aggs[name] = f"sum(CASE WHEN {present} THEN {value} END)"
-                return name
-
-            aggs[f"p{i}_{j}"] = f"sum(x{i} * x{j})"
-            usable = str(not (scale[a]["constant"] or scale[b]["constant"])).lower()
-            cells = {"n": total(i, b, "n"), "sx": total(i, b, "s"), "sy": total(j, a, "s"), "xx": total(i, b, "q"),
-                     "yy": total(j, a, "q"), "xy": f"p{i}_{j}", "usable": usable}
-            rows.append(f"named_struct('i', {i}, 'j', {j}, " + ", ".join(f"'{k}', {v}" for k, v in cells.items()) + ")")
-        sums = centred.agg(*[F.expr(f"{e} AS {name}") for name, e in aggs.items()])
-        tables.append(sums.select(F.expr(f"inline(array({', '.join(rows)}))")))
-    names = F.array(*[F.lit(c) for c in values])
-    spread = "{q} - {s} * try_divide({s}, n)"
-    moments = reduce(DataFrame.unionByName, tables).select(
-        names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "n", "usable", "xx", "yy",
-        F.expr(spread.format(q="xx", s="sx")).alias("vx"), F.expr(spread.format(q="yy", s="sy")).alias("vy"),
-        F.expr("xy - sx * try_divide(sy, n)").alias("cxy"),
-    )
-    # A side that is constant over the shared rows leaves nothing but rounding noise.
-    spread_out = F.expr("usable AND vx > xx * 1e-12 AND vy > yy * 1e-12")
-    r = F.nullif(F.expr("try_divide(cxy, sqrt(vx) * sqrt(vy))"), F.lit(float("nan")))
-    return moments.select("a", "b", F.when(spread_out, r).alias("r"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    chosen = _chosen(df, columns, event)
+    width = len(chosen)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item in batch.column(0):
+                total = PairSums.unpack(width, item.as_py())
+                i, j = np.triu_indices(width, 1)
+                r, n = total.correlations()[i, j], total.tables["n"][i, j].astype(np.int64)
+                for low in range(0, len(i), pairs_per_pass):
+                    at = slice(low, low + pairs_per_pass)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([chosen[k] for k in i[at]], pa.string()), pa.array([chosen[k] for k in j[at]], pa.string()),
+                        pa.array(r[at], pa.float64(), mask=np.isnan(r[at])), pa.array(n[at])], names=["a", "b", "r", "n"])
+
+    return pair_sums(df, [to_number(df, c) for c in chosen]).mapInArrow(pairs, "a string, b string, r double, n bigint")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, event: str | None = None) -> DataFrame:
@@ -171,11 +221,10 @@ def box_stats(df: DataFrame, label: str, measure: str) -> DataFrame:
         F.col("grp").alias("label"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
     )
     step = 1.5 * (F.col("q3") - F.col("q1"))
-    fenced = boxes.withColumn("lo", F.col("q1") - step).withColumn("hi", F.col("q3") + step)
-    fences = fenced.agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("lo", "hi")))).alias("f")).scalar()
-    own = fences[F.col("label")]
-    inside = F.col("x").between(own["lo"], own["hi"])
-    whiskers = rows.select(F.col(label).alias("label"), value.alias("x")).where("x IS NOT NULL").groupBy("label").agg(
+    # A plain join: its size at run time decides whether the fences are broadcast, and a label with most rows is split.
+    fences = boxes.select("label", (F.col("q1") - step).alias("lo"), (F.col("q3") + step).alias("hi"))
+    inside = F.col("x").between(F.col("lo"), F.col("hi"))
+    whiskers = rows.select(F.col(label).alias("label"), value.alias("x")).where("x IS NOT NULL").join(fences, "label").groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"),
     )

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.bands import risk_band
 from cohortlens.functions.numbers import to_number
+from cohortlens.functions.vocabulary import ENCODINGS
 from cohortlens.operators import cleaning, filters, outcome, profile, quality, target
 from cohortlens.operators.scoring import batch_score
 from cohortlens.plans.registry import query, rounded
-from cohortlens.plans.views import ROLES, dirty, risk, scored, sql, table
+from cohortlens.plans.views import dirty, risk, scored, sql, table
 from cohortlens.session import scratch_path
 from cohortlens.sources import csv, reports
 
@@ -90,13 +91,23 @@ def _(spark, sf_dir):
     )
 
 
-@query("csv_scan_encoding")
+def _encodings_sql() -> str:
+    """Lines with a byte that an encoding lacks, from the hexadecimal digits of their UTF-8 bytes."""
+    lines = "SELECT hex(encode(unnest(string_split(coalesce(text, ''), chr(10))))) AS h FROM documents"
+    rows = []
+    for i, name in enumerate(ENCODINGS):
+        missing = [] if name.startswith("utf-8") else csv.undecodable_bytes(name)
+        bad = f"count_if(regexp_matches(h, '^(..)*({'|'.join(f'{b:02X}' for b in missing)})'))" if missing else "count_if(false)"
+        rows.append(f"SELECT CAST({i} AS INT) AS ord, '{name}' AS encoding, CAST({bad} AS BIGINT) AS bad_rows FROM ({lines})")
+    return union_all(rows)
+
+
+@query("csv_scan_encoding", sql(None, _encodings_sql()))
 def _(spark, sf_dir):
-    path = scratch_path(spark, "latin")
-    lines = table(spark, sf_dir, "documents").select(
-        "doc_id", F.regexp_replace(F.translate("text", "–—‘’“”…€", "--''\"\"  "), r"\s+", " ").alias("text"))
-    lines.write.csv(path, header=True, encoding="ISO-8859-1", escape='"')
-    return csv.encoding_report(spark, path, ["utf-8", "latin-1"])
+    """A UTF-8 file of whole texts against all the usual encodings."""
+    path = scratch_path(spark, "texts")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return csv.encoding_report(spark, path)
 
 
 @query("dataset_gate", sql("dirty", """, g AS (SELECT count(*) AS n FROM dirty)
@@ -468,14 +479,14 @@ def _(spark, sf_dir):
     coalesce(string_agg("column", ',' ORDER BY "column") FILTER (n_unique <= 1), '') AS constant_columns,
     coalesce(string_agg("column", ',' ORDER BY "column") FILTER (kind = 'categorical' AND n_unique >= 0.9 * n_rows), '') AS high_cardinality_columns,
     coalesce(string_agg("column", ',' ORDER BY "column") FILTER (regexp_matches("column", 'id|employee') AND n_unique >= 0.9 * n_rows), '') AS id_columns,
-    'status' AS target_candidates FROM prof""", DIRTY_PROFILE))
+    'signed,status' AS target_candidates FROM prof""", DIRTY_PROFILE))
 def _(spark, sf_dir):
     return quality.profile_dataset(dirty(spark, sf_dir))
 
 
-@query("target_candidates", sql("risk", """SELECT "column", by_alias, by_labels FROM (
-    SELECT 'overtime' AS "column", false AS by_alias, bool_or(lower(overtime) IN ('yes', 'no')) AS by_labels, count(DISTINCT overtime) AS n FROM risk UNION ALL
-    SELECT 'attrition', true, bool_or(lower(attrition) IN ('yes', 'no')), count(DISTINCT attrition) FROM risk) WHERE n = 2"""))
+@query("target_candidates", sql("risk", """SELECT "column", ord, by_alias, by_labels FROM (
+    SELECT 'overtime' AS "column", CAST(3 AS INT) AS ord, false AS by_alias, bool_or(lower(overtime) IN ('yes', 'no')) AS by_labels, count(DISTINCT overtime) AS n FROM risk UNION ALL
+    SELECT 'attrition', -1, true, bool_or(lower(attrition) IN ('yes', 'no')), count(DISTINCT attrition) FROM risk) WHERE n = 2"""))
 def _(spark, sf_dir):
     return profile.target_candidates(risk(spark, sf_dir))
 
@@ -517,7 +528,7 @@ def _(spark, sf_dir):
     concat(coalesce(string_agg("column", ',') FILTER (n_unique <= 1), ''), 'emp_id') AS junk_columns,
     'attrition,overtime' AS target_candidates, 'attrition' AS target, 'department,overtime' AS filter_columns FROM prof""", RISK_PROFILE))
 def _(spark, sf_dir):
-    return quality.schema_summary(risk(spark, sf_dir), ROLES)
+    return quality.schema_summary(risk(spark, sf_dir))
 
 
 @query("data_dictionary", sql("risk", """SELECT "column", CASE "column" WHEN 'attrition' THEN 'Target' WHEN 'emp_id' THEN 'ID' ELSE 'Feature' END AS usage,
@@ -526,8 +537,14 @@ def _(spark, sf_dir):
     return profile.data_dictionary(risk(spark, sf_dir), "attrition", "emp_id")
 
 
-@query("table_fingerprint")
-def _(spark, sf_dir):
-    return quality.table_fingerprint(dirty(spark, sf_dir))
+def _fingerprint_sql() -> str:
+    columns = ["order_id", "line_no", "qty", "qty_text", "flag", "ship_text", "status", "const_col", "signed"]
+    text = {c: f"CAST({c} AS VARCHAR)" for c in columns} | {"qty": "CASE WHEN isinf(qty) THEN 'Infinity' ELSE CAST(qty AS VARCHAR) END"}
+    cells = " || ".join(f"CASE WHEN {c} IS NULL THEN 'N' ELSE concat(length({t}), ':', {t}) END" for c, t in text.items())
+    sums = [f"CAST(sum(CAST(CAST(concat('0x', substr(m, {start}, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for start in (1, 16)]
+    return f"SELECT count(*) AS n_rows, CAST({len(columns)} AS INT) AS n_cols, {sums[0]} AS sum_a, {sums[1]} AS sum_b FROM (SELECT md5({cells}) AS m FROM dirty)"
 
 
+@query("table_fingerprint", sql("dirty", _fingerprint_sql()))
+def _(spark, sf_dir):
+    return quality.table_fingerprint(dirty(spark, sf_dir))

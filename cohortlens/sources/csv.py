@@ -82,35 +82,46 @@ def _typed(name: str, kind: T.DataType):
     return F.trim(F.col(name)).try_cast(kind)
 
 
-def _undecoded(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, Column]:
-    """(lines, does the line not decode).  UTF-8 is judged by the bytes, since U+FFFD may be in a sound file."""
-    unicode = name.lower().startswith("utf-8")
-    lines = spark.read.csv(path, schema="line string", sep="\u0001", quote="", encoding="ISO-8859-1" if unicode else _charset(spark, name))
-    line = F.col("line")
-    return lines, ~F.is_valid_utf8(F.encode(line, "ISO-8859-1").cast("string")) if unicode else line.contains("\ufffd")
+def undecodable_bytes(name: str) -> list[int]:
+    """Bytes that a one-byte encoding gives no character to."""
+    def known(byte: int) -> bool:
+        try:
+            bytes([byte]).decode(name)
+        except UnicodeDecodeError:
+            return False
+        return True
+    return [b for b in range(256) if not known(b)]
+
+
+def _undecoded(latin: Column, name: str) -> Column:
+    """Does a line not decode?  ``latin`` has a character for each of its bytes.
+
+    UTF-8 is judged by the bytes, since U+FFFD may be in a sound file; other encodings have to be one-byte ones.
+    """
+    if name.lower().startswith("utf-8"):
+        return ~F.is_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
+    missing = undecodable_bytes(name)
+    if len(missing) > 128:
+        raise ValueError(f"{name} is no one-byte encoding")
+    return latin.rlike("[" + "".join(f"\\x{b:02x}" for b in missing) + "]") if missing else F.lit(False)
 
 
 def encoding_report(spark: SparkSession, path: str, encodings: list[str] | None = None) -> DataFrame:
-    """(ord, encoding, bad_rows): rows that do not decode, per candidate encoding."""
+    """(ord, encoding, bad_rows): lines that do not decode, per candidate encoding, all from one scan of the bytes."""
     encodings = encodings or ENCODINGS
-    parts = None
-    for i, name in enumerate(encodings):
-        lines, bad = _undecoded(spark, path, name)
-        counted = lines.agg(F.count_if(bad).alias("bad_rows")).select(F.lit(i).alias("ord"), F.lit(name).alias("encoding"), "bad_rows")
-        parts = counted if parts is None else parts.unionByName(counted)
-    return parts
+    lines = spark.read.option("lineSep", "\n").text(path)
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    counted = lines.select(latin.alias("line")).agg(*[F.count_if(_undecoded(F.col("line"), name)).alias(f"n{i}") for i, name in enumerate(encodings)])
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(name).alias("encoding"), F.col(f"n{i}").alias("bad_rows")) for i, name in enumerate(encodings)])))
 
 
 def detect_encoding(spark: SparkSession, path: str, chosen: str = "utf-8") -> str:
-    """First encoding that decodes every row: the chosen one, then the usual ones.
-
-    Each try is a scan that ends at the first bad row.
-    """
-    for name in [chosen, *[e for e in ENCODINGS if e != chosen]]:
-        lines, bad = _undecoded(spark, path, name)
-        if lines.where(bad).isEmpty():
-            return name
-    raise ValueError("no encoding decodes the file")
+    """First encoding that decodes every line: the chosen one, then the usual ones; one scan tries them all."""
+    found = encoding_report(spark, path, [chosen, *[e for e in ENCODINGS if e != chosen]]).where("bad_rows = 0").orderBy("ord").first()
+    if found is None:
+        raise ValueError("no encoding decodes the file")
+    return found["encoding"]
 
 
 def read_csv_any(spark: SparkSession, path: str, chosen: str = "utf-8", **options) -> tuple[DataFrame, str]:
