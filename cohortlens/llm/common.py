@@ -6,6 +6,8 @@ is ASCII, so no multi-byte character is ever cut.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -21,8 +23,8 @@ from cohortlens.session import checkpointed, scratch_path
 
 __all__ = ["broadcast_within", "checkpointed", "materialised", "read_table", "scratch_path"]
 
-#: Bytes of text that a kernel works on at once (a longer single text is taken alone).
-PIECE_BYTES = 2 << 20
+#: Bytes of text that a kernel works on at once (a longer single text is taken alone); its 64-bit arrays stay within a core's cache.
+PIECE_BYTES = 256 << 10
 #: Largest table, in bytes, that is sent to every executor; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -55,7 +57,26 @@ def arrow(df: DataFrame, function: Callable, schema: str | T.StructType) -> Data
                         out.write(path, os.path.relpath(path, os.path.dirname(root)))
         context.addPyFile(archive)
         context._cohortlens_shipped = archive
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(giving_back(function), schema)
+
+
+def giving_back(function: Callable) -> Callable:
+    """An Arrow function that leaves its worker's memory as small as it was; workers are used again by other tasks."""
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        release()
+    return run
+
+
+def release() -> None:
+    """Give freed memory back to the system, and the tables of powers that a very long text needed."""
+    if len(_powers["up"]) > 16 * PIECE_BYTES:
+        for key in _powers:
+            _powers[key] = np.ones(1, np.uint64)
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:

@@ -43,15 +43,24 @@ class Units:
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost smallest of ``values[i:i + width]`` for each i."""
-    best, span = np.arange(len(values)), 1
-    while span < width:
-        step = min(span, width - span)
-        ahead = best[step:]
-        mine = best[:len(ahead)]
-        best = np.where(values[ahead] < values[mine], ahead, mine)
-        span += step
-    return best
+    """Place of the leftmost smallest of ``values[i:i + width]`` for each i; the last bits of a value do not count.
+
+    Values are cut into blocks of ``width``.  A window is the end of one block and the beginning of the next, so
+    running minima from both ends of every block are enough.  A value's last bits hold its place in the block.
+    """
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low = np.uint64((1 << int(width - 1).bit_length()) - 1)
+    key = np.full(-(-len(values) // width) * width, ~np.uint64(0))
+    key[:len(values)] = values & ~low
+    key = key.reshape(-1, width)
+    key[:] = (key & ~low) | np.arange(width, dtype=np.uint64)
+    ahead = np.minimum.accumulate(key, axis=1).ravel()[width - 1:width - 1 + n]
+    back = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    block = np.arange(n) // width * width
+    later = (np.arange(n) + width - 1) // width * width
+    return np.where((back | low) <= (ahead | low), block + (back & low).astype(np.int64), later + (ahead & low).astype(np.int64))
 
 
 def occurrences(codes: np.ndarray, first: np.ndarray, units: Units):

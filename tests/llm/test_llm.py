@@ -133,6 +133,17 @@ def test_near_copies_with_appended_and_replaced_blocks(spark):
     assert found == wanted
 
 
+@pytest.mark.parametrize("width", [1, 2, 7, 69])
+def test_sliding_argmin_is_the_leftmost_smallest(width):
+    from cohortlens.llm import repeats
+
+    g = np.random.default_rng(width)
+    for n in (0, width - 1, width, width + 1, 500):
+        values = g.integers(0, 12, n, dtype=np.uint64) << np.uint64(40)
+        found = repeats.sliding_argmin(values, width)
+        assert found.tolist() == [i + int(np.argmin(values[i:i + width])) for i in range(n - width + 1)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(7, None), (5, 5)]
     found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
