@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.numbers import to_number
-from cohortlens.operators.profile import column_profile, feature_projection, unpivot_cells
+from cohortlens.operators.profile import column_profile, feature_rule, number_type_rule, unpivot_cells
 
 MISSING_LEVEL = "(missing)"
 #: Levels of a category that get an indicator each; a category with more keeps ``FREQUENT`` and hashes the rest into ``BUCKETS``.
@@ -42,9 +42,8 @@ def choose_features(df: DataFrame, target: str, id_col: str | None = None, junk:
     Categories of any number of levels can be encoded (see ``bounded``); with ``max_levels`` a column
     with more is refused instead.
     """
-    rows = feature_projection(df, target, id_col, junk).join(
-        column_profile(df).select("column", "n_unique", "position"), "column"
-    ).orderBy("position").collect()
+    role = F.when(number_type_rule(df), "numeric").otherwise("categorical").alias("role")
+    rows = column_profile(df).where(feature_rule(df, target, id_col, junk)).select("column", "n_unique", "position", role).orderBy("position").collect()
     wide = [r["column"] for r in rows if max_levels is not None and r["role"] == "categorical" and r["n_unique"] > max_levels]
     if wide:
         raise ValueError(f"too many levels to one-hot encode (limit {max_levels}): {wide}")

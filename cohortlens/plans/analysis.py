@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import bands, numbers, text
-from cohortlens.operators import features, filters, insights, outcome, profile, roles, statistics, target
+from cohortlens.operators import features, filters, insights, outcome, profile, roles, splits, statistics, target
 from cohortlens.plans.registry import query, rounded
 from cohortlens.plans.views import MEASURES, ROLES, risk, scored, sql, table
 
@@ -430,13 +430,13 @@ def _(spark, sf_dir):
     return roles.alias_match(table(spark, sf_dir, "part"), "p_name", PRODUCT_ALIASES)
 
 
-@query("unseen_levels", sql("risk", union_all([f"""SELECT '{c}' AS "column", level FROM (
-    SELECT {c} AS level FROM risk WHERE emp_id % 500 = 7 EXCEPT SELECT {c} FROM risk WHERE training < 2 AND job_satisfaction = 5 AND tenure > 6 AND age < 40)"""
-                                               for c in ("department", "job_role", "overtime")])))
+@query("unseen_levels", sql(None, "WITH t AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', o_orderkey))) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM orders) "
+       + union_all([f"""SELECT '{c}' AS "column", level FROM (
+    SELECT CAST({c} AS VARCHAR) AS level FROM t WHERE is_test EXCEPT SELECT CAST({c} AS VARCHAR) FROM t WHERE NOT is_test)""" for c in ("o_clerk", "o_custkey")])))
 def _(spark, sf_dir):
-    rows = risk(spark, sf_dir)
-    train = rows.where("training < 2 AND job_satisfaction = 5 AND tenure > 6 AND age < 40")
-    return features.unseen_levels(train, rows.where("emp_id % 500 = 7"), ["department", "job_role", "overtime"])
+    """Clerks and customers of the test part of all orders that the training part never had."""
+    split = splits.random_split(table(spark, sf_dir, "orders"), "o_orderkey")
+    return features.unseen_levels(split.where("NOT is_test"), split.where("is_test"), ["o_clerk", "o_custkey"])
 
 
 @query("vocab_overlap", sql(None, "SELECT lower(l_returnflag) AS label, lower(l_returnflag) IN ('y') AS positive FROM lineitem WHERE lower(l_returnflag) IN ('n', 'y') GROUP BY 1, 2"))
