@@ -432,11 +432,11 @@ def _(spark, sf_dir):
 
 @query("unseen_levels", sql(None, "WITH t AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', o_orderkey))) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM orders) "
        + union_all([f"""SELECT '{c}' AS "column", level FROM (
-    SELECT CAST({c} AS VARCHAR) AS level FROM t WHERE is_test EXCEPT SELECT CAST({c} AS VARCHAR) FROM t WHERE NOT is_test)""" for c in ("o_clerk", "o_custkey")])))
+    SELECT CAST({c} AS VARCHAR) AS level FROM t WHERE is_test EXCEPT SELECT CAST({c} AS VARCHAR) FROM t WHERE NOT is_test)""" for c in ("o_orderdate", "o_custkey")])))
 def _(spark, sf_dir):
-    """Clerks and customers of the test part of all orders that the training part never had."""
+    """Days and customers of the test part of all orders that the training part never had."""
     split = splits.random_split(table(spark, sf_dir, "orders"), "o_orderkey")
-    return features.unseen_levels(split.where("NOT is_test"), split.where("is_test"), ["o_clerk", "o_custkey"])
+    return features.unseen_levels(split.where("NOT is_test"), split.where("is_test"), ["o_orderdate", "o_custkey"])
 
 
 @query("vocab_overlap", sql(None, "SELECT lower(l_returnflag) AS label, lower(l_returnflag) IN ('y') AS positive FROM lineitem WHERE lower(l_returnflag) IN ('n', 'y') GROUP BY 1, 2"))
