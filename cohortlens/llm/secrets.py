@@ -1,13 +1,17 @@
 """Secrets: fixed patterns, and strings that look random to character Markov models.
 
-Two first-order character models, of random strings and of ordinary identifiers, are counted over the whole
+First-order character models, of random strings and of ordinary identifiers, are counted over the whole
 corpus.  The labelled samples are the corpus's own: the values that the fixed patterns catch are random
-strings, all other runs of token characters are identifiers.  A run of at least ``MIN_RUN`` characters is
-reported as ``random`` when its log-likelihood ratio, in sum and per step, exceeds the thresholds.  With
-smoothing, a corpus without a caught value leaves the first model flat.
+strings, all other runs of token characters are identifiers.  Random strings have a model for each class of
+alphabet (hexadecimal digits; capitals and digits; all), so that one common kind does not speak for the others.
+Identifiers of at least ``MIN_RUN`` characters count once each, however often they are repeated, and one is
+judged by what the others leave when its own transitions are taken out.  A run of that length is reported
+as ``random`` when its log-likelihood ratio, in sum and per step, exceeds the thresholds.  With smoothing, a
+class without a caught value has a flat model.
 
 The patterns work on UTF-8 bytes, so letter case folds only in A-Z; places are turned into code points.
-Texts are scanned in place; only transition counts (at most 66 x 66 rows for each task) are shuffled.
+Texts are scanned in place; only transition counts (at most 66 x 66 rows for each task and model) and the runs
+of at least ``MIN_RUN`` characters are shuffled.
 
 Defined cases: a null or empty text has no spans; repeated and null ids give a row each; extra columns are
 ignored.  Spans of the method never touch a base span.
@@ -40,6 +44,10 @@ CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(len(ALPHABET))
 N = len(ALPHABET)
 IS_HEX = np.zeros(256, bool)
 IS_HEX[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
+#: Characters of each class of random strings; the first class that has all characters of a string is its own.
+CLASSES = np.zeros((3, N), bool)
+for k, characters in enumerate((b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", ALPHABET)):
+    CLASSES[k, CODE[np.frombuffer(characters, np.uint8)]] = True
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,57 +100,97 @@ def _free_runs(data: np.ndarray, offsets: np.ndarray, base: list[tuple], least:
     return starts[keep], ends[keep]
 
 
-def transition_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, int], int]:
-    """Counts of (model, transition) over all texts; model 1 has the random strings."""
+def _class_of(code: np.ndarray) -> int:
+    return int(np.argmax(CLASSES[:, code].all(axis=1)))
+
+
+def _pairs(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Transitions within runs, as first character times N plus the next."""
+    size = ends - starts - 1
+    at = np.arange(size.sum()) - (np.cumsum(size) - size).repeat(size) + starts.repeat(size)
+    return code[at] * N + code[at + 1]
+
+
+def transition_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Counts of every transition: table 0 has the identifiers, table 1 + k the random strings of class k."""
+    def tally(total: np.ndarray, long: list[str]) -> pa.RecordBatch:
+        model, pair = np.nonzero(total)
+        n = len(model)
+        return pa.RecordBatch.from_arrays([
+            pa.array([*model.tolist(), *[None] * len(long)], pa.int64()), pa.array([*pair.tolist(), *[None] * len(long)], pa.int64()),
+            pa.array([*total[model, pair].tolist(), *[None] * len(long)], pa.int64()), pa.array([None] * n + long, pa.string())], ["model", "pair", "n", "run"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, N * N), np.int64)
+        total = np.zeros((4, N * N), np.int64)
         for batch in batches:
             for _, _, data, offsets in common.text_pieces(batch.column(0)):
                 base = base_spans(data, offsets)
                 code = CODE[data].astype(np.int64)
-                step = np.zeros(len(data), bool)
                 starts, ends = _free_runs(data, offsets, base, 2)
-                size = ends - starts - 1
-                at = np.arange(size.sum()) - (np.cumsum(size) - size).repeat(size) + starts.repeat(size)
-                total[0] += np.bincount(code[at] * N + code[at + 1], minlength=N * N)
+                short = ends - starts < MIN_RUN
+                total[0] += np.bincount(_pairs(code, starts[short], ends[short]), minlength=N * N)
+                raw = data.tobytes()
+                long = {raw[a:b].decode() for a, b in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True)}
                 for _, _, _, _, a, b in base:
-                    step[a:b - 1] = True
-                at = np.flatnonzero(step)
-                at = at[(code[at] >= 0) & (code[at + 1] >= 0)]
-                total[1] += np.bincount(code[at] * N + code[at + 1], minlength=N * N)
-        model, pair = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(model), pa.array(pair), pa.array(total[model, pair])], ["model", "pair", "n"])
+                    value = code[a:b]
+                    inside = value[value >= 0]
+                    if len(inside):
+                        pair = value[:-1] * N + value[1:]
+                        total[1 + _class_of(inside)] += np.bincount(pair[(value[:-1] >= 0) & (value[1:] >= 0)], minlength=N * N)
+                if long:
+                    yield tally(np.zeros((1, 1), np.int64), sorted(long))
+        yield tally(total, [])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1, N * N), np.int64)
+        for batch in batches:
+            for _, _, data, offsets in common.text_pieces(batch.column(0)):
+                total[0] += np.bincount(_pairs(CODE[data].astype(np.int64), offsets[:-1], offsets[1:]), minlength=N * N)
+        yield tally(total, [])
 
-    counted = common.arrow(docs.select(F.col(text_col).cast("string")), run, "model long, pair long, n long").groupBy("model", "pair").agg(F.sum("n").alias("n"))
-    return {(r["model"], r["pair"]): r["n"] for r in counted.collect()}
+    schema = "model long, pair long, n long, run string"
+    found = common.materialised(common.arrow(docs.select(F.col(text_col).cast("string")), run, schema), "transitions")
+    once = common.arrow(found.where("run is not null").select("run").distinct(), count, schema)
+    counted = found.where("run is null").unionByName(once).groupBy("model", "pair").agg(F.sum("n").alias("n"))
+    table = np.zeros((4, N, N))
+    for r in counted.collect():  # at most one row for each model and transition
+        table[r["model"], r["pair"] // N, r["pair"] % N] = r["n"]
+    return table
 
 
-def log_ratios(counts: dict[tuple[int, int], int]) -> np.ndarray:
-    """log P(next | char) under random strings minus the same under identifiers.
+class Ratios:
+    """log P(next | char) of a run under the random strings of its class minus the same under identifiers.
 
-    A row is smoothed with as many counts as the alphabet has characters, shared out like the model's characters.
+    A row of a table is smoothed with as many counts as the alphabet has characters, shared out like the model's
+    characters (identifiers) or evenly over the class (random strings).
     """
-    table = np.zeros((2, N, N))
-    for (model, pair), n in counts.items():
-        table[model, pair // N, pair % N] += n
-    single = table.sum(axis=1, keepdims=True) + 1
-    table += N * single / single.sum(axis=2, keepdims=True)
-    logs = np.log(table / table.sum(axis=2, keepdims=True))
-    return logs[1] - logs[0]
+
+    def __init__(self, table: np.ndarray):
+        self.known, self.rows = table[0], table[0].sum(axis=1)
+        self.share = (table[0].sum(axis=0) + 1) / (table[0].sum() + N)
+        even = CLASSES / CLASSES.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            self.random = np.log((table[1:] + N * even[:, None, :]) / (table[1:].sum(axis=2, keepdims=True) + N))
+
+    def score(self, code: np.ndarray) -> float:
+        """Of one run, judged by the identifiers without it."""
+        before, after = code[:-1], code[1:]
+        _, place, times = np.unique(before * N + after, return_inverse=True, return_counts=True)
+        own = np.bincount(before, minlength=N)
+        left = np.maximum(self.known[before, after] - times[place], 0)
+        ordinary = np.log((left + N * self.share[after]) / (np.maximum(self.rows[before] - own[before], 0) + N))
+        return float((self.random[_class_of(code), before, after] - ordinary).sum())
 
 
-def random_runs(data: np.ndarray, offsets: np.ndarray, base: list[tuple], ratio: np.ndarray, min_ratio: float, per_step: float) -> list[tuple]:
+def random_runs(data: np.ndarray, offsets: np.ndarray, base: list[tuple], ratios: Ratios, min_ratio: float, per_step: float) -> list[tuple]:
     starts, ends = _free_runs(data, offsets, base, MIN_RUN)
-    if not len(starts):
-        return []
     code = CODE[data].astype(np.int64)
-    size = ends - starts - 1
-    begin = np.cumsum(size) - size
-    at = np.arange(size.sum()) - begin.repeat(size) + starts.repeat(size)
-    score = np.add.reduceat(ratio[code[at], code[at + 1]], begin)
-    good = (score >= min_ratio) & (score >= per_step * size)
-    text = np.searchsorted(offsets, starts, side="right") - 1
-    return [(int(t), int(a), 3, int(b), int(a), int(b)) for t, a, b in zip(text[good], starts[good], ends[good], strict=True)]
+    found = []
+    for t, a, b in zip((np.searchsorted(offsets, starts, side="right") - 1).tolist(), starts.tolist(), ends.tolist(), strict=True):
+        score = ratios.score(code[a:b])
+        if score >= min_ratio and score >= per_step * (b - a - 1):
+            found.append((t, a, 3, b, a, b))
+    return found
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = MIN_RATIO,
@@ -152,7 +200,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` lists kind:start:end by start, then kind (code points, end exclusive); ``base_sha256`` is the
     digest of the same list without the method's own kind.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(log_ratios(transition_counts(docs, text_col)))
+    sent = docs.sparkSession.sparkContext.broadcast(Ratios(transition_counts(docs, text_col)))
 
     def listed(spans: list[tuple]) -> str:
         return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
