@@ -517,7 +517,8 @@ def explained(spark, sf_dir: str, model: str) -> tuple[stored.StoredModels, Data
     found = trained(spark, sf_dir, model)
     path = f"{store_of(spark, sf_dir)}/explained/v{found.version}/{hashlib.md5(model.encode()).hexdigest()[:8]}"
     if not stored.exists(spark, f"{path}/_SUCCESS"):
-        rows = shap.explain_rows(found.models[model], found.tables["rows"], found.names, "emp_id")
+        dealt = found.tables["rows"].repartition(4 * parts(found.tables["rows"]))  # few bytes, but much work a row
+        rows = shap.explain_rows(found.models[model], dealt, found.names, "emp_id")
         rows.write.mode("overwrite").parquet(path)
     return found, spark.read.parquet(path)
 
