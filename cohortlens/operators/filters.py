@@ -98,13 +98,18 @@ class PageIndex:
 def page_index(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> PageIndex:
     """The index that all later pages of an unchanged table can share.
 
-    One shuffle of the key column alone gives the count and the ends of each key range.
+    One shuffle of the key column alone sorts it in parts of about ``RANGE_ROWS`` keys, however short the ranges are;
+    each part is cut into ranges in place, and their counts and ends are all that leaves it.
     """
     keys = df.select(F.col(quoted(key)).alias("k"))
     rows, nulls = keys.agg(F.count(F.lit(1)), F.count_if(F.col("k").isNull())).first()
-    ranges = max(1, -(-rows // range_rows))
-    placed = keys.where(F.col("k").isNotNull()).repartitionByRange(ranges, "k").groupBy(F.spark_partition_id().alias("part")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("k").alias("last"))
+    parts = max(1, -(-rows // max(range_rows, RANGE_ROWS)))
+    # Equal keys meet in one part, where they are one row, so no range ends among them.
+    sorted_ = keys.where(F.col("k").isNotNull()).repartitionByRange(parts, "k").groupBy("k").agg(
+        F.count(F.lit(1)).alias("c")).sortWithinPartitions("k").select("k", "c", F.monotonically_increasing_id().alias("at"))
+    place = F.col("at").bitwiseAND((1 << 33) - 1)
+    placed = sorted_.groupBy((F.col("at") - place).alias("part"), F.floor(place / range_rows).alias("range")).agg(
+        F.sum("c").alias("n"), F.max("k").alias("last"))
     return PageIndex(nulls, [(r["n"], r["last"]) for r in placed.orderBy("last").collect()])
 
 
