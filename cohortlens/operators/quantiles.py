@@ -3,27 +3,28 @@
 The built-in ``percentile`` keeps every distinct value of a group in one map.
 That is right for ages or ratings, and wrong for a continuous measure over
 billions of rows.  ``exact_quantiles`` looks at the number of distinct values
-first.  Up to a limit it uses ``percentile``.  Beyond it, it narrows brackets
-around the wanted ranks with mergeable sketches, counts exactly how many rows
-fall below and inside each bracket, and only sorts the few values left inside.
-The counts prove the bracket right, so the result is exact.
+of each measure first.  Measures with few of them use ``percentile``.  The others
+are kept as a table of numbers, counted in equal-width bins between their ends, and
+again inside the bins that hold the wanted ranks, until few values are left there.
+Every count is exact, so the result is.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import cycle
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.session import broadcast_if_small, checkpointed
 
-MAP_LIMIT = 1_000_000
-INSIDE_LIMIT = 2_000_000
-GRID = 500
-SKETCH_ACCURACY = 10_000
-MAX_ROUNDS = 12
+#: Distinct values that a map may hold, values of a bin that are sorted at once, and bins of a bracket.
+MAP_LIMIT = 100_000
+INSIDE_LIMIT = 100_000
+BINS = 1 << 15
 
 
 def _long(df: DataFrame, measures: dict[str, Column], by: str | None) -> DataFrame:
@@ -36,12 +37,12 @@ def _long(df: DataFrame, measures: dict[str, Column], by: str | None) -> DataFra
     ).withColumn("x", F.col("x") + F.lit(0.0))
 
 
-def distinct_bound(df: DataFrame, measures: dict[str, Column], by: str | None = None) -> int:
-    """About how many distinct values all measures of the widest group have together."""
+def distinct_values(df: DataFrame, measures: dict[str, Column], by: str | None = None) -> dict[str, int]:
+    """About how many distinct values each measure has in its widest group."""
     sketch = [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(measures.values())]
     grouped = df.groupBy(by).agg(*sketch) if by else df.agg(*sketch)
-    together = reduce(lambda a, b: a + b, [F.col(f"d{i}") for i in range(len(measures))])
-    return grouped.agg(F.max(together)).first()[0] or 0
+    widest = grouped.agg(*[F.max(f"d{i}") for i in range(len(measures))]).first()
+    return {m: n or 0 for m, n in zip(measures, widest, strict=True)}
 
 
 def exact_quantiles(
@@ -51,16 +52,32 @@ def exact_quantiles(
     by: str | None = None,
     map_limit: int = MAP_LIMIT,
     inside_limit: int = INSIDE_LIMIT,
-    distinct: int | None = None,
+    distinct: dict[str, int] | None = None,
 ) -> DataFrame:
     """(grp, measure, n, q) with ``q`` the linearly interpolated quantiles of ``probs``.
 
-    ``grp`` is NULL without ``by``.  Measures without any value give no row.  ``distinct`` is the
-    ``distinct_bound`` if known already.
+    ``grp`` is NULL without ``by``.  Measures without any value give no row.  ``distinct`` is
+    ``distinct_values`` if known already.
     """
-    if (distinct_bound(df, measures, by) if distinct is None else distinct) <= map_limit:
-        return _by_map(df, measures, probs, by)
-    return _by_brackets(_long(df, measures, by), probs, inside_limit)
+    found = distinct_values(df, measures, by) if distinct is None else distinct
+    room, few = map_limit, {}
+    for m in sorted(measures, key=lambda m: found[m]):  # together they share the room
+        if found[m] > room or map_limit <= 0:
+            break
+        few[m], room = measures[m], room - found[m]
+    if len(few) == len(measures):
+        return _by_map(df, few, probs, by)
+    # The measures alone are computed once and kept for the passes over them.
+    own = {m: F.col(f"m{i}") for i, m in enumerate(measures)}
+    numbers = df.select(*([F.col(by).alias("grp")] if by else []), *[c.cast("double").alias(f"m{i}") for i, c in enumerate(measures.values())])
+    numbers, group = numbers.persist(StorageLevel.MEMORY_AND_DISK), "grp" if by else None
+    try:
+        rows = _by_bins(_long(numbers, {m: c for m, c in own.items() if m not in few}, group), probs, inside_limit)
+        if few:
+            rows = _by_map(numbers, {m: own[m] for m in few}, probs, group).unionByName(rows)
+        return checkpointed(rows)
+    finally:
+        numbers.unpersist()
 
 
 def _by_map(df: DataFrame, measures: dict[str, Column], probs: list[float], by: str | None) -> DataFrame:
@@ -79,109 +96,73 @@ def _by_map(df: DataFrame, measures: dict[str, Column], probs: list[float], by:
     return wide.select(group, F.inline(cells)).where("n > 0")
 
 
-def _by_brackets(long: DataFrame, probs: list[float], inside_limit: int) -> DataFrame:
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    keys = ["grp", "measure"]
+def _by_bins(long: DataFrame, probs: list[float], inside_limit: int) -> DataFrame:
+    keys, bracket = ["grp", "measure"], ["grp", "measure", "lo", "hi"]
 
     def same(left: str, right: str) -> Column:
         return F.expr(f"{left}.grp <=> {right}.grp AND {left}.measure = {right}.measure")
 
-    # Round one: one sketch per group; each wanted rank gets a first bracket.
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", grid, F.lit(SKETCH_ACCURACY)).alias("g")
-    )
-    ranks = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(float(p)).alias("p"))
-                      for i, p in enumerate(probs)])
-    wanted = sketch.select(*keys, "n", "g", F.inline(ranks)).select(
-        *keys, "n", "g", "slot",
-        (F.col("p") * (F.col("n") - 1)).alias("pos"),
-        F.floor(F.col("p") * (F.col("n") - 1)).alias("k1"),
-        F.ceil(F.col("p") * (F.col("n") - 1)).alias("k2"),
-        F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"),
-    )
-    state = checkpointed(_narrow(wanted))
-    for _ in range(MAX_ROUNDS):
-        counted = _count(long, state, same)
-        state = checkpointed(counted)
-        if state.agg(F.max("inside")).first()[0] <= inside_limit:
-            break
-        joined = _inside(long, state, same)
-        grids = joined.groupBy(*keys, "slot").agg(
-            F.percentile_approx("x", grid, F.lit(SKETCH_ACCURACY)).alias("g")
-        )
-        tighter = state.alias("s").join(
-            grids.alias("t"),
-            F.expr("s.grp <=> t.grp AND s.measure = t.measure AND s.slot = t.slot"),
-        ).select("s.*", "t.g")
-        following = checkpointed(_narrow(tighter))
-        stuck = following.join(
-            state.select(F.col("grp").alias("g0"), F.col("measure").alias("m0"), F.col("slot").alias("s0"),
-                         F.col("lo").alias("lo0"), F.col("hi").alias("hi0")),
-            F.expr("grp <=> g0 AND measure = m0 AND slot = s0"),
-        ).where("lo != lo0 OR hi != hi0").isEmpty()
-        if stuck:
-            break
-        state = following
-
-    # Few values are left: count each, add up in order, read off the two ranks.
-    cells = _inside(long, state, same).groupBy(*keys, "slot", "x").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*keys, "slot").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    summed = cells.withColumn("cum", F.sum("c").over(upto))
-    picked = summed.alias("c").join(
-        F.broadcast(state.alias("s")) if state.count() <= 100_000 else state.alias("s"),
-        F.expr("c.grp <=> s.grp AND c.measure = s.measure AND c.slot = s.slot"),
-    ).select(
-        "s.grp", "s.measure", "s.slot", "s.n", "s.pos", "s.k1",
-        F.when(F.expr("below + cum > k1 AND below + cum - c <= k1"), F.col("x")).alias("x1"),
-        F.when(F.expr("below + cum > k2 AND below + cum - c <= k2"), F.col("x")).alias("x2"),
-    )
+    # A row for each of the two values that a quantile lies between; both ends of the first bracket are values.
+    wanted = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(upper).alias("upper"), F.lit(float(p)).alias("p"))
+                       for i, p in enumerate(probs) for upper in (False, True)])
+    place = F.col("p") * (F.col("n") - 1)
+    ends = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    state = checkpointed(ends.select("*", F.inline(wanted)).select(
+        *keys, "slot", "upper", "n", place.alias("pos"), F.when(F.col("upper"), F.ceil(place)).otherwise(F.floor(place)).alias("k"),
+        "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside")))
+
+    def inside(state: DataFrame) -> DataFrame:
+        side = broadcast_if_small(state.select(*bracket).distinct()).alias("s")
+        return long.alias("v").join(side, same("v", "s") & F.expr("x BETWEEN lo AND hi")).select("s.*", "v.x")
+
+    def at_rank(counted: DataFrame, state: DataFrame, order: str) -> DataFrame:
+        """For each wanted rank the row of ``counted`` that holds it, with the number of values ``before`` it in its bracket."""
+        upto = Window.partitionBy(*bracket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        summed = counted.withColumn("cum", F.sum("c").over(upto)).alias("c")
+        rank = F.expr("s.k - s.below >= c.cum - c.c AND s.k - s.below < c.cum")
+        return broadcast_if_small(state).alias("s").join(
+            summed, same("c", "s") & F.expr("c.lo <=> s.lo AND c.hi <=> s.hi") & rank
+        ).withColumn("before", F.expr("s.below + c.cum - c.c"))
+
+    def scale(c: str) -> Column:
+        """Magnitudes with their sign: parts values of any size."""
+        x = F.col(c)
+        return F.signum(x) * F.coalesce(F.log2(F.nullif(F.abs(x), F.lit(0.0))) + 1100, F.lit(0.0))
+
+    def step(x: Column, lo: Column, hi: Column) -> Column:
+        """Never falls as ``x`` grows; halves keep the widest range finite."""
+        share = F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2)
+        return F.floor(F.coalesce(share, F.lit(0.0)) * (BINS - 1))
+
+    # Infinite ends are bins of their own; the lowest and the highest finite value always part.
+    infinite = F.lit(float("inf"))
+
+    def number(inner: Column) -> Column:
+        parted = F.when(F.col("x") < 0, 0).otherwise(BINS - 1)
+        return F.when(F.col("x") == -infinite, -1).when(F.col("x") == infinite, BINS).when(F.col("x") == F.col("lo"), 0).when(
+            F.col("x") == F.col("hi"), BINS - 1).when((F.col("lo") == -infinite) | (F.col("hi") == infinite), parted).otherwise(inner).cast("int")
+
+    # Equal widths first; every other round bins magnitudes, so a few rounds do whatever the values are.
+    ways = cycle([number(step(*map(F.col, ("x", "lo", "hi")))), number(step(*map(scale, ("x", "lo", "hi"))))])
+    while (state.where("lo < hi").agg(F.max("inside")).first()[0] or 0) > inside_limit:
+        open_ = state.where("lo < hi")
+        counted = inside(open_).withColumn("bin", next(ways)).groupBy(*bracket, "bin").agg(
+            F.count(F.lit(1)).alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
+        narrowed = at_rank(counted, open_, "bin").select(
+            *[f"s.{c}" for c in (*keys, "slot", "upper", "n", "pos", "k")], F.col("least").alias("lo"), F.col("most").alias("hi"),
+            F.col("before").alias("below"), F.col("c.c").alias("inside"))
+        state = checkpointed(state.where("lo = hi").unionByName(narrowed))
+
+    # Few values are left: count each, add up in order, read off the rank.
+    rest = state.where("lo < hi")
+    cells = inside(rest).groupBy(*bracket, "x").agg(F.count(F.lit(1)).alias("c"))
+    picked = at_rank(cells, rest, "x").select(*[f"s.{c}" for c in (*keys, "slot", "upper", "n", "pos", "k")], F.col("c.x").alias("x"))
+    values = picked.unionByName(state.where("lo = hi").select(*picked.columns[:-1], F.col("lo").alias("x")))
+    per_slot = values.groupBy(*keys, "slot", "n", "pos").agg(
+        F.max(F.when(~F.col("upper"), F.col("x"))).alias("x1"), F.max(F.when(F.col("upper"), F.col("x"))).alias("x2"),
+        F.min("k").alias("k1"))
     quantile = F.col("x1") + F.when(F.col("x1") == F.col("x2"), 0.0).otherwise(
         (F.col("x2") - F.col("x1")) * (F.col("pos") - F.col("k1"))
     )
-    per_slot = picked.groupBy("grp", "measure", "slot", "n", "pos", "k1").agg(
-        F.max("x1").alias("x1"), F.max("x2").alias("x2")
-    )
-    return per_slot.select("grp", "measure", "n", "slot", quantile.alias("v")).groupBy(
-        "grp", "measure", "n"
-    ).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("q"))
-
-
-def _narrow(state: DataFrame) -> DataFrame:
-    """New bracket from a sketch grid ``g`` taken over the old one.
-
-    Grid step ``i`` has rank about ``i/GRID`` of the rows inside; one step of
-    slack on both sides covers the sketch error.
-    """
-    size = F.greatest(F.col("inside") - 1, F.lit(1))
-    low = F.floor((F.col("k1") - F.col("below")) * GRID / size) - 1
-    high = F.ceil((F.col("k2") - F.col("below")) * GRID / size) + 1
-    lo = F.element_at("g", (F.greatest(low, F.lit(0)) + 1).cast("int"))
-    hi = F.element_at("g", (F.least(high, F.lit(GRID)) + 1).cast("int"))
-    return state.select("grp", "measure", "slot", "n", "pos", "k1", "k2", lo.alias("lo"), hi.alias("hi"))
-
-
-def _inside(long: DataFrame, state: DataFrame, same) -> DataFrame:
-    side = broadcast_if_small(state.select("grp", "measure", "slot", "lo", "hi")).alias("s")
-    return long.alias("v").join(side, same("v", "s")).where("x BETWEEN lo AND hi").select(
-        "v.grp", "v.measure", "s.slot", "v.x"
-    )
-
-
-def _count(long: DataFrame, state: DataFrame, same) -> DataFrame:
-    """Exact numbers of rows below and inside each bracket; a bracket that misses
-    its rank falls back to the full range."""
-    side = broadcast_if_small(state).alias("s")
-    counts = long.alias("v").join(side, same("v", "s")).groupBy(
-        "s.grp", "s.measure", "slot", "s.n", "pos", "k1", "k2", "lo", "hi"
-    ).agg(
-        F.count_if(F.expr("x < lo")).alias("below"),
-        F.count_if(F.expr("x BETWEEN lo AND hi")).alias("inside"),
-    )
-    holds = F.expr("below <= k1 AND k2 < below + inside")
-    return counts.select(
-        "grp", "measure", "slot", "n", "pos", "k1", "k2",
-        F.when(holds, F.col("lo")).otherwise(F.lit(float("-inf"))).alias("lo"),
-        F.when(holds, F.col("hi")).otherwise(F.lit(float("inf"))).alias("hi"),
-        F.when(holds, F.col("below")).otherwise(F.lit(0)).alias("below"),
-        F.when(holds, F.col("inside")).otherwise(F.col("n")).alias("inside"),
-    )
+    return per_slot.select(*keys, "n", "slot", quantile.alias("v")).groupBy(*keys, "n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("q"))
