@@ -182,25 +182,31 @@ def close_links(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     return common.arrow(small, run, "a long, b long").unionByName(common.arrow(large, run, "a long, b long"))
 
 
+def linked_fingerprints(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of the distinct fingerprints of ``marked`` (id, fp): the smallest id reached over links of ``radius`` bits or fewer."""
+    fps = common.materialised(marked.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
+    found = components(close_links(fps, radius))
+    return fps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component, fingerprint): documents whose fingerprints link at ``radius`` or fewer differing bits.
 
     ``component`` is the smallest id that can be reached over links, itself included.
     """
     marked = common.materialised(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    fps = marked.groupBy("fp").agg(F.min("id").alias("rep"))
-    found = components(close_links(common.materialised(fps, "simhash-classes"), radius))
-    named = fps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return marked.join(named, "fp").select(
+    return marked.join(linked_fingerprints(marked, radius), "fp").select(
         "id", "fp", "component", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
 
 
-# --- near copies by shared shingles, candidates by MinHash -----------------------------------------
+# --- near copies by shared shingles, candidates by SimHash, the rest by MinHash ---------------------
 
 #: Documents whose shingles meet in one task; a larger group is dealt out by pairs of chunks.
 CHUNK = 128
 #: Shingles that are compared at once.
 COLUMNS = 4096
+#: Words of the shingles and bits of the links of the fingerprints that near copies are first sought by.
+FP_SHINGLE, FP_RADIUS = 3, 3
 #: Bands of a text and minima in a band.  Two texts with similarity s agree on no band with probability
 #: (1 - s ** ROWS) ** BANDS, whatever was edited and however long they are: 3e-7 at 0.8, 2e-8 at 0.82.
 BANDS, ROWS = 64, 7
@@ -225,11 +231,13 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def banded(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, c1, c2, keys): two hashes that name the set of shingles, and its band keys (none for a text without words)."""
+    """(id, fp, c1, c2, keys): the SimHash, two hashes that name the set of shingles, and its band keys (none for a text without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.columns
             for a, b, data, offsets in common.text_pieces(texts):
+                hashes, first = shingle_hashes(data, offsets, FP_SHINGLE)
+                fps = common.majority_bits(common.bit_sums(hashes, first), np.diff(first))
                 sets = word_shingles(data, offsets, shingle)
                 some = [k for k, s in enumerate(sets) if len(s)]
                 names = np.zeros((2, b - a), np.uint64)
@@ -240,10 +248,10 @@ def banded(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFra
                 ends[np.array(some, np.int64) + 1] = BANDS
                 keys = band_keys([sets[k] for k in some]).ravel() if some else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), *[pa.array(n.view(np.int64)) for n in names],
-                     pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.view(np.int64)))], ["id", "c1", "c2", "keys"])
+                    [ids.slice(a, b - a), pa.array(fps.view(np.int64)), *[pa.array(n.view(np.int64)) for n in names],
+                     pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.view(np.int64)))], ["id", "fp", "c1", "c2", "keys"])
 
-    return common.arrow(_texts(docs, id_col, text_col), run, "id long, c1 long, c2 long, keys array<long>")
+    return common.arrow(_texts(docs, id_col, text_col), run, "id long, fp long, c1 long, c2 long, keys array<long>")
 
 
 def _similar(min_similarity: float, shingle: int):
@@ -284,31 +292,41 @@ def _similar(min_similarity: float, shingle: int):
     return run
 
 
-def near_copies(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): texts joined by exact Jaccard similarity of their ``shingle``-word shingles.
-
-    Texts that share a MinHash band are candidates, whatever was edited.  Groups joined by bands are
-    then compared exactly; texts with the same shingles are one candidate.  A group of over ``CHUNK``
-    candidates is dealt out by pairs of chunks.  Texts without words are copies of each other.
-    """
-    marked = common.materialised(banded(docs, shingle, id_col, text_col), "near")
-    classes = common.materialised(marked.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
-    filed = classes.select(F.explode("keys").alias("key"), "rep")
-    shared = common.materialised(filed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most"), "near-bands")
-    links = filed.join(shared.select("key", "least"), "key").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    found = components(links).withColumnRenamed("node", "rep")
-    grouped = classes.select("rep").join(found.withColumnRenamed("component", "grp"), "rep")
+def _verified(docs: DataFrame, grouped: DataFrame, min_similarity: float, shingle: int, id_col: str, text_col: str, label: str) -> DataFrame:
+    """(a, b): links between texts of a group of ``grouped`` (grp, rep) with Jaccard similarity over the threshold."""
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
     members = common.materialised(
-        grouped.join(sizes, "grp").select("rep", "grp", "n", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK)).alias("mine")), "near-members")
+        grouped.join(sizes, "grp").select("rep", "grp", "n", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK)).alias("mine")), label)
     chunks = F.ceil(F.col("n") / CHUNK).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(
         common.broadcast_within(members), "rep")
     paired = texts.select("grp", "rep", "text", chunks.alias("chunks"), "mine", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")).select(
         "grp", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"), "rep", "text")
-    links = common.arrow(paired.repartition("grp", "pair").sortWithinPartitions("grp", "pair"),
-                         _similar(min_similarity, shingle), "a long, b long")
-    joined = components(links).withColumnRenamed("node", "rep")
+    return common.arrow(paired.repartition("grp", "pair").sortWithinPartitions("grp", "pair"), _similar(min_similarity, shingle), "a long, b long")
+
+
+def near_copies(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): texts joined by exact Jaccard similarity of their ``shingle``-word shingles.
+
+    Texts whose SimHashes link are compared exactly first.  A fingerprint does not see every edit, so texts of
+    different groups by then that share a MinHash band are compared, too, whatever was edited; texts that are
+    joined already meet no more.  Texts with the same shingles are one candidate.  A group of over ``CHUNK``
+    candidates is dealt out by pairs of chunks.  Texts without words are copies of each other.
+    """
+    marked = common.materialised(banded(docs, shingle, id_col, text_col), "near")
+    classes = common.materialised(marked.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
+    seen = marked.groupBy("c1", "c2", "fp").agg(F.min("id").alias("id"))
+    by_fp = seen.join(linked_fingerprints(seen, FP_RADIUS).withColumnRenamed("component", "grp"), "fp").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
+    verified = common.materialised(
+        _verified(docs, by_fp.select("grp", "rep").distinct(), min_similarity, shingle, id_col, text_col, "near-fingerprints"), "near-links")
+    joined = components(verified).withColumnRenamed("node", "rep")
+    filed = classes.select("rep", F.explode("keys").alias("key")).join(joined, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("own"))
+    shared = common.materialised(filed.groupBy("key").agg(F.min("rep").alias("least"), F.min("own").alias("low"), F.max("own").alias("high"))
+                                 .where("low < high").select("key", "least"), "near-bands")
+    links = filed.join(shared, "key").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    grouped = components(links).select(F.col("component").alias("grp"), F.col("node").alias("rep"))
+    rest = _verified(docs, grouped, min_similarity, shingle, id_col, text_col, "near-members")
+    joined = components(verified.unionByName(rest)).withColumnRenamed("node", "rep")
     named = classes.select("c1", "c2", "rep").join(joined, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     return marked.select("id", "c1", "c2").join(named, ["c1", "c2"]).select("id", "component")
 
