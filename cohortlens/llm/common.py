@@ -27,6 +27,8 @@ __all__ = ["broadcast_within", "checkpointed", "materialised", "read_table", "sc
 PIECE_BYTES = 256 << 10
 #: Largest table, in bytes, that is sent to every executor; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of the batches of rows that go to a Python worker and back, see ``small_batches``.
+BATCH_BYTES = 4 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -60,6 +62,16 @@ def arrow(df: DataFrame, function: Callable, schema: str | T.StructType) -> Data
     return df.mapInArrow(giving_back(function), schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends batches of at most ``BATCH_BYTES``, unless it names a size itself.
+
+    Batches of 10,000 whole texts lie twice in the executor and twice in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def giving_back(function: Callable) -> Callable:
     """An Arrow function that leaves its worker's memory as small as it was; workers are used again by other tasks."""
     def run(batches: Iterator) -> Iterator:

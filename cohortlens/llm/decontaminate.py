@@ -190,7 +190,7 @@ def _scan(items_of, min_similarity: float, text_place: int, only_clean: bool):
                     if score >= min_similarity - 1e-9 and (not best or (-score, spot) < (-best[0], best[1])):
                         found[key] = (score, spot, stop - begin)
 
-            for row, _, data, offsets in common.text_pieces(batch.column(text_place), 1 << 20):
+            for row, _, data, offsets in common.text_pieces(batch.column(text_place)):
                 data = common.LOWER[data]
                 starts, ends, first = common.word_spans(data, offsets)
                 if not len(starts):

@@ -37,7 +37,7 @@ GRAMS = (4, 6)
 CUT = 0.7
 #: Training texts that must hold a word or run before it has an embedding, and before its log odds count half.
 LEAST, SHRINK = 3, 6
-WINDOWS_AT_ONCE = 2048
+WINDOWS_AT_ONCE = 1024
 
 
 class Words:
@@ -381,7 +381,7 @@ def with_score(docs: DataFrame, model: dict | float, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            for a, b, data, offsets in common.text_pieces(batch.column(place), 1 << 19):
+            for a, b, data, offsets in common.text_pieces(batch.column(place)):
                 words = Words(data, offsets)
                 if isinstance(known, float):
                     score = np.where(np.diff(words.first) > 0, known, 0.0)

@@ -20,16 +20,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
+    common.small_batches(spark)
     return toxicity.drop_toxic(docs, common.read_table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, stays of each group of near copies (five-word shingles, similarity 0.8)."""
+    common.small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    common.small_batches(spark)
     return decontaminate.drop_contaminated(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
