@@ -63,6 +63,7 @@ class TextEncoder:
     """
 
     LATIN = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]) if c.isalpha())
+    MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
     WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, definition: str, by_word: bool):
@@ -72,6 +73,7 @@ class TextEncoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Added tokens are found before anything else, and a zero divides the words below; such words are encoded alone.
         self.alone = re.compile(b"|".join(map(re.escape, [*added, b"0"])))
@@ -90,11 +92,14 @@ class TextEncoder:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(f.ids, self.kind).tobytes() for f in found]
 
+    def _ids(self, piece: str) -> bytes:
+        size = self.kind.itemsize
+        return b"".join([t.id.to_bytes(size, "little") for t in self.tokenizer.model.tokenize(piece)])
+
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            size = self.kind.itemsize
-            found = b"".join([t.id.to_bytes(size, "little") for t in self.tokenizer.model.tokenize(piece)])
+            found = self._ids(piece)
             if len(piece) <= LONGEST:
                 self.pieces[piece] = found
         return found
@@ -112,8 +117,22 @@ class TextEncoder:
 
     def _new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words without zeros.  Those that have to be cut are cut in one call, with zeros between them, which are one piece each."""
-        out, rest = {}, []
+        out, rest, stems, tails = {}, [], self.stems, self.tails
         for word in words:
+            stem = word.rstrip(self.MARKS)
+            if self.keeps and stem.isalpha():  # A-Z and a-z only, as these are bytes
+                end = word[len(stem):]
+                tail = tails[end] if end in tails else self._tail(end)
+                if tail is None:
+                    rest.append(word)
+                    continue
+                ids = stems.get(stem)
+                if ids is None:
+                    ids = self._ids(stem.decode().translate(self.letter))
+                    if len(stem) <= LONGEST:
+                        stems[stem] = ids
+                out[word] = ids + tail
+                continue
             match = self.WORD.fullmatch(word) if self.keeps else None
             tail = self._tail(match[2]) if match else None
             if tail is None:
@@ -137,12 +156,13 @@ class TextEncoder:
             return self._each(texts)
         split = [t.split() for t in texts]
         words = self.words
-        new = {w for own in split for w in own}.difference(words)
+        new = set().union(*split).difference(words)
         if len(words) + len(new) > REMEMBERED:
             words.clear()
-            new = {w for own in split for w in own}
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+            new = set().union(*split)
+        for kept in (self.pieces, self.stems):
+            if len(kept) > REMEMBERED:
+                kept.clear()
         alone = [w for w in new if self.alone.search(w)]
         words.update(self._new_words(list(new.difference(alone))))
         if alone:
@@ -274,11 +294,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, b
     code.coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast(lengths)
     coded = common.arrow(encoded, lambda batches: _coded(batches, kind, shared.value), "doc_id long, n long, checkpoints binary, bits binary")
+    coded = coded.withColumn("check", F.crc32("bits"))
+    # Written, since the ends of the ranges are sampled in a run of their own, which would code everything again.
+    bits = common.scratch_path(spark, "token-bits")
+    coded.write.parquet(bits)
+    common.discard(spark, scratch)
     order = ["doc_id", "check", "n"]
-    ranged = coded.withColumn("check", F.crc32("bits")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = spark.read.schema(coded.schema).parquet(bits).repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "n", "checkpoints", "bits")
     common.arrow(numbered, functools.partial(_segments, most=segment), "part long, seq long, before long, n_tokens long, payload binary").write.parquet(f"{path}/segments")
-    common.discard(spark, scratch)
+    common.discard(spark, bits)
 
 
 def _code_lengths(spark: SparkSession, path: str) -> np.ndarray:
